@@ -1,8 +1,9 @@
-"""Severity model: exposure, port, destination and boundary factors."""
+"""Severity model: exposure, port, destination and boundary factors.
 
-from __future__ import annotations
+Arguments are SQL expressions over the row (usually column names).
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,72 +11,69 @@ from pyspark.sql import functions as F
 from . import lookups as L
 
 
-def exposure(source_kind: Column, plen: Column) -> Column:
+def exposure(source_kind: str, plen: str) -> Column:
     """E from the prefix length of a network source."""
-    ladder = reduce(lambda acc, band: acc.when(plen <= band[0], F.lit(band[1])), L.EXPOSURE_BANDS,
-                    F.when((source_kind == "identity") | plen.isNull(), F.lit(L.IDENTITY_EXPOSURE)))
-    return ladder.otherwise(F.lit(L.IDENTITY_EXPOSURE))
+    bands = " ".join(f"WHEN {plen} <= {n} THEN {e}D" for n, e in L.EXPOSURE_BANDS)
+    floor = f"{L.IDENTITY_EXPOSURE}D"
+    return F.expr(f"CASE WHEN {source_kind} = 'identity' OR {plen} IS NULL THEN {floor} {bands} ELSE {floor} END")
 
 
-def _port_ladder(protocol: Column, port: Column, field: int) -> Column:
-    c = L.PORT_CLASSES
-    return (F.when(protocol == "any", F.lit(L.ANY_PORT[field]))
-            .when(port.isin(L.ADMIN_PORTS), F.lit(c["admin"][field]))
-            .when(port.isin(L.DATA_STORE_PORTS), F.lit(c["data_store"][field]))
-            .when(port.isin(L.CONTROL_PLANE_PORTS), F.lit(c["control_plane"][field]))
-            .when(port.isin(L.GENERAL_PORTS), F.lit(c["general"][field]))
-            .otherwise(F.lit(c["unknown"][field])))
+def _port_ladder(protocol: str, port: str, field: int) -> Column:
+    value = {name: L.literal(pair[field]) for name, pair in L.PORT_CLASSES.items()}
+    sets = {"admin": L.ADMIN_PORTS, "data_store": L.DATA_STORE_PORTS, "control_plane": L.CONTROL_PLANE_PORTS,
+            "general": L.GENERAL_PORTS}
+    steps = " ".join(f"WHEN {port} IN ({L.listing(ports)}) THEN {value[name]}" for name, ports in sets.items())
+    return F.expr(f"CASE WHEN {protocol} = 'any' THEN {L.literal(L.ANY_PORT[field])} {steps} ELSE {value['unknown']} END")
 
 
-def port_sensitivity(protocol: Column, port: Column) -> Column:
+def port_sensitivity(protocol: str, port: str) -> Column:
     return _port_ladder(protocol, port, 0)
 
 
-def port_class(protocol: Column, port: Column) -> Column:
+def port_class(protocol: str, port: str) -> Column:
     return _port_ladder(protocol, port, 1)
 
 
-def dest_sensitivity(tags: Column) -> Column:
+def dest_sensitivity(tags: str) -> Column:
     """D: the highest sensitivity among the tags; unknown or no tags score the default."""
-    default = F.lit(L.UNTAGGED_SENSITIVITY)
-    scored = F.transform(tags, lambda t: F.coalesce(L.pick(L.TAG_SENSITIVITY, t), default))
-    return F.coalesce(F.array_max(scored), default)
+    default = f"{L.UNTAGGED_SENSITIVITY}D"
+    scored = f"transform({tags}, t -> coalesce({L.pick_sql(L.TAG_SENSITIVITY, 't')}, {default}))"
+    return F.expr(f"coalesce(array_max({scored}), {default})")
 
 
-def zone(node: Column, tags: Column) -> Column:
-    def tagged(names: list[str]) -> Column:
-        return F.coalesce(F.arrays_overlap(tags, L.strings(names)), F.lit(False))
+def zone(node: str, tags: str | None = None) -> Column:
+    """Zone of a node by its tags (none: only the internet node stands out)."""
+    tagged = "" if tags is None else (f"WHEN {L.overlap_sql(tags, L.DMZ_TAGS)} THEN 'dmz' "
+                                      f"WHEN {L.overlap_sql(tags, L.DEV_TAGS)} THEN 'dev'")
+    return F.expr(f"CASE WHEN {node} = '{L.INTERNET}' THEN 'internet' {tagged} ELSE 'internal' END")
 
-    return (F.when(node == L.INTERNET, "internet").when(tagged(L.DMZ_TAGS), "dmz")
-            .when(tagged(L.DEV_TAGS), "dev").otherwise("internal"))
 
+def boundary(src_zone: str, dst_zone: str) -> Column:
+    return F.expr(f"concat({src_zone}, '->', {dst_zone})")
 
-def boundary(src_zone: Column, dst_zone: Column) -> Column:
-    return F.concat_ws("->", src_zone, dst_zone)
 
+def _factor(src_zone: str, dst_zone: str) -> str:
+    key = f"concat({src_zone}, '->', {dst_zone})"
+    return f"coalesce({L.pick_sql(L.BOUNDARY_FACTORS, key)}, {L.SAME_ZONE_FACTOR}D)"
 
-def boundary_factor(src_zone: Column, dst_zone: Column) -> Column:
-    return F.coalesce(L.pick(L.BOUNDARY_FACTORS, boundary(src_zone, dst_zone)), F.lit(L.SAME_ZONE_FACTOR))
 
+def boundary_factor(src_zone: str, dst_zone: str) -> Column:
+    return F.expr(_factor(src_zone, dst_zone))
 
-def crosses(src_zone: Column, dst_zone: Column) -> Column:
-    return boundary_factor(src_zone, dst_zone) > L.SAME_ZONE_FACTOR
 
+def crosses(src_zone: str, dst_zone: str) -> Column:
+    return F.expr(f"{_factor(src_zone, dst_zone)} > {L.SAME_ZONE_FACTOR}D")
 
-def severity(E: Column, P: Column, D: Column, B: Column) -> Column:
-    """0-100. Doubles combined in this order and rounded half to even."""
-    raw = (D * (0.5 + 0.5 * P)) * (0.4 + 0.6 * E) * B
-    return F.rint(100 * F.least(raw, F.lit(1.0))).cast("int")
 
-
-def band(severity_: Column) -> Column:
-    ladder = reduce(lambda acc, step: acc.when(severity_ >= step[0], step[1]), L.BAND_FLOORS[1:],
-                    F.when(severity_ >= L.BAND_FLOORS[0][0], L.BAND_FLOORS[0][1]))
-    return ladder.otherwise("low")
+def severity(E: str, P: str, D: str, B: str) -> Column:
+    """0-100. Doubles combined in this order and rounded half to even."""
+    raw = f"({D} * (0.5D + 0.5D * {P})) * (0.4D + 0.6D * {E}) * {B}"
+    return F.expr(f"CAST(rint(100 * least({raw}, 1.0D)) AS int)")
 
 
-def vector(E: Column, P: Column, D: Column, B: Column) -> Column:
-    return F.struct(E.alias("E"), P.alias("P"), D.alias("D"), B.alias("B"))
+def band(value: str) -> Column:
+    steps = " ".join(f"WHEN {value} >= {floor} THEN '{name}'" for floor, name in L.BAND_FLOORS)
+    return F.expr(f"CASE {steps} ELSE 'low' END")
 
 
 def compact(*items: Column) -> Column:
@@ -83,10 +81,8 @@ def compact(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def token_cost(provider: Column, model: Column, prompt_tokens: Column, completion_tokens: Column) -> Column:
-    key = F.concat_ws(":", provider, model)
-    prices = {k: p for k, p in L.TOKEN_PRICES.items()}
-    rate_in = F.coalesce(L.pick({k: p[0] for k, p in prices.items()}, key), F.lit(0.0))
-    rate_out = F.coalesce(L.pick({k: p[1] for k, p in prices.items()}, key), F.lit(0.0))
-    cost = (prompt_tokens / F.lit(1000000.0)) * rate_in + (completion_tokens / F.lit(1000000.0)) * rate_out
-    return F.when(provider == L.FREE_PROVIDER, F.lit(0.0)).otherwise(F.bround(cost, 6))
+def token_cost(provider: str, model: str, prompt_tokens: str, completion_tokens: str) -> Column:
+    key = f"concat_ws(':', {provider}, {model})"
+    rate = [f"coalesce({L.pick_sql({k: p[i] for k, p in L.TOKEN_PRICES.items()}, key)}, 0D)" for i in (0, 1)]
+    cost = f"({prompt_tokens} / 1000000D) * {rate[0]} + ({completion_tokens} / 1000000D) * {rate[1]}"
+    return F.expr(f"CASE WHEN {provider} = '{L.FREE_PROVIDER}' THEN 0D ELSE bround({cost}, 6) END")

@@ -7,102 +7,84 @@ from pyspark.sql import functions as F
 
 from . import lookups as L
 
-_BLANKS = " \t\n\r\f\x0b"
-
 SERVICE_COLUMNS = ["protocol", "port", "port_end", "service", "l7_app", "l7_source"]
 
 
-def known_protocol(token: Column) -> Column:
-    """Lower-cased protocol, `tcp` when it is not one we know."""
-    text = F.lower(F.trim(token, F.lit(_BLANKS)))
-    return F.when(text.isin(L.PROTOCOLS), text).otherwise("tcp")
+def _trimmed(text: str) -> str:
+    return f"trim(BOTH ' \\t\\n\\r\\u000b\\u000c' FROM {text})"
 
 
-def inferred_app(protocol: Column, port: Column) -> Column:
-    return L.pick(L.APP_BY_TRANSPORT, F.concat(protocol, F.lit("/"), port.cast("string")))
+def _known_protocol(token: str) -> str:
+    """Lower-cased protocol, `tcp` when it is not one we know."""
+    low = f"lower({_trimmed(token)})"
+    return f"CASE WHEN {low} IN ({L.listing(L.PROTOCOLS)}) THEN {low} ELSE 'tcp' END"
 
 
-def with_service(df: DataFrame, service: Column | None = None, port: Column | None = None,
-                 protocol: Column | None = None, app: Column | None = None) -> DataFrame:
+def with_service(df: DataFrame, service: str | None = None, port: str | None = None,
+                 protocol: str | None = None, app: str | None = None) -> DataFrame:
     """Add `protocol, port, port_end, service, l7_app, l7_source`.
 
     Precedence: a known application, then the service text (any, application,
     proto/ports, bare word), then separate port and protocol. Bad text never fails.
+    Arguments are SQL expressions.
     """
-    none = F.lit(None).cast("string")
+    text, proto, named = (e or "CAST(NULL AS string)" for e in (service, protocol, app))
+    tokens = L.listing(L.APP_TOKENS)
     df = df.withColumns({
-        "__text": F.trim(service, F.lit(_BLANKS)) if service is not None else none,
-        "__given": (F.length(service) > 0) if service is not None else F.lit(False),
-        "__port": port.cast("int") if port is not None else F.lit(None).cast("int"),
-        "__proto": F.nullif(protocol, F.lit("")) if protocol is not None else none,
-        "__app": F.lower(F.trim(app, F.lit(_BLANKS))) if app is not None else none,
-    })
-    low, text = F.lower(F.col("__text")), F.col("__text")
-    given = F.coalesce(F.col("__given"), F.lit(False))
-    df = df.withColumns({
-        "__token": F.when(F.col("__app").isin(L.APP_TOKENS), F.col("__app"))
-                    .when(given & low.isin(L.APP_TOKENS), low),
-        "__form": F.when(F.col("__app").isin(L.APP_TOKENS), "app")
-                   .when(given & (low == "any"), "any")
-                   .when(given & low.isin(L.APP_TOKENS), "app")
-                   .when(given & (F.instr(text, "/") > 0), "pair")
-                   .when(given, "word")
-                   .otherwise("ports"),
+        "__text": F.expr(_trimmed(text)),
+        "__given": F.expr(f"coalesce(length({text}) > 0, false)"),
+        "__port": F.expr(f"CAST({port or 'NULL'} AS int)"),
+        "__proto": F.expr(f"nullif({proto}, '')"),
+        "__app": F.expr(f"lower({_trimmed(named)})"),
+    }).withColumns({
+        "__form": F.expr(f"""CASE WHEN __app IN ({tokens}) THEN 'app'
+            WHEN NOT __given THEN 'ports'
+            WHEN lower(__text) = 'any' THEN 'any'
+            WHEN lower(__text) IN ({tokens}) THEN 'token'
+            WHEN instr(__text, '/') > 0 THEN 'pair' ELSE 'word' END"""),
         "__tail": F.expr("substring(__text, instr(__text, '/') + 1)"),
-    })
-    form = F.col("__form")
-    ranged = F.instr(F.col("__tail"), "-") > 0
-    first = F.expr("try_cast(substring_index(__tail, '-', 1) AS int)")
-    last = F.expr("try_cast(substring(__tail, instr(__tail, '-') + 1) AS int)")
-    df = df.withColumns({
-        "__transport": L.pick(L.APP_TRANSPORT, F.col("__token")),
-        "__lo": F.when(~ranged, F.expr("try_cast(__tail AS int)")).when(last.isNotNull(), first),
-        "__hi": F.when(ranged & first.isNotNull(), last),
-    })
+    }).withColumns({
+        "__token": F.expr("CASE __form WHEN 'app' THEN __app WHEN 'token' THEN lower(__text) END"),
+        "__last": F.expr("CASE WHEN instr(__tail, '-') > 0 THEN try_cast(substring(__tail, instr(__tail, '-') + 1) AS int) END"),
+        "__first": F.expr("try_cast(substring_index(__tail, '-', 1) AS int)"),
+    }).withColumn("__transport", L.pick(L.APP_TRANSPORT, "__token"))
     return df.withColumns({
-        "protocol": F.when(form == "app", F.when(F.col("__proto").isNotNull(), known_protocol(F.col("__proto")))
-                           .otherwise(F.coalesce(F.split_part(F.col("__transport"), F.lit("/"), F.lit(1)), F.lit("tcp"))))
-                     .when(form == "any", "any")
-                     .when(form == "pair", known_protocol(F.substring_index(text, "/", 1)))
-                     .when(form == "word", known_protocol(text))
-                     .otherwise(known_protocol(F.coalesce(F.col("__proto"), F.lit("tcp")))),
-        "port": F.when(form == "app", F.coalesce(
-                    F.col("__port"), F.expr("try_cast(split_part(__transport, '/', 2) AS int)")))
-                 .when(form == "pair", F.col("__lo"))
-                 .when(form == "ports", F.col("__port")),
-        "port_end": F.when(form == "pair", F.col("__hi")),
+        "protocol": F.expr(f"""CASE
+            WHEN __token IS NOT NULL THEN CASE WHEN __proto IS NOT NULL THEN {_known_protocol('__proto')}
+                                          ELSE coalesce(split_part(__transport, '/', 1), 'tcp') END
+            WHEN __form = 'any' THEN 'any'
+            WHEN __form = 'pair' THEN {_known_protocol("substring_index(__text, '/', 1)")}
+            WHEN __form = 'word' THEN {_known_protocol('__text')}
+            ELSE {_known_protocol("coalesce(__proto, 'tcp')")} END"""),
+        "port": F.expr("""CASE
+            WHEN __token IS NOT NULL THEN coalesce(__port, try_cast(split_part(__transport, '/', 2) AS int))
+            WHEN __form = 'pair' AND (instr(__tail, '-') = 0 OR __last IS NOT NULL) THEN __first
+            WHEN __form = 'ports' THEN __port END"""),
+        "port_end": F.expr("CASE WHEN __form = 'pair' AND __first IS NOT NULL THEN __last END"),
     }).withColumns({
-        "service": F.when(form == "app", F.col("__token")).when(form == "any", "any")
-                    .when(form.isin("pair", "word"), text)
-                    .otherwise(F.concat_ws("/", "protocol", F.col("port").cast("string"))),
-        "l7_app": F.when(form == "app", F.col("__token"))
-                   .when(form.isin("pair", "ports"), inferred_app(F.col("protocol"), F.col("port"))),
-    }).withColumn(
-        "l7_source", F.when(form == "app", "declared").when(F.col("l7_app").isNotNull(), "inferred")
-    ).drop("__text", "__given", "__port", "__proto", "__app", "__token", "__form", "__tail",
-           "__transport", "__lo", "__hi")
-
-
-def services_overlap(any_a: Column, any_b: Column, label_a: Column, label_b: Column) -> Column:
-    return any_a | any_b | (label_a == label_b)
+        "service": F.expr("""CASE WHEN __token IS NOT NULL THEN __token WHEN __form = 'any' THEN 'any'
+            WHEN __form = 'ports' THEN concat_ws('/', protocol, port) ELSE __text END"""),
+        "l7_app": F.expr(f"""CASE WHEN __token IS NOT NULL THEN __token WHEN __form IN ('pair', 'ports')
+            THEN {L.pick_sql(L.APP_BY_TRANSPORT, "concat(protocol, '/', port)")} END"""),
+        "l7_source": F.expr(f"""CASE WHEN __token IS NOT NULL THEN 'declared' WHEN __form IN ('pair', 'ports')
+            AND {L.pick_sql(L.APP_BY_TRANSPORT, "concat(protocol, '/', port)")} IS NOT NULL THEN 'inferred' END"""),
+    }).drop("__text", "__given", "__port", "__proto", "__app", "__token", "__form", "__tail", "__first", "__last",
+            "__transport")
 
 
-def same_traffic(proto_a: Column, port_a: Column, proto_b: Column, port_b: Column) -> Column:
-    """Two services touch the same traffic: protocol equal or any, port equal or open."""
-    return (((proto_a == "any") | (proto_b == "any") | (proto_a == proto_b))
-            & (port_a.isNull() | port_b.isNull() | (port_a == port_b)))
+def same_traffic(a: str, b: str) -> Column:
+    """Services of aliases `a` and `b` touch the same traffic: protocol equal or any, port equal or open."""
+    return F.expr(f"({a}_protocol = 'any' OR {b}_protocol = 'any' OR {a}_protocol = {b}_protocol) "
+                  f"AND ({a}_port IS NULL OR {b}_port IS NULL OR {a}_port = {b}_port)")
 
 
-def grant_answers(protocol: Column, port: Column, app: Column,
-                  g_protocol: Column, g_port: Column, g_port_end: Column, g_app: Column) -> Column:
+def grant_answers(protocol: str, port: str, app: str, g_protocol: str, g_port: str, g_port_end: str,
+                  g_app: str) -> Column:
     """Does a grant answer a question about a protocol, port or application?
 
     Open grants answer everything; an application question looks at nothing else.
     """
-    by_app = F.coalesce(F.lower(g_app) == F.lower(app), F.lit(False))
-    proto_ok = protocol.isNull() | (protocol == "any") | (g_protocol == protocol)
-    port_ok = port.isNull() | (g_port.isNotNull() & port.between(g_port, F.coalesce(g_port_end, g_port)))
-    asked = protocol.isNotNull() | port.isNotNull() | app.isNotNull()
-    return F.coalesce(
-        ~asked | (g_protocol == "any") | F.when(app.isNotNull(), by_app).otherwise(proto_ok & port_ok),
-        F.lit(False))
+    return F.expr(f"""coalesce({g_protocol} = 'any', false) OR CASE
+        WHEN {app} IS NOT NULL THEN coalesce(lower({g_app}) = lower({app}), false)
+        ELSE ({protocol} IS NULL OR {protocol} = 'any' OR {g_protocol} = {protocol})
+         AND ({port} IS NULL OR coalesce({port} BETWEEN {g_port} AND coalesce({g_port_end}, {g_port}), false)) END""")

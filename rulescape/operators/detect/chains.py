@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from ...functions import lookups as L
 from ...functions import net, score
 from ...functions.service import with_service
-from .rules import FACTORS, as_findings, signals_json
+from .rules import FACTORS, as_findings, signals_json, vector
 
 
 def path_scores(paths: DataFrame) -> DataFrame:
     """Add the factors, severity, forced and band to described paths."""
     c = F.col
-    decoded = with_service(paths.withColumn("__svc", c("terminal_service")), c("__svc")).withColumn("entry_kind", F.when(
+    decoded = with_service(paths, "terminal_service").withColumn("entry_kind", F.when(
         c("entry").contains("/"), "cidr").otherwise("identity"))
     out = net.with_network(decoded, "entry", "entry_net").withColumns({
-        "fe": score.exposure(c("entry_kind"), c("entry_net.plen")),
-        "fp": score.port_sensitivity(c("protocol"), c("port")),
-        "port_class": score.port_class(c("protocol"), c("port")),
-        "fd": score.dest_sensitivity(c("terminal_tags")), "fb": c("boundary_multiplier"),
-        "reaches_sensitive": L.is_sensitive(c("terminal_tags")),
+        "fe": score.exposure("entry_kind", "entry_net.plen"),
+        "fp": score.port_sensitivity("protocol", "port"),
+        "port_class": score.port_class("protocol", "port"),
+        "fd": score.dest_sensitivity("terminal_tags"), "fb": c("boundary_multiplier"),
+        "reaches_sensitive": L.is_sensitive("terminal_tags"),
     }).withColumns({
-        "severity": score.severity(*[F.col(x) for x in FACTORS]),
+        "severity": score.severity(*FACTORS),
         "forced_critical": (c("boundary") == "internet->internal") & c("reaches_sensitive"),
     })
     return out.withColumn("severity_band", F.when(c("forced_critical"), "critical").otherwise(
-        score.band(c("severity")))).drop("__svc", "protocol", "port", "port_end", "service", "l7_app", "l7_source",
+        score.band("severity"))).drop("protocol", "port", "port_end", "service", "l7_app", "l7_source",
                                          "entry_kind", "entry_net")
 
 
@@ -45,6 +45,6 @@ def path_findings(paths: DataFrame) -> DataFrame:
             tools=c("tools"), reaches_sensitive=c("reaches_sensitive"), boundary=c("boundary"),
             boundary_crossed=c("boundary_crossed"), terminal=c("terminal"), terminal_tags=c("terminal_tags"),
             terminal_service=c("terminal_service"), entry=c("entry"),
-            severity_vector=score.vector(*[F.col(x) for x in FACTORS]), port_class=c("port_class")),
+            severity_vector=vector(), port_class=c("port_class")),
         "involved": c("path"), "raw_refs": F.transform("hops", lambda h: h["ref"]), "source_tools": c("tools"),
     }))

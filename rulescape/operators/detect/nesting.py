@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ...functions import lookups as L
 from ...functions import net, score
 from ..graph import is_allow
-from .rules import FACTORS, as_findings, formula, scored, signals_json
+from .rules import as_findings, formula, scored, signals_json, vector
 
 NET_KEY = ["version", "plen", "hi", "lo"]
 _WORDS = ["w0", "w1", "w2"]
@@ -62,7 +62,7 @@ OVERLAP_GROUP = ["source_tool", "destination", "service"]
 
 def overlap_rules(placed: DataFrame) -> DataFrame:
     return placed.filter(is_allow() & F.col("src_net").isNotNull()).withColumn(
-        "sensitive", L.is_sensitive(F.col("dest_tags")))
+        "sensitive", L.is_sensitive("dest_tags"))
 
 
 def overlap_findings(pairs: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def overlap_findings(pairs: DataFrame) -> DataFrame:
         "type": F.lit("cidr_overlap"),
         "title": F.concat(F.lit("Redundant rules to "), c("destination"), F.lit(" ("), c("service"), F.lit("): "),
                           c("o_source"), F.lit(" already covers "), c("i_source")),
-        "severity_band": score.band(c("severity")), "forced_critical": F.lit(False),
+        "severity_band": score.band("severity"), "forced_critical": F.lit(False),
         "signals": signals_json(
             cidr_a=c("cidr_a"), cidr_b=c("cidr_b"), relation=F.lit("contains"), refs=c("refs"), dest=c("destination"),
             service=c("service"), tool=c("source_tool"), outer=c("o_source"), inner=c("i_source"),
@@ -170,11 +170,11 @@ def shadow_findings(shadowed: DataFrame) -> DataFrame:
     return as_findings(out.withColumns({
         "local_key": F.concat_ws("|", F.lit("shadowed_rule"), "source_tool", "raw_ref"),
         "type": F.lit("shadowed_rule"), "title": title,
-        "severity_band": score.band(c("severity")), "forced_critical": F.lit(False),
+        "severity_band": score.band("severity"), "forced_critical": F.lit(False),
         "signals": signals_json(
             shadowed_ref=c("raw_ref"), shadowing_ref=ref, reason=reason, shadowed_action=c("action"),
             shadowing_action=c("cover.action"), dest=c("d"), service=c("service"), tool=c("source_tool"),
-            severity_vector=F.when(c("action") != "allow", score.vector(*[F.col(x) for x in FACTORS]))),
+            severity_vector=F.when(c("action") != "allow", vector())),
         "involved": F.array("s", "d"), "raw_refs": F.array_sort(F.array(ref, c("raw_ref"))),
         "source_tools": F.array("source_tool"),
     }))

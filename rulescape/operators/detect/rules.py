@@ -25,17 +25,17 @@ FACTORS = ["fe", "fp", "fd", "fb"]
 def scored(placed: DataFrame) -> DataFrame:
     """Add the factors E, P, D, B (FACTORS) and what detectors derive from them."""
     out = placed.withColumns({
-        "fe": score.exposure(F.col("source_kind"), F.col("src_net.plen")),
-        "fp": score.port_sensitivity(F.col("protocol"), F.col("port")),
-        "fd": score.dest_sensitivity(F.col("dest_tags")),
-        "fb": score.boundary_factor(F.col("src_zone"), F.col("dst_zone")),
-        "sensitive": L.is_sensitive(F.col("dest_tags")),
+        "fe": score.exposure("source_kind", "src_net.plen"),
+        "fp": score.port_sensitivity("protocol", "port"),
+        "fd": score.dest_sensitivity("dest_tags"),
+        "fb": score.boundary_factor("src_zone", "dst_zone"),
+        "sensitive": L.is_sensitive("dest_tags"),
     })
     return out.withColumn("internet", F.col("fe") >= 1.0)
 
 
 def formula() -> Column:
-    return score.severity(F.col("fe"), F.col("fp"), F.col("fd"), F.col("fb"))
+    return score.severity(*FACTORS)
 
 
 def as_findings(df: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def signals_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
-def _vector() -> Column:
-    return score.vector(*[F.col(c) for c in FACTORS])
+def vector() -> Column:
+    return F.expr("named_struct('E', fe, 'P', fp, 'D', fd, 'B', fb)")
 
 
 def broad_reasons() -> Column:
@@ -78,7 +78,7 @@ def source_label() -> Column:
 def over_permissive(placed: DataFrame) -> DataFrame:
     c = F.col
     hit = scored(placed.filter(is_allow())).withColumn("reasons", broad_reasons()).filter(F.size("reasons") > 0)
-    port_name = L.pick(L.PORT_NAMES, c("port"))
+    port_name = L.pick(L.PORT_NAMES, "port")
     access = F.when(c("protocol") == "any", "any protocol/port").otherwise(F.coalesce(port_name, c("service")))
     hit = hit.withColumns({"severity": formula(), "forced": forced_reasons()})
     return as_findings(hit.withColumns({
@@ -86,16 +86,16 @@ def over_permissive(placed: DataFrame) -> DataFrame:
         "type": F.lit("over_permissive"),
         "title": F.concat(access, F.lit(" open from "), source_label(), F.lit(" to "), c("d_display")),
         "forced_critical": F.size("forced") > 0,
-        "severity_band": F.when(F.size("forced") > 0, "critical").otherwise(score.band(c("severity"))),
+        "severity_band": F.when(F.size("forced") > 0, "critical").otherwise(score.band("severity")),
         "signals": signals_json(
             exposed_port=c("port"), port_name=port_name, service=c("service"), protocol=c("protocol"),
             source=c("source"), source_kind=c("source_kind"),
             source_scope=F.when(c("source_kind") == "cidr", c("source")).otherwise("identity"),
             source_prefixlen=c("src_net.plen"), dest=c("d"), dest_display=c("d_display"),
             dest_tags=F.array_sort("dest_tags"), src_zone=c("src_zone"), dst_zone=c("dst_zone"),
-            boundary_crossed=score.crosses(c("src_zone"), c("dst_zone")),
-            port_class=score.port_class(c("protocol"), c("port")), reasons=c("reasons"),
-            forced_reasons=c("forced"), severity_vector=_vector(), tool=c("source_tool"), raw_ref=c("raw_ref")),
+            boundary_crossed=score.crosses("src_zone", "dst_zone"),
+            port_class=score.port_class("protocol", "port"), reasons=c("reasons"),
+            forced_reasons=c("forced"), severity_vector=vector(), tool=c("source_tool"), raw_ref=c("raw_ref")),
         "involved": F.array("s", "d"), "raw_refs": F.array("raw_ref"), "source_tools": F.array("source_tool"),
     }))
 
@@ -116,14 +116,14 @@ def blind_spots(placed: DataFrame) -> DataFrame:
         "title": F.concat(F.upper("l7_app"), F.lit(" ("), c("service"), F.lit(") reachable from "), source_label(),
                           F.lit(" to "), c("d_display"), F.lit(" — likely uninspected")),
         "forced_critical": F.size("forced") > 0,
-        "severity_band": F.when(F.size("forced") > 0, "critical").otherwise(score.band(c("severity"))),
+        "severity_band": F.when(F.size("forced") > 0, "critical").otherwise(score.band("severity")),
         "signals": signals_json(
             subtype=F.lit("quic_blind_spot"), l7_app=c("l7_app"), l7_source=c("l7_source"), protocol=c("protocol"),
             exposed_port=c("port"), service=c("service"), source=c("source"), source_kind=c("source_kind"),
             dest=c("d"), dest_display=c("d_display"), dest_tags=F.array_sort("dest_tags"), src_zone=c("src_zone"),
-            dst_zone=c("dst_zone"), boundary_crossed=score.crosses(c("src_zone"), c("dst_zone")),
-            uninspectable=F.lit(True), port_class=score.port_class(c("protocol"), c("port")),
-            forced_reasons=c("forced"), severity_vector=_vector(), tool=c("source_tool"), raw_ref=c("raw_ref"),
+            dst_zone=c("dst_zone"), boundary_crossed=score.crosses("src_zone", "dst_zone"),
+            uninspectable=F.lit(True), port_class=score.port_class("protocol", "port"),
+            forced_reasons=c("forced"), severity_vector=vector(), tool=c("source_tool"), raw_ref=c("raw_ref"),
             remediation_hint=F.lit("Block UDP/443 (force the TLS fallback) or route QUIC through "
                                    "an inspection-capable enforcement point.")),
         "involved": F.array("s", "d"), "raw_refs": F.array("raw_ref"), "source_tools": F.array("source_tool"),
@@ -176,12 +176,12 @@ def tls_fallback(placed: DataFrame) -> DataFrame:
         "type": F.lit("transport_exposure"),
         "title": F.concat(c("d_display"), F.lit(f" is reachable on both {tcp} and {udp_} "
                                                 "— QUIC cannot be forced to the inspectable path")),
-        "forced_critical": F.lit(False), "severity_band": score.band(c("severity")),
+        "forced_critical": F.lit(False), "severity_band": score.band("severity"),
         "signals": signals_json(
             subtype=F.lit("tls_fallback_not_blocked"), dest=c("d"), dest_display=c("d_display"),
             dest_tags=F.array_sort("dest_tags"), pair=L.strings([tcp, udp_]), tcp_refs=c("tcp_refs"),
             udp_refs=c("udp_refs"), n_tcp=c("n_tcp"), n_udp=c("n_udp"),
-            port_class=score.port_class(c("protocol"), c("port")), severity_vector=_vector(),
+            port_class=score.port_class("protocol", "port"), severity_vector=vector(),
             remediation_hint=F.lit(f"Block {udp_} so traffic falls back to the inspectable {tcp} path, "
                                    "or inspect QUIC explicitly.")),
         "involved": F.array("d"),

@@ -17,7 +17,7 @@ def directory(found: Identities) -> DataFrame:
     """Every observed name with the facts of its asset: one row per name."""
     facts = found.assets.select(
         F.col("asset_key").alias("node"), "kind", "tags", F.col("display_name").alias("display"),
-        score.zone(F.col("asset_key"), F.col("tags")).alias("zone"))
+        score.zone("asset_key", "tags").alias("zone"))
     return found.alias_map.withColumnRenamed("asset_key", "node").join(facts, "node")
 
 
@@ -27,12 +27,11 @@ def place(records: DataFrame, names: DataFrame) -> DataFrame:
         records = lookup(records, F.col(token), names, "name", {
             f"{side}_node": "node", f"{side}_zone": "zone", f"{side}_display": "display",
             f"{side}_kind": "kind", f"{side}_tags": "tags"}, spread=F.col("record_seq"))
-    unnamed_tags = F.when(F.col("action") == "allow", L.empty_strings()).otherwise(F.col("dest_tags"))
     return records.withColumns({
         "s": F.coalesce("s_node", "source"), "d": F.coalesce("d_node", "destination"),
         "s_known": F.col("s_node").isNotNull(), "d_known": F.col("d_node").isNotNull(),
-        "src_zone": F.coalesce("s_zone", score.zone(F.col("source"), L.empty_strings())),
-        "dst_zone": F.coalesce("d_zone", score.zone(F.col("destination"), unnamed_tags)),
+        "src_zone": F.coalesce("s_zone", score.zone("source")),
+        "dst_zone": F.coalesce("d_zone", F.when(is_allow(), score.zone("destination")).otherwise(score.zone("destination", "dest_tags"))),
         "s_display": F.coalesce("s_display", "source"), "d_display": F.coalesce("d_display", "destination"),
         "s_kind": F.coalesce("s_kind", F.lit("abstract")), "d_kind": F.coalesce("d_kind", F.lit("abstract")),
         "s_tags": F.coalesce("s_tags", L.empty_strings()), "d_tags": F.coalesce("d_tags", L.empty_strings()),
@@ -47,14 +46,14 @@ def nodes(assets: DataFrame, placed: DataFrame) -> DataFrame:
     """Assets, plus endpoints of allow rules that no asset covers (abstract, untagged)."""
     listed = assets.select(
         F.col("asset_key").alias("node"), "kind", "tags", "ip_set", F.col("display_name").alias("display"),
-        score.zone(F.col("asset_key"), F.col("tags")).alias("zone"), F.col("source_tools").alias("tools"))
+        score.zone("asset_key", "tags").alias("zone"), F.col("source_tools").alias("tools"))
     loose = placed.filter(is_allow()).select(F.explode(F.array(
         F.when(~F.col("s_known"), F.col("s")), F.when(~F.col("d_known"), F.col("d")))).alias("node")).filter(
         "node IS NOT NULL").distinct()
     none = L.empty_strings()
     return listed.unionByName(loose.select(
         "node", F.lit("abstract").alias("kind"), none.alias("tags"), none.alias("ip_set"),
-        F.col("node").alias("display"), score.zone(F.col("node"), none).alias("zone"), none.alias("tools")))
+        F.col("node").alias("display"), score.zone("node").alias("zone"), none.alias("tools")))
 
 
 def grants(placed: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def edges(placed: DataFrame) -> DataFrame:
 
 
 def sensitive_nodes(node_table: DataFrame) -> DataFrame:
-    return node_table.filter(L.is_sensitive(F.col("tags"))).select("node").orderBy("node")
+    return node_table.filter(L.is_sensitive("tags")).select("node").orderBy("node")
 
 
 def port_label(ports: Column) -> Column:
@@ -117,7 +116,7 @@ def busiest(node_table: DataFrame, pairs: DataFrame, n: int = 90) -> DataFrame:
 def focus(node_table: DataFrame, pairs: DataFrame, path_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes on paths, the internet and sensitive nodes, with their neighbours; and the edges among them."""
     seeds = (path_nodes.select("node").unionByName(node_table.filter(
-        L.is_sensitive(F.col("tags")) | (F.col("node") == L.INTERNET)).select("node")).distinct())
+        L.is_sensitive("tags") | (F.col("node") == L.INTERNET)).select("node")).distinct())
     near = (pairs.join(seeds.withColumnRenamed("node", "s"), "s", "left_semi").select(F.col("d").alias("node"))
             .unionByName(pairs.join(seeds.withColumnRenamed("node", "d"), "d", "left_semi").select(F.col("s").alias("node"))))
     kept = seeds.unionByName(near).distinct().join(node_table.select("node"), "node", "left_semi")

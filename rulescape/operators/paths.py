@@ -113,7 +113,7 @@ def describe(paths: DataFrame, node_table: DataFrame) -> DataFrame:
                    {"entry_zone": "zone", "entry_display": "display"}, spread)
     paths = lookup(paths, F.col("terminal"), node_table, "node",
                    {"terminal_zone": "zone", "terminal_node_tags": "tags"}, spread)
-    zones = F.coalesce("entry_zone", F.lit("internal")), F.coalesce("terminal_zone", F.lit("internal"))
+    zones = "coalesce(entry_zone, 'internal')", "coalesce(terminal_zone, 'internal')"
     last = F.try_element_at("hops", F.lit(-1))
     return paths.withColumns({
         "display_path": F.concat(F.array(F.coalesce("entry_display", "entry")),
@@ -130,7 +130,7 @@ def internet_paths(edges: DataFrame, node_table: DataFrame, source: str = L.INTE
                    max_hops: int = MAX_HOPS) -> DataFrame:
     """All simple paths from `source` to sensitive nodes, not yet described."""
     all_goals = F.lit("*").alias("goal")
-    goals = node_table.filter(L.is_sensitive(F.col("tags")) & (F.col("node") != source)).select(all_goals, "node")
+    goals = node_table.filter(L.is_sensitive("tags") & (F.col("node") != source)).select(all_goals, "node")
     starts = node_table.filter(F.col("node") == source).select(all_goals, "node")
     return simple_paths(hop_edges(edges), starts, goals, through_goals=True, max_hops=max_hops)
 
@@ -174,7 +174,7 @@ def paths_between(queries: DataFrame, names: DataFrame, edges: DataFrame, grants
         g = grants.select(F.col("s").alias("ls"), F.col("d").alias("ld"), F.col("protocol").alias("gp"),
                           F.col("port").alias("gs"), F.col("port_end").alias("ge"), F.col("l7_app").alias("ga"))
         answered = wanted.join(g, ["ls", "ld"]).filter(grant_answers(
-            *[F.col(c) for c in ("protocol", "port", "app", "gp", "gs", "ge", "ga")])).select(
+            "protocol", "port", "app", "gp", "gs", "ge", "ga")).select(
             "query_id", "ls", "ld").distinct()
         found = found.filter(free).unionByName(
             strict.join(answered, ["query_id", "ls", "ld"], "left_semi").drop("ls", "ld"))

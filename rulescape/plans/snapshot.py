@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -54,7 +54,7 @@ def detect(view: View) -> DataFrame:
 
 def finding_order() -> list[Column]:
     """Total order of findings: forced, severity, band, type, id."""
-    return [F.desc("forced_critical"), F.desc("severity"), L.band_rank(F.col("severity_band")), F.asc("type"),
+    return [F.desc("forced_critical"), F.desc("severity"), L.band_rank("severity_band"), F.asc("type"),
             F.asc("finding_id")]
 
 

@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", name: str = "rulescape") -> SparkSessi
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import lookups as L
-from ..schemas import ENTITY
-from .normalize import Normalized, merge_entities, normalize_rules, resolved_row, union_all
+from .normalize import CATALOG, RULE, SEEN, Normalized, Parsed, normalize, resolved_rows, shaped, union_parsed
 
 FIREWALL, MICROSEG, CLOUD = "algosec", "guardicore", "wiz"
 TOOL_RANK = {FIREWALL: 0, MICROSEG: 1, CLOUD: 2}
@@ -19,122 +18,79 @@ def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def _sequence(tool: str, device: str | None = None):
-    """Source order: tool, then document, then position."""
-    doc = F.crc32(F.coalesce(F.col(device), F.lit("")).cast("binary")) if device else F.lit(0).cast("bigint")
-    return F.lit(TOOL_RANK[tool] << 56) + F.shiftleft(doc, 24) + F.col("pos")
+def _rules(export: DataFrame, field: str, tool: str, device: str = "''", **given: str) -> DataFrame:
+    """Rule rows in source order: tool, then document, then position."""
+    rows = export.selectExpr(f"{device} AS device", f"posexplode({field}) AS (pos, r)").select("device", "pos", "r.*")
+    rank = TOOL_RANK[tool]
+    seq = f"{rank << 56}L + shiftleft(CASE WHEN device = '' THEN 0L ELSE crc32(device) END, 24) + pos"
+    return shaped(rows, RULE, source_tool=f"'{tool}'", tool_rank=str(rank), record_seq=seq, **given)
 
 
-def _rows(export: DataFrame, field: str, *keep: str) -> DataFrame:
-    return export.select(*keep, F.posexplode(field).alias("pos", "r")).select(*keep, "pos", "r.*")
+def _catalog(export: DataFrame, field: str, device: str = "''") -> DataFrame:
+    return export.selectExpr(f"{device} AS device", f"explode({field}) AS (name, v)").select(
+        "device", "name", "v.*").withColumn("tags", F.coalesce("tags", L.empty_strings()))
 
 
-def _catalog(export: DataFrame, field: str, *keep: str) -> DataFrame:
-    return export.select(*keep, F.explode(field).alias("name", "v")).select(*keep, "name", "v.*").withColumn(
-        "tags", F.coalesce("tags", L.empty_strings()))
+def _listed(catalog: DataFrame, tool: str, identifiers: str) -> DataFrame:
+    return shaped(catalog, SEEN, tool=f"'{tool}'", tool_rank=str(TOOL_RANK[tool]), kind="'identity'",
+                  identifiers=identifiers, abstract="false", record_seq="-1")
 
 
-def normalize_firewall(export: DataFrame) -> Normalized:
+def parse_firewall(export: DataFrame) -> Parsed:
+    device = "coalesce(device, '')"
     objects = _catalog(export, "objects", "device")
-    host = F.col("type") == "host"
-    catalog = objects.select(
-        F.lit(FIREWALL).alias("source_tool"), "name", F.when(host, F.col("value")).alias("ip"),
-        F.when(~F.coalesce(host, F.lit(False)), F.col("value")).alias("cidr"), "tags")
-    rules = _rows(export, "rules", "device").select(
-        F.lit(FIREWALL).alias("source_tool"), F.lit(TOOL_RANK[FIREWALL]).alias("tool_rank"),
-        F.col("rule_id").alias("raw_ref"), "src", "dst", "service", "app", "action", "order",
-        F.col("comment").alias("note"), _sequence(FIREWALL, "device").alias("record_seq"))
-    records, entities = normalize_rules(rules, catalog)
-    resolved = objects.select(*resolved_row(
-        FIREWALL, F.col("device"), F.lit("address"), F.lit(False),
-        value=F.col("value"), type=F.col("type"), tags=F.col("tags")))
-    return Normalized(records, entities, resolved)
-
-
-def _named_ends(rules: DataFrame, names: DataFrame, tool: str) -> DataFrame:
-    """Entities of endpoints the tool's own catalog does not list."""
-    ends = rules.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(names, "name", "left_anti")
-    return ends.select(
-        "name", F.lit("identity").alias("kind"), F.lit(tool).alias("tool"), F.lit(TOOL_RANK[tool]).alias("tool_rank"),
-        F.lit(None).cast("string").alias("ip"), F.lit(None).cast("string").alias("cidr"),
-        L.empty_strings().alias("tags"), F.lit(None).cast("map<string,string>").alias("identifiers"),
-        F.lit(False).alias("abstract"))
-
-
-def _as_names(records: DataFrame) -> DataFrame:
-    """These tools name identities; a name that looks like a network stays a name."""
-    return records.withColumns({
-        "source_kind": F.lit("identity"), "destination_kind": F.lit("identity"),
-        "src_net": F.lit(None).cast(records.schema["src_net"].dataType)})
+    host = "coalesce(type = 'host', false)"
+    return Parsed(
+        _rules(export, "rules", FIREWALL, device, raw_ref="rule_id", note="comment"),
+        shaped(objects, CATALOG, source_tool=f"'{FIREWALL}'", ip=f"CASE WHEN {host} THEN value END",
+               cidr=f"CASE WHEN NOT {host} THEN value END"),
+        shaped(objects.filter("false"), SEEN),
+        resolved_rows(objects, FIREWALL, ["value", "type", "tags"], device="device"))
 
 
-def normalize_microseg(export: DataFrame) -> Normalized:
+def parse_microseg(export: DataFrame) -> Parsed:
     labels = _catalog(export, "labels")
-    catalog = labels.select(F.lit(MICROSEG).alias("source_tool"), "name", F.lit(None).cast("string").alias("ip"),
-                            F.lit(None).cast("string").alias("cidr"), "tags")
-    rules = _rows(export, "policies").select(
-        F.lit(MICROSEG).alias("source_tool"), F.lit(TOOL_RANK[MICROSEG]).alias("tool_rank"),
-        F.col("policy_id").alias("raw_ref"), F.col("src_label").alias("src"), F.col("dst_label").alias("dst"),
-        "port", "protocol", "app", "action", ((F.col("pos") + 1) * 10).alias("order"),
-        F.col("ruleset").alias("note"), _sequence(MICROSEG).alias("record_seq"))
-    records, _ = normalize_rules(rules, catalog)
-    entities = labels.select(
-        "name", F.lit("identity").alias("kind"), F.lit(MICROSEG).alias("tool"),
-        F.lit(TOOL_RANK[MICROSEG]).alias("tool_rank"), F.lit(None).cast("string").alias("ip"),
-        F.lit(None).cast("string").alias("cidr"), "tags",
-        F.create_map(F.lit("role"), F.col("role"), F.lit("env"), F.col("env")).alias("identifiers"),
-        F.lit(False).alias("abstract"))
-    resolved = labels.select(*resolved_row(
-        MICROSEG, F.lit(None).cast("string"),
-        F.when(F.col("role") == "segment", "zone").otherwise("application"), F.lit(False),
-        role=F.col("role"), env=F.col("env"), tags=F.col("tags")))
-    return Normalized(_as_names(records), entities.unionByName(_named_ends(rules, labels, MICROSEG)).select(*ENTITY),
-                      resolved)
+    return Parsed(
+        _rules(export, "policies", MICROSEG, raw_ref="policy_id", src="src_label", dst="dst_label", src_named="true",
+               dst_named="true", order="(pos + 1) * 10", note="ruleset"),
+        shaped(labels, CATALOG, source_tool=f"'{MICROSEG}'"),
+        _listed(labels, MICROSEG, "map('role', role, 'env', env)"),
+        resolved_rows(labels, MICROSEG, ["role", "env", "tags"],
+                      kind="CASE WHEN role = 'segment' THEN 'zone' ELSE 'application' END"))
 
 
-def normalize_cloud(export: DataFrame) -> Normalized:
+def parse_cloud(export: DataFrame) -> Parsed:
     assets = _catalog(export, "assets")
-    catalog = assets.select(F.lit(CLOUD).alias("source_tool"), "name", "ip", F.lit(None).cast("string").alias("cidr"),
-                            "tags")
-    ingress = F.col("kind") == "internet_ingress"
-    rules = _rows(export, "exposures").select(
-        F.lit(CLOUD).alias("source_tool"), F.lit(TOOL_RANK[CLOUD]).alias("tool_rank"),
-        F.col("exposure_id").alias("raw_ref"), F.when(ingress, L.INTERNET).otherwise(F.col("src")).alias("src"), "dst",
-        "port", "protocol", "app", F.lit("allow").alias("action"), F.lit(None).cast("int").alias("order"),
-        F.col("kind").alias("note"), _sequence(CLOUD).alias("record_seq"))
-    records, _ = normalize_rules(rules, catalog)
-    opened = F.col("note") == "internet_ingress"
-    records = records.withColumns({
-        "source_kind": F.when(opened, "cidr").otherwise("identity"), "destination_kind": F.lit("identity"),
-        "src_net": F.when(opened, F.col("src_net"))})
-    text = F.col("internet_facing").cast("string")
-    listed = assets.select(
-        "name", F.lit("identity").alias("kind"), F.lit(CLOUD).alias("tool"), F.lit(TOOL_RANK[CLOUD]).alias("tool_rank"),
-        "ip", F.lit(None).cast("string").alias("cidr"), "tags",
-        F.create_map(F.lit("cloud"), F.col("cloud"), F.lit("type"), F.col("type"),
-                     F.lit("internet_facing"), text).alias("identifiers"),
-        F.lit(False).alias("abstract"))
-    internet = export.limit(1).select(
-        F.lit(L.INTERNET).alias("name"), F.lit("cidr").alias("kind"), F.lit(CLOUD).alias("tool"),
-        F.lit(TOOL_RANK[CLOUD]).alias("tool_rank"), F.lit(None).cast("string").alias("ip"),
-        F.lit(L.INTERNET).alias("cidr"), L.empty_strings().alias("tags"),
-        F.lit(None).cast("map<string,string>").alias("identifiers"), F.lit(True).alias("abstract"))
-    base = internet.unionByName(listed)
-    entities = base.unionByName(_named_ends(rules, base.select("name"), CLOUD)).select(*ENTITY)
-    resolved = assets.select(*resolved_row(
-        CLOUD, F.lit(None).cast("string"), F.lit("address"), F.coalesce("internet_facing", F.lit(False)),
-        ip=F.col("ip"), type=F.col("type"), cloud=F.col("cloud"), tags=F.col("tags"),
-        internet_facing=F.col("internet_facing")))
-    return Normalized(records, entities, resolved)
+    ingress = "kind = 'internet_ingress'"
+    internet = shaped(export.limit(1), SEEN, name=f"'{L.INTERNET}'", kind="'cidr'", tool=f"'{CLOUD}'",
+                      tool_rank=str(TOOL_RANK[CLOUD]), cidr=f"'{L.INTERNET}'", tags="array()", abstract="true",
+                      record_seq="-2")
+    return Parsed(
+        _rules(export, "exposures", CLOUD, raw_ref="exposure_id", action="'allow'", note="kind",
+               src=f"CASE WHEN {ingress} THEN '{L.INTERNET}' ELSE src END", src_named=f"NOT ({ingress})",
+               dst_named="true"),
+        shaped(assets, CATALOG, source_tool=f"'{CLOUD}'"),
+        _listed(assets, CLOUD, "map('cloud', cloud, 'type', type, 'internet_facing', CAST(internet_facing AS string))")
+        .unionByName(internet),
+        resolved_rows(assets, CLOUD, ["ip", "type", "cloud", "tags", "internet_facing"], dynamic="internet_facing"))
 
 
-def load_exports(spark: SparkSession, firewall: str, microseg: str, cloud: str) -> Normalized:
-    return union_all([
-        normalize_firewall(read_export(spark, firewall, schemas.FIREWALL_EXPORT)),
-        normalize_microseg(read_export(spark, microseg, schemas.MICROSEG_EXPORT)),
-        normalize_cloud(read_export(spark, cloud, schemas.CLOUD_EXPORT)),
-    ])
+def normalize_firewall(export: DataFrame) -> Normalized:
+    return normalize(parse_firewall(export))
+
+
+def normalize_microseg(export: DataFrame) -> Normalized:
+    return normalize(parse_microseg(export))
+
+
+def normalize_cloud(export: DataFrame) -> Normalized:
+    return normalize(parse_cloud(export))
 
 
-__all__ = ["Normalized", "load_exports", "merge_entities", "normalize_cloud", "normalize_firewall",
-           "normalize_microseg", "read_export"]
+def load_exports(spark: SparkSession, firewall: str, microseg: str, cloud: str) -> Normalized:
+    """All three exports as one set of tables, resolved in one pass."""
+    return normalize(union_parsed([
+        parse_firewall(read_export(spark, firewall, schemas.FIREWALL_EXPORT)),
+        parse_microseg(read_export(spark, microseg, schemas.MICROSEG_EXPORT)),
+        parse_cloud(read_export(spark, cloud, schemas.CLOUD_EXPORT)),
+    ]))

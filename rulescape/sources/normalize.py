@@ -5,14 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
-from ..functions import lookups as L
 from ..functions.service import with_service
 from ..operators.joins import lookup
-from ..schemas import ENTITY, RECORD, RESOLVED
+from ..schemas import ENTITY, RECORD
 
 
 class Normalized(NamedTuple):
@@ -21,76 +20,95 @@ class Normalized(NamedTuple):
     resolved: DataFrame
 
 
-def union_all(parts: list[Normalized]) -> Normalized:
-    return Normalized(*[reduce(DataFrame.unionByName, column) for column in zip(*parts)])
+class Parsed(NamedTuple):
+    """A source flattened to tables, before names are resolved."""
 
+    rules: DataFrame      # RULE columns
+    catalog: DataFrame    # source_tool, name, ip, cidr, tags
+    listed: DataFrame     # SEEN columns: entities the source lists whether or not a rule names them
+    resolved: DataFrame   # schemas.RESOLVED
 
-def optional(df: DataFrame, name: str, kind: str) -> DataFrame:
-    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
+RULE = {
+    "source_tool": "string", "tool_rank": "int", "raw_ref": "string", "src": "string", "dst": "string",
+    "src_named": "boolean", "dst_named": "boolean", "service": "string", "port": "int", "protocol": "string",
+    "app": "string", "action": "string", "order": "int", "note": "string", "record_seq": "bigint",
+}
+CATALOG = {"source_tool": "string", "name": "string", "ip": "string", "cidr": "string", "tags": "array<string>"}
+SEEN = {
+    "name": "string", "kind": "string", "tool": "string", "tool_rank": "int", "ip": "string", "cidr": "string",
+    "tags": "array<string>", "identifiers": "map<string,string>", "abstract": "boolean", "record_seq": "bigint",
+}
 
-def with_endpoint(df: DataFrame, token: str, out: str) -> DataFrame:
-    """Add `out`, `out`_kind and `out`_net: a canonical network, or the name itself."""
-    df = net.with_network(df, token, f"{out}_net")
-    cidr = net.is_cidr(token, f"{out}_net")
-    return df.withColumns({
-        f"{out}_kind": F.when(cidr, "cidr").otherwise("identity"),
-        out: F.when(cidr, net.network_text(f"{out}_net")).otherwise(F.col(token)),
-    }).withColumn(f"{out}_net", F.when(F.col(f"{out}_kind") == "cidr", F.col(f"{out}_net")))
 
+def shaped(df: DataFrame, columns: dict[str, str], **given: str) -> DataFrame:
+    """Select `columns` with their types: SQL from `given`, else the same-named column, else NULL."""
+    def source(name: str) -> str:
+        return given.get(name) or (f"`{name}`" if name in df.columns else "NULL")
 
-def _catalog_key(name: Column, kind: Column, tool: Column, by_tool: bool) -> Column:
-    key = F.concat_ws("\x1f", tool, name) if by_tool else name
-    return F.when(kind == "identity", key)
+    return df.selectExpr(*[f"CAST({source(n)} AS {t}) AS `{n}`" for n, t in columns.items()])
 
 
-def normalize_rules(rules: DataFrame, catalog: DataFrame, by_tool: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Records and entities of rules whose ends are networks or catalog names.
+def with_endpoint(df: DataFrame, token: str, out: str, named: str = "false") -> DataFrame:
+    """Add `out`, `out`_kind and `out`_net: a canonical network, or the name itself.
 
-    `rules`: source_tool, tool_rank, raw_ref, src, dst, action, order, record_seq and any
-    of service, port, protocol, app, note. `catalog`: source_tool, name, ip, cidr, tags.
+    `named` (SQL) marks tokens that are names even when they look like a network.
     """
-    for name, kind in (("service", "string"), ("port", "int"), ("protocol", "string"), ("app", "string"),
-                       ("note", "string")):
-        rules = optional(rules, name, kind)
-    rules = with_endpoint(with_endpoint(rules, "src", "source"), "dst", "destination")
-    dim = catalog.withColumn("__k", F.concat_ws("\x1f", "source_tool", "name") if by_tool else F.col("name"))
+    text = f"__{out}_token"
+    df = net.with_network(df.withColumn(text, F.expr(f"CASE WHEN NOT coalesce({named}, false) THEN {token} END")),
+                          text, f"{out}_net")
+    cidr = net.is_cidr(text, f"{out}_net")
+    return df.withColumn(f"{out}_kind", F.when(cidr, "cidr").otherwise("identity")).withColumns({
+        f"{out}_net": F.expr(f"CASE WHEN {out}_kind = 'cidr' THEN {out}_net END"),
+        out: F.when(F.col(f"{out}_kind") == "cidr", net.network_text(f"{out}_net")).otherwise(F.col(token)),
+    }).drop(text)
+
+
+def normalize(parsed: Parsed, by_tool: bool = True) -> Normalized:
+    """Resolve rule ends against the catalog and decode services.
+
+    With `by_tool` each tool sees only its own catalog entries.
+    """
+    rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
+    key = "concat_ws('\\u001f', source_tool, {0})" if by_tool else "{0}"
+    dim = parsed.catalog.withColumn("__k", F.expr(key.format("name")))
     for side in ("source", "destination"):
-        rules = lookup(rules, _catalog_key(F.col(side), F.col(f"{side}_kind"), F.col("source_tool"), by_tool),
-                       dim, "__k", {f"{side}_ip": "ip", f"{side}_cidr": "cidr", f"{side}_tags": "tags"},
+        wanted = F.expr(f"CASE WHEN {side}_kind = 'identity' THEN {key.format(side)} END")
+        rules = lookup(rules, wanted, dim, "__k", {f"{side}_ip": "ip", f"{side}_cidr": "cidr", f"{side}_tags": "tags"},
                        spread=F.col("record_seq"))
-    rules = with_service(rules, F.col("service"), F.col("port"), F.col("protocol"), F.col("app"))
-    records = rules.select(
-        F.col("raw_ref").alias("id"), "source_tool", "raw_ref", "source", "source_kind", "destination",
-        "destination_kind", F.coalesce("destination_tags", L.empty_strings()).alias("dest_tags"), "service", "port",
-        "port_end", "protocol", "l7_app", "l7_source", "action", "order", "source_ip",
-        F.col("destination_ip").alias("dest_ip"), "note", F.col("source_net").alias("src_net"), "record_seq",
-    ).select(*RECORD)
-    seen = rules.select(F.explode(F.array(*[F.struct(
-        F.col(side).alias("name"), F.col(f"{side}_kind").alias("kind"), F.col("source_tool").alias("tool"), "tool_rank",
-        F.col(f"{side}_ip").alias("ip"),
-        F.when(F.col(f"{side}_kind") == "cidr", F.col(side)).otherwise(F.col(f"{side}_cidr")).alias("cidr"),
-        F.coalesce(f"{side}_tags", L.empty_strings()).alias("tags"), "record_seq",
-    ) for side in ("source", "destination")])).alias("e")).select("e.*")
-    return records, merge_entities(seen)
+    none = "CAST(array() AS array<string>)"
+    records = with_service(rules, "service", "port", "protocol", "app").withColumns({
+        "id": F.col("raw_ref"), "dest_tags": F.expr(f"coalesce(destination_tags, {none})"),
+        "dest_ip": F.col("destination_ip"), "src_net": F.col("source_net")}).select(*RECORD)
+    ends = ", ".join(
+        f"named_struct('name', {s}, 'kind', {s}_kind, 'ip', {s}_ip, 'cidr', CASE WHEN {s}_kind = 'cidr' THEN {s} "
+        f"ELSE {s}_cidr END, 'tags', coalesce({s}_tags, {none}))" for s in ("source", "destination"))
+    seen = shaped(rules.selectExpr("source_tool AS tool", "tool_rank", "record_seq", f"explode(array({ends})) AS e")
+                  .select("tool", "tool_rank", "record_seq", "e.*"), SEEN)
+    return Normalized(records, merge_entities(seen.unionByName(parsed.listed)), parsed.resolved)
 
 
 def merge_entities(seen: DataFrame) -> DataFrame:
     """One row per (tool, name): union of tags, first address seen, abstract if all are."""
-    seen = optional(optional(seen, "identifiers", "map<string,string>"), "abstract", "boolean")
-    seq = F.col("record_seq")
     return seen.groupBy("tool", "name").agg(
-        F.min_by("kind", seq).alias("kind"), F.min("tool_rank").alias("tool_rank"),
-        F.min_by("ip", F.when(F.col("ip").isNotNull(), seq)).alias("ip"),
-        F.min_by("cidr", F.when(F.col("cidr").isNotNull(), seq)).alias("cidr"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
-        F.min_by("identifiers", F.when(F.col("identifiers").isNotNull(), seq)).alias("identifiers"),
-        F.bool_and(F.coalesce("abstract", F.col("kind") == "cidr")).alias("abstract"),
+        F.expr("min_by(kind, record_seq)").alias("kind"), F.expr("min(tool_rank)").alias("tool_rank"),
+        F.expr("min_by(ip, CASE WHEN ip IS NOT NULL THEN record_seq END)").alias("ip"),
+        F.expr("min_by(cidr, CASE WHEN cidr IS NOT NULL THEN record_seq END)").alias("cidr"),
+        F.expr("array_sort(array_distinct(flatten(collect_set(tags))))").alias("tags"),
+        F.expr("min_by(identifiers, CASE WHEN identifiers IS NOT NULL THEN record_seq END)").alias("identifiers"),
+        F.expr("bool_and(coalesce(abstract, kind = 'cidr'))").alias("abstract"),
     ).select(*ENTITY)
 
 
-def resolved_row(tool: str, device: Column, kind: Column, dynamic: Column, **fields: Column) -> list[Column]:
-    """Select list of a name -> value audit row; fields serialise in alphabetical order."""
-    body = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
-    return [c.alias(n) for n, c in zip(RESOLVED, (
-        F.lit(tool), device, F.col("name"), kind, F.to_json(body, {"ignoreNullFields": "false"}), dynamic))]
+def union_parsed(parts: list[Parsed]) -> Parsed:
+    return Parsed(*[reduce(DataFrame.unionByName, column) for column in zip(*parts)])
+
+
+def resolved_rows(catalog: DataFrame, tool: str, fields: list[str], device: str = "NULL", kind: str = "'address'",
+                  dynamic: str = "false") -> DataFrame:
+    """Name -> value audit rows; the value is JSON with its fields in alphabetical order."""
+    body = ", ".join(f"'{f}', `{f}`" for f in sorted(fields))
+    return catalog.selectExpr(
+        f"'{tool}' AS source_tool", f"CAST({device} AS string) AS source_device", "name AS object_name",
+        f"{kind} AS object_kind", f"to_json(named_struct({body}), map('ignoreNullFields', 'false')) AS resolved",
+        f"coalesce({dynamic}, false) AS is_dynamic")

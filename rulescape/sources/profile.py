@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from .normalize import Normalized, normalize_rules, resolved_row
+from .normalize import CATALOG, RULE, SEEN, Normalized, Parsed, normalize, resolved_rows, shaped
 
 
 @dataclass(frozen=True)
@@ -77,28 +77,26 @@ def apply_profile(docs: DataFrame, p: SourceProfile) -> Normalized:
     """Records, entities and resolved objects of documents with one VARIANT column `doc`."""
     fm = p.fields
     objects = _objects(docs, p)
-    catalog = objects.select(
-        F.lit(p.tool).alias("source_tool"), "name", F.when(F.col("type") == "host", F.col("value")).alias("ip"),
-        F.when(F.col("type") != "host", F.col("value")).alias("cidr"), "tags")
     nth = F.col("pos") + 1
     action = _field(fm.action) if fm.action else F.lit(fm.default_action)
+    none = F.lit(None).cast("string")
     rules = _items(docs, p.rules_path).select(
-        F.lit(p.tool).alias("source_tool"), F.lit(p.tool_rank).alias("tool_rank"),
         F.coalesce(_field(fm.ref), F.concat(F.lit(p.tool.upper() + "-"), nth.cast("string"))).alias("raw_ref"),
         F.coalesce(_field(fm.src), F.lit("None")).alias("src"), F.coalesce(_field(fm.dst), F.lit("None")).alias("dst"),
         _field(fm.service).alias("service"),
-        (F.lit(None).cast("int") if fm.service else _field(fm.port, "int")).alias("port"),
-        (F.lit(None).cast("string") if fm.service else _field(fm.protocol)).alias("protocol"),
-        _field(fm.app).alias("app"),
+        (none if fm.service else _field(fm.port, "int")).alias("port"),
+        (none if fm.service else _field(fm.protocol)).alias("protocol"), _field(fm.app).alias("app"),
         F.when(action.isin("allow", "deny"), action).otherwise("allow").alias("action"),
-        (_field(fm.order, "int") if fm.order else (nth * 10).cast("int")).alias("order"),
+        (_field(fm.order, "int") if fm.order else nth * 10).alias("order"),
         (F.lit(p.tool_rank << 50) + F.col("pos")).alias("record_seq"))
-    records, entities = normalize_rules(rules, catalog)
-    none = F.lit(None).cast("string")
-    resolved = objects.select(*resolved_row(
-        p.tool, F.lit(p.device).cast("string"), F.lit("address"), F.lit(False),
-        value=F.col("value"), type=F.col("type"), tags=F.col("tags")))
-    return Normalized(records.withColumns({"source_ip": none, "dest_ip": none}), entities, resolved)
+    tool = L.literal(p.tool)
+    out = normalize(Parsed(
+        shaped(rules, RULE, source_tool=tool, tool_rank=str(p.tool_rank)),
+        shaped(objects, CATALOG, source_tool=tool, ip="CASE WHEN type = 'host' THEN value END",
+               cidr="CASE WHEN type <> 'host' THEN value END"),
+        shaped(objects.filter("false"), SEEN),
+        resolved_rows(objects, p.tool, ["value", "type", "tags"], device=L.literal(p.device) if p.device else "NULL")))
+    return out._replace(records=out.records.withColumns({"source_ip": none, "dest_ip": none}))
 
 
 def validate_profile(docs: DataFrame, p: SourceProfile) -> tuple[DataFrame, DataFrame]:

@@ -100,7 +100,7 @@ SERVICES = [
 def test_service_decode(spark):
     df = spark.createDataFrame([(i, *s) for i, (s, _) in enumerate(SERVICES)],
                                "i int, s string, p int, pr string, a string")
-    out = with_service(df, F.col("s"), F.col("p"), F.col("pr"), F.col("a")).orderBy("i")
+    out = with_service(df, "s", "p", "pr", "a").orderBy("i")
     for r, (given, want) in zip(out.select(*SERVICE_COLUMNS).collect(), SERVICES):
         assert tuple(r) == want, (given, tuple(r))
 
@@ -112,12 +112,12 @@ def test_severity_rounding_over_the_whole_grid(spark):
     Bs = [1.0, 1.25, 1.5]
     grid = list(itertools.product(Es, Ps, Ds, Bs))
     df = spark.createDataFrame(grid, "E double, P double, D double, B double")
-    got = df.withColumn("s", score.severity(*[F.col(c) for c in "EPDB"])).collect()
+    got = df.withColumn("s", score.severity("E", "P", "D", "B")).collect()
     for r in got:
         raw = r.D * (0.5 + 0.5 * r.P) * (0.4 + 0.6 * r.E) * r.B
         assert r.s == round(100 * min(raw, 1.0)), r
     assert [r.b for r in spark.createDataFrame([(0,), (34,), (35,), (59,), (60,), (79,), (80,)], "s int")
-            .select(score.band(F.col("s")).alias("b")).collect()] == \
+            .select(score.band("s").alias("b")).collect()] == \
         ["low", "low", "medium", "medium", "high", "high", "critical"]
 
 
@@ -125,7 +125,7 @@ def test_exposure_bands(spark):
     rows = [("cidr", 0, 1.0), ("cidr", 1, .9), ("cidr", 8, .9), ("cidr", 9, .7), ("cidr", 16, .7), ("cidr", 23, .5),
             ("cidr", 24, .3), ("cidr", 28, .1), ("cidr", 64, .1), ("cidr", None, .1), ("identity", 0, .1)]
     df = spark.createDataFrame(rows, "k string, n int, want double")
-    for r in df.withColumn("e", score.exposure(F.col("k"), F.col("n"))).collect():
+    for r in df.withColumn("e", score.exposure("k", "n")).collect():
         assert r.e == r.want, r
 
 
@@ -133,8 +133,8 @@ def test_zones_and_tags(spark):
     rows = [("0.0.0.0/0", [], "internet", .4), ("a", ["dev", "dmz"], "dmz", .4), ("a", ["sandbox"], "dev", .2),
             ("a", None, "internal", .4), ("a", ["prod", "pci"], "internal", .9), ("a", ["x"], "internal", .4)]
     df = spark.createDataFrame(rows, "n string, t array<string>, z string, d double")
-    for r in df.withColumns({"gz": score.zone(F.col("n"), F.col("t")),
-                             "gd": score.dest_sensitivity(F.col("t"))}).collect():
+    for r in df.withColumns({"gz": score.zone("n", "t"),
+                             "gd": score.dest_sensitivity("t")}).collect():
         assert (r.gz, r.gd) == (r.z, r.d), r
 
 
@@ -143,7 +143,7 @@ def test_token_cost(spark):
     provider, model = key.split(":")
     df = spark.createDataFrame([(provider, model, 1_000_000, 500_000), ("ollama", model, 5, 5), ("x", "y", 5, 5)],
                                "p string, m string, a long, b long")
-    got = [r.c for r in df.select(score.token_cost(*[F.col(c) for c in "pmab"]).alias("c")).collect()]
+    got = [r.c for r in df.select(score.token_cost("p", "m", "a", "b").alias("c")).collect()]
     assert got == [round(i + 0.5 * o, 6), 0.0, 0.0]
 
 
