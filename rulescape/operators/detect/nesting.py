@@ -22,11 +22,11 @@ def _flat(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({k: F.col(f"{column}.{k}") for k in NET_KEY})
 
 
-def group_lengths(df: DataFrame, group: list[str]) -> DataFrame:
+def group_lengths(df: DataFrame, group: list[str], at_least: int = 2) -> DataFrame:
     """Prefix lengths in use per group and IP version; groups of one rule drop out."""
     bits = [F.bit_or(b).alias(w) for b, w in zip(net.length_bits("src_net"), _WORDS)]
     return df.groupBy(*group, F.col("src_net.version").alias("version")).agg(
-        F.count(F.lit(1)).alias("members"), *bits).filter("members > 1").drop("members")
+        F.count(F.lit(1)).alias("members"), *bits).filter(F.col("members") >= at_least).drop("members")
 
 
 def enclosing(df: DataFrame, lengths: DataFrame, group: list[str]) -> DataFrame:
@@ -37,24 +37,24 @@ def enclosing(df: DataFrame, lengths: DataFrame, group: list[str]) -> DataFrame:
     return _flat(out.drop("version", *_WORDS), "up").drop("up", "level")
 
 
-def nested_pairs(rules: DataFrame, group: list[str], outer_rules: DataFrame | None = None,
-                 lengths: DataFrame | None = None) -> DataFrame:
-    """Each pair of rules of one group whose networks nest, once: columns `o_*` and `i_*`.
+_PAIR = ["raw_ref", "record_seq", "source", "sensitive", "plen0"]
+
+
+def nested_pairs(inner_rules: DataFrame, outer_rules: DataFrame, group: list[str], lengths: DataFrame,
+                 *carry: str) -> DataFrame:
+    """Pairs of one group in which an outer rule's network contains the inner rule's: `o_*` and `i_*`.
 
     Of two equal networks the one with the later (raw_ref, record_seq) is the outer one.
-    `rules` are probed against `outer_rules` (default: themselves).
+    `lengths` are the outer rules' prefix lengths; `carry` are further columns of either side.
     """
-    keep = ["raw_ref", "record_seq", "source", "sensitive", "plen0"]
-    base = rules.withColumn("plen0", F.col("src_net.plen")).select(*group, *keep, "src_net")
-    other = base if outer_rules is None else outer_rules.withColumn("plen0", F.col("src_net.plen")).select(
-        *group, *keep, "src_net")
-    if lengths is None:
-        lengths = group_lengths(base, group)
-    inner = enclosing(base, lengths, group).select(*group, *NET_KEY, *[F.col(c).alias(f"i_{c}") for c in keep])
-    outer = _flat(other, "src_net").select(*group, *NET_KEY, *[F.col(c).alias(f"o_{c}") for c in keep])
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        return df.withColumn("plen0", F.col("src_net.plen")).select(
+            *group, "src_net", *[F.col(c).alias(f"{prefix}_{c}") for c in _PAIR], *[c for c in carry if c in df.columns])
+
+    inner = enclosing(side(inner_rules, "i"), lengths, group).drop("src_net")
+    outer = _flat(side(outer_rules, "o"), "src_net").drop("src_net")
     later = F.struct("o_raw_ref", "o_record_seq") > F.struct("i_raw_ref", "i_record_seq")
-    return inner.join(outer, [*group, *NET_KEY]).filter((F.col("o_plen0") < F.col("i_plen0")) | later).filter(
-        F.col("o_record_seq") != F.col("i_record_seq")).drop(*NET_KEY)
+    return inner.join(outer, [*group, *NET_KEY]).filter((F.col("o_plen0") < F.col("i_plen0")) | later).drop(*NET_KEY)
 
 
 OVERLAP_GROUP = ["source_tool", "destination", "service"]
@@ -91,7 +91,8 @@ def overlap_findings(pairs: DataFrame) -> DataFrame:
 
 def cidr_overlap(placed: DataFrame) -> DataFrame:
     """Allow rules of one tool, destination and service whose sources contain one another."""
-    return overlap_findings(nested_pairs(overlap_rules(placed), OVERLAP_GROUP))
+    found = overlap_rules(placed)
+    return overlap_findings(nested_pairs(found, found, OVERLAP_GROUP, group_lengths(found, OVERLAP_GROUP)))
 
 
 SHADOW_GROUP = ["source_tool", "d"]
@@ -124,9 +125,9 @@ def covering_keys(rules: DataFrame) -> DataFrame:
         F.array(F.lit("*"), F.concat(F.lit("="), "service")))))
 
 
-def probing_keys(rules: DataFrame, lengths: DataFrame) -> DataFrame:
+def probing_keys(rules: DataFrame, lengths: DataFrame, *carry: str) -> DataFrame:
     """Keys under which a rule looks for rules that cover it."""
-    slim = rules.select(*SHADOW_GROUP, "src_net", "who", "open", "service", "order", "raw_ref", "record_seq")
+    slim = rules.select(*SHADOW_GROUP, "src_net", "who", "open", "service", "order", "raw_ref", "record_seq", *carry)
     networks = enclosing(slim.filter("src_net IS NOT NULL"), lengths, SHADOW_GROUP)
     identities = _own_key(slim.filter("src_net IS NULL"))
     svc = F.when(F.col("open"), F.array(F.lit("*"))).otherwise(
