@@ -21,14 +21,19 @@ from .scratch import cut, write_table
 MAX_HOPS = 8
 
 
+def hop() -> Column:
+    """What a path tells of an edge, from the edge table's columns."""
+    rep = {"tool": "source_tool", "service": "service", "ref": "raw_ref", "l7_app": "l7_app", "l7_source": "l7_source"}
+    return F.struct(
+        F.col("s").alias("src"), F.col("d").alias("dst"), F.col("s_display").alias("src_display"),
+        F.col("d_display").alias("dst_display"), *[F.col(f"rep.{c}").alias(n) for n, c in rep.items()],
+        "tools", "services", "apps").alias("hop")
+
+
 def hop_edges(edges: DataFrame) -> DataFrame:
-    """(s, d, d_concrete, hop): what a traversal needs of an edge."""
+    """(s, d, s_concrete, d_concrete, hop): what a traversal needs of an edge."""
     return edges.select("s", "d", (F.col("s_kind") == "concrete").alias("s_concrete"),
-                        (F.col("d_kind") == "concrete").alias("d_concrete"), F.struct(
-        F.col("s").alias("src"), F.col("d").alias("dst"), F.col("s_display").alias("src_display"),
-        F.col("d_display").alias("dst_display"), F.col("rep.source_tool").alias("tool"),
-        F.col("rep.service").alias("service"), F.col("rep.raw_ref").alias("ref"), F.col("rep.l7_app").alias("l7_app"),
-        F.col("rep.l7_source").alias("l7_source"), "tools", "services", "apps").alias("hop"))
+                        (F.col("d_kind") == "concrete").alias("d_concrete"), hop())
 
 
 def usable(hops: DataFrame, starts: DataFrame) -> DataFrame:
