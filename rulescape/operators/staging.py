@@ -10,6 +10,7 @@ from ..functions.service import same_traffic, with_service
 from ..sources.normalize import with_endpoint
 from .detect.nesting import NET_KEY, enclosing, group_lengths
 from .joins import lookup
+from .scratch import cut
 
 BLOCKING = ["contradiction", "stale_target"]
 
@@ -32,7 +33,7 @@ def _meetings(want: DataFrame, placed: DataFrame) -> DataFrame:
     rule = placed.select("d", "source", "action", "raw_ref", "record_seq", "src_net", F.col("protocol").alias("r_protocol"),
                          F.col("port").alias("r_port"))
     busy = want.select("d").distinct()
-    near = rule.join(busy, "d", "left_semi")
+    near = cut(rule.join(busy, "d", "left_semi"))
     w = want.drop("status", "target_tool")
     same = w.join(near.drop("src_net"), (F.col("w_source") == F.col("source")) & (w["d"] == near["d"])).drop(near["d"])
     nets = near.filter("src_net IS NOT NULL")
@@ -53,7 +54,7 @@ def detect_conflicts(staged: DataFrame, placed: DataFrame, names: DataFrame) ->
 
     `staged`: staged_id, kind, target_tool, status, source, destination, service, target_ref.
     """
-    want = _staged_allows(staged, names)
+    want = cut(_staged_allows(staged, names))
     ref, src = F.col("raw_ref"), F.col("source")
     met = _meetings(want, placed)
     kind = (F.when((F.col("action") == "allow") & (src == F.col("w_source")), "duplicate")

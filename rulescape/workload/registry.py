@@ -1,8 +1,8 @@
-"""All registered queries, by name."""
+"""All registered queries, by name (importing a module registers its queries)."""
 
 from __future__ import annotations
 
-from . import core
+from . import changes, core
 
 QUERIES = core.QUERIES
 ORACLES = core.ORACLES
