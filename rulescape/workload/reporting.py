@@ -456,8 +456,8 @@ def audit_tail(spark, sf_dir):
 # ---- suggestions -----------------------------------------------------------------------
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label < 3 THEN 'pci' WHEN a.label < 6 THEN 'phi' ELSE 'customer-data' END AS shared,
-          CAST(round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) AS DOUBLE) AS similarity
-          FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label // 3 = b.label // 3 AND (a.label < 9 OR b.label < 9 OR true)
+          CAST(round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3) AS DOUBLE) AS similarity
+          FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id 
           WHERE (CASE WHEN a.label < 3 THEN 1 WHEN a.label < 6 THEN 2 ELSE 3 END) = (CASE WHEN b.label < 3 THEN 1 WHEN b.label < 6 THEN 2 ELSE 3 END)
             AND round_even(0.5 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.5 * 0.8, 3) >= 0.6""")
 def merge_suggestions(spark, sf_dir):
@@ -470,4 +470,4 @@ def merge_suggestions(spark, sf_dir):
         F.array(F.lit("cloud")).alias("source_tools"))
     out = suggest.suggest_merges(assets, v.select(key.alias("asset_key"), F.col("embedding").alias("vector")), 0.6)
     return out.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"),
-                      F.array_join("shared_sensitive_tags", ",").alias("shared"), F.bround("name_similarity", 2).alias("similarity"))
+                      F.array_join("shared_sensitive_tags", ",").alias("shared"), F.col("name_similarity").alias("similarity"))
