@@ -270,11 +270,11 @@ def validate_fixes(fixes: DataFrame, view, findings: DataFrame, base_paths: Data
     new_crit = per_sig.filter("n_crit = 0 AND dc > 0").groupBy("fix_id").agg(
         F.array_sort(F.collect_set(F.regexp_replace("sig", "\x1f", ":"))).alias("new_criticals"))
     totals = per_sig.groupBy("fix_id").agg(F.sum("dn").alias("dn"))
-    size = findings.agg(F.count(F.lit(1)).alias("findings_before"))
     want = fixes.withColumn("sig", signature(F.col("for_type"), F.col("for_involved")))
     left = per_sig.select("fix_id", "sig", (F.col("n") + F.col("dn")).alias("left"))
     df = (want.join(left, ["fix_id", "sig"], "left").join(base.select("sig", "n"), "sig", "left")
-          .join(new_crit, "fix_id", "left").join(totals, "fix_id", "left").join(F.broadcast(size)))
+          .join(new_crit, "fix_id", "left").join(totals, "fix_id", "left")
+          .withColumn("findings_before", findings.agg(F.count(F.lit(1))).scalar()))
     return df.select(
         "fix_id", (F.coalesce("left", "n", zero) == 0).alias("resolves"),
         F.coalesce("new_criticals", L.empty_strings()).alias("introduces_new_criticals"), "findings_before",

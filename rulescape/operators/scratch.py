@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
 
+_WRITTEN: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is named."""
@@ -30,6 +32,7 @@ def write_table(df: DataFrame, *aggs) -> tuple[DataFrame, dict]:
     """Write `df`, and return it re-read with the observed row count and aggregates."""
     spark = df.sparkSession
     path = f"{folder(spark)}/rulescape-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *aggs).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
@@ -37,3 +40,10 @@ def write_table(df: DataFrame, *aggs) -> tuple[DataFrame, dict]:
 
 def cut(df: DataFrame) -> DataFrame:
     return write_table(df)[0]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table this process wrote; call it once no result that reads them is needed."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

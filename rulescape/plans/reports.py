@@ -83,8 +83,8 @@ def posture_summary(findings: DataFrame, assets: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(((F.col("type") == "cross_tool_path") & reaches)
                              | ((F.col("type") == "over_permissive") & F.col("forced_critical") & tagged)),
                    F.lit(False)).alias("internet_reaches_regulated_data"))
-    owned = assets.agg(F.count_if(L.is_sensitive("tags")).alias("sensitive_assets"))
-    return totals.join(F.broadcast(owned))
+    owned = assets.agg(F.count_if(L.is_sensitive("tags")))
+    return totals.withColumn("sensitive_assets", owned.scalar())
 
 
 def sensitive_assets(assets: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def narrative(findings: DataFrame, assets: DataFrame, listed_assets: int = 1000)
         F.lit(". Internet-exposed access to PCI/customer-data assets is a PCI-DSS segmentation gap (Req. 1) and a "
               "Zero-Trust violation; closing the flagged criticals moves the estate toward an enforced-segmentation "
               "maturity level."))
-    return s.join(F.broadcast(top)).join(F.broadcast(few)).select(text.alias("narrative"))
+    return s.withColumns({"top": top.scalar(), "names": few.scalar()}).select(text.alias("narrative"))
 
 
 def explanation() -> Column:
@@ -305,9 +305,9 @@ def latency_percentiles(m: DataFrame, levels: tuple[float, ...] = (0.5, 0.95)) -
     latencies, not by the number of calls.
     """
     counts = m.filter("latency_ms IS NOT NULL").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy("latency_ms")))
-    total = counts.agg(F.sum("n").alias("total"))
-    marked = run.join(F.broadcast(total))
+    in_order = Window.orderBy("latency_ms")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = counts.withColumns({"upto": F.sum("n").over(in_order), "total": F.sum("n").over(whole)})
     return marked.agg(*[F.coalesce(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col("latency_ms"))),
                                    F.lit(0)).alias(f"p{round(p * 100)}") for p in levels])
 

@@ -87,10 +87,10 @@ def normalize_cloud(export: DataFrame) -> Normalized:
     return normalize(parse_cloud(export))
 
 
-def load_exports(spark: SparkSession, firewall: str, microseg: str, cloud: str) -> Normalized:
+def load_exports(spark: SparkSession, firewall: str, microseg: str, cloud: str, materialize: bool = False) -> Normalized:
     """All three exports as one set of tables, resolved in one pass."""
     return normalize(union_parsed([
         parse_firewall(read_export(spark, firewall, schemas.FIREWALL_EXPORT)),
         parse_microseg(read_export(spark, microseg, schemas.MICROSEG_EXPORT)),
         parse_cloud(read_export(spark, cloud, schemas.CLOUD_EXPORT)),
-    ]))
+    ]), materialize=materialize)

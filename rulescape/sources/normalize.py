@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions.service import with_service
 from ..operators.joins import lookup
+from ..operators.scratch import cut
 from ..schemas import ENTITY, RECORD
 
 
@@ -68,10 +69,11 @@ def with_endpoint(df: DataFrame, token: str, out: str, named: str = "false") ->
     }).drop(text)
 
 
-def normalize(parsed: Parsed, by_tool: bool = True) -> Normalized:
+def normalize(parsed: Parsed, by_tool: bool = True, materialize: bool = False) -> Normalized:
     """Resolve rule ends against the catalog and decode services.
 
-    With `by_tool` each tool sees only its own catalog entries.
+    With `by_tool` each tool sees only its own catalog entries. With `materialize` the resolved
+    rules are written once and shared by records and entities, instead of resolved for each.
     """
     rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
     key = "concat_ws('\\u001f', source_tool, {0})" if by_tool else "{0}"
@@ -80,6 +82,7 @@ def normalize(parsed: Parsed, by_tool: bool = True) -> Normalized:
         wanted = F.expr(f"CASE WHEN {side}_kind = 'identity' THEN {key.format(side)} END")
         rules = lookup(rules, wanted, dim, "__k", {f"{side}_ip": "ip", f"{side}_cidr": "cidr", f"{side}_tags": "tags"},
                        spread=F.col("record_seq"))
+    rules = cut(rules) if materialize else rules
     none = "CAST(array() AS array<string>)"
     records = with_service(rules, "service", "port", "protocol", "app").withColumns({
         "id": F.col("raw_ref"), "dest_tags": F.expr(f"coalesce(destination_tags, {none})"),

@@ -107,6 +107,6 @@ def validate_profile(docs: DataFrame, p: SourceProfile) -> tuple[DataFrame, Data
     out = apply_profile(docs, p)
     whole = F.bool_and((F.length("source") > 0) & (F.length("destination") > 0) & (F.length("service") > 0))
     checked = out.records.agg((F.coalesce(whole, F.lit(False))).alias("valid"), F.count(F.lit(1)).alias("records"))
-    counted = out.entities.agg(F.count(F.lit(1)).alias("entities"))
+    counted = out.entities.agg(F.count(F.lit(1)))
     sample = out.records.orderBy("record_seq").limit(4).select("source", "destination", "service", "action")
-    return checked.join(counted), sample
+    return checked.withColumn("entities", counted.scalar()), sample

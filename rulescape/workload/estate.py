@@ -81,7 +81,7 @@ class Estate:
             shaped(self.hosts, CATALOG),
             shaped(cloud, SEEN, kind="'identity'", tool="'cloud'", tool_rank="2", tags="array('cloud')",
                    abstract="false", record_seq="-1"),
-            resolved_rows(self.hosts, "firewall", ["name", "ip", "tags"])), by_tool=False)
+            resolved_rows(self.hosts, "firewall", ["name", "ip", "tags"])), by_tool=False, materialize=True)
         return Normalized(cut(out.records), cut(out.entities), out.resolved)
 
     @cached_property

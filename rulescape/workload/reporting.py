@@ -371,7 +371,7 @@ SELECT ts, event_type AS capability, CASE event_type WHEN 'view' THEN 'anthropic
   CASE event_type WHEN 'view' THEN 'claude-haiku-4-5' WHEN 'click' THEN 'gpt-4o-mini' ELSE 'local' END AS model,
   CASE WHEN user_id < 50 THEN 'admin' WHEN user_id < 120 THEN 'analyst' ELSE 'viewer' END AS role,
   CAST(floor(value * 10) AS int) AS latency_ms, CAST({json} AS int) AS prompt_tokens, CAST(user_id AS int) AS completion_tokens,
-  event_type <> 'error' AS ok, concat('tool-', cast(user_id AS string)) AS tool_name
+  event_type <> 'error' AS ok, concat('tool-', cast(user_id AS string)) AS tool_name, (SELECT max(ts) FROM {events}) AS newest
 FROM {events}"""
 _METRIC = METRIC_SQL.format(json="json_extract(props, '$.k')", events="events").replace("AS string", "AS VARCHAR")
 _CALL = """SELECT *, prompt_tokens + completion_tokens AS tokens, CASE model WHEN 'claude-haiku-4-5' THEN prompt_tokens * 1.0 + completion_tokens * 5.0
@@ -387,9 +387,7 @@ def _metrics(spark, sf_dir) -> DataFrame:
     e = estate(spark, sf_dir)
     calls = spark.sql(METRIC_SQL.replace("{json}", "get_json_object(props, '$.k')"), events=e.table("events")).withColumns({
         "error": F.lit(None).cast("string")})
-    newest = e.table("events").agg(F.max("ts").alias("__now"))
-    rows = tables.metric_rows(calls).join(F.broadcast(newest))
-    return reports.last_days(rows, 7, F.col("__now"))
+    return reports.last_days(tables.metric_rows(calls), 7, F.col("newest"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
