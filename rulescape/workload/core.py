@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, net, score
-from ..functions import lookups as L
+from ..functions import ids, score
 from ..functions.service import with_service
 from ..operators import graph, paths
-from ..operators.detect import chains, nesting, rules
+from ..operators.detect import nesting, rules
 from ..plans import snapshot
 from ..sources.normalize import with_endpoint
 from .estate import LABEL, estate
@@ -203,7 +202,7 @@ def findings_ranked(spark, sf_dir):
     found = estate(spark, sf_dir).findings
     keyed = found.select("*", ids.stable_id("F", F.lit(_SNAP), F.col("local_key")).alias("finding_id"))
     top = snapshot.ordered(keyed).limit(100)
-    w = snapshot.Window.orderBy(*snapshot.finding_order())
+    w = Window.orderBy(*snapshot.finding_order())
     return top.select(F.row_number().over(w).cast("bigint").alias("position"), "local_key", "severity")
 
 
