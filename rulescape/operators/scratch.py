@@ -6,6 +6,7 @@ read it, so losing an executor never loses a round and the plan stays short.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,14 @@ _WRITTEN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
-    base = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
+    """The cluster's checkpoint folder. A single-process local session that names none gets a temporary one."""
+    context = spark.sparkContext
+    base = spark.conf.get(CONF, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", context.master):
             raise ValueError(f"set {CONF} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CONF, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
