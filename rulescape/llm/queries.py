@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, toxicity, vectors
+from . import html, language, licenses, mixing, packing, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
@@ -44,4 +49,4 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op8_licenses, op9_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op7_html, op8_licenses, op9_vector_dedup)}
