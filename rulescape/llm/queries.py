@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, licenses, mixing, packing, toxicity, vectors
+from . import html, language, licenses, mixing, packing, quality, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,4 +49,9 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op7_html, op8_licenses, op9_vector_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, voted by its nearest labelled neighbours."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}

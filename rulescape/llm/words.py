@@ -100,7 +100,7 @@ def word_hash(w: Words) -> np.ndarray:
 
 
 def fold(h: np.ndarray, bits: int, salt: int) -> np.ndarray:
-    return _fold(h + np.uint64(salt) * _PRIME, bits)
+    return _fold(h + np.uint64(salt * int(_PRIME) % (1 << 64)), bits)
 
 
 def trigrams(w: Words, bits: int) -> np.ndarray:
