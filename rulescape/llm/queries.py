@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, licenses, mixing, packing, quality, toxicity, vectors
+from . import html, language, licenses, minhash, mixing, packing, quality, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("keeper").alias("kept"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.page_texts(table(spark, sf_dir, "pages"))
@@ -54,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op6_minhash, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}

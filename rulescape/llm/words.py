@@ -17,10 +17,11 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.array([ord(c) for c in ".!?\n"], dtype=np.uint32)
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter, and its lower-case form (one code point, so offsets hold)."""
-    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+@lru_cache(maxsize=2)
+def _tables(digits: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: is it of a word, and its lower-case form (one code point, so offsets hold)."""
+    test = str.isalnum if digits else str.isalpha
+    letter = np.fromiter((test(chr(c)) for c in range(0x110000)), dtype=bool, count=0x110000)
     lower = np.arange(0x110000, dtype=np.uint32)
     for c in np.flatnonzero(letter):
         s = chr(c).lower()
@@ -41,8 +42,9 @@ class Words:
     n_docs: int
 
 
-def split(texts: list[str]) -> Words:
-    letter_of, lower_of = _tables()
+def split(texts: list[str], digits: bool = False) -> Words:
+    """The words of all texts: runs of letters, or of letters and digits."""
+    letter_of, lower_of = _tables(digits)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
     codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype=np.uint32)
