@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, licenses, minhash, mixing, packing, quality, toxicity, vectors
+from . import html, language, licenses, minhash, mixing, packing, quality, spotsigs, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_spans")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of every document and of its edited text."""
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     return language.language_predictions(table(spark, sf_dir, "documents"))
@@ -60,4 +65,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_language, op5_mixing, op6_minhash, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_spotsigs, op4_language, op5_mixing, op6_minhash, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .spotsigs import ANCHORS
+
 OP5 = r"""
 WITH RECURSIVE sized AS MATERIALIZED (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS k,
@@ -57,4 +59,41 @@ SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
 FROM v JOIN comp USING (vec_id)
 """
 
-ORACLES = {"op5_mixing": OP5, "op9_vector_dedup": OP9}
+_OP3 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+e AS MATERIALIZED (
+  SELECT a.r, a.doc_id, a.text, length(a.text) AS n,
+         concat(substr(a.text, 1, length(a.text) - length(a.text) // 3), substr(b.text, 1, length(a.text) // 3)) AS edited
+  FROM d a JOIN d b ON b.r = a.r % (SELECT max(r) FROM d) + 1),
+texts AS MATERIALIZED (SELECT r, 0 AS kind, text AS t FROM e UNION ALL SELECT r, 1, edited FROM e),
+word AS MATERIALIZED (
+  SELECT r, kind, i, w, w IN (ANCHORS) AS common
+  FROM (SELECT r, kind, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+        FROM (SELECT r, kind, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws FROM texts))),
+-- the content words at or after each place, by counting those before it
+counted AS MATERIALIZED (
+  SELECT *, count(*) FILTER (NOT common) OVER (PARTITION BY r, kind ORDER BY i) AS c FROM word),
+content AS MATERIALIZED (SELECT r, kind, c, w FROM counted WHERE NOT common),
+sig AS (
+  SELECT DISTINCT a.r, a.kind, substr(md5(concat(a.w, ':', x.w, ':', y.w)), 1, 8) AS s
+  FROM counted a JOIN content x ON x.r = a.r AND x.kind = a.kind AND x.c = a.c + 1
+  JOIN content y ON y.r = a.r AND y.kind = a.kind AND y.c = a.c + 2 WHERE a.common),
+sets AS MATERIALIZED (
+  SELECT t.r, t.kind, CASE WHEN t.t = '' THEN CAST([] AS VARCHAR[]) ELSE coalesce(g.s, [substr(md5(t.t), 1, 8)]) END AS s
+  FROM texts t LEFT JOIN (SELECT r, kind, list(s ORDER BY s) AS s FROM sig GROUP BY ALL) g ON g.r = t.r AND g.kind = t.kind),
+trio AS (
+  SELECT e.*, a.s AS own, b.s AS changed, c.s AS following FROM e
+  JOIN sets a ON a.r = e.r AND a.kind = 0 JOIN sets b ON b.r = e.r AND b.kind = 1
+  JOIN sets c ON c.r = e.r % (SELECT max(r) FROM d) + 1 AND c.kind = 0)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint,
+  array_to_string(changed, '') AS edited_fingerprint,
+  CASE WHEN len(own) = 0 AND len(changed) = 0 THEN 1.0::DOUBLE WHEN len(own) = 0 OR len(changed) = 0 THEN 0.0::DOUBLE
+    ELSE len(list_intersect(own, changed))::DOUBLE / (len(own) + len(changed) - len(list_intersect(own, changed))) END AS near_edited,
+  CASE WHEN len(own) = 0 AND len(following) = 0 THEN 1.0::DOUBLE WHEN len(own) = 0 OR len(following) = 0 THEN 0.0::DOUBLE
+    ELSE len(list_intersect(own, following))::DOUBLE / (len(own) + len(following) - len(list_intersect(own, following))) END AS near_next
+FROM trio
+"""
+OP3 = _OP3.replace("ANCHORS", ", ".join(f"'{w}'" for w in ANCHORS))
+
+ORACLES = {"op3_spotsigs": OP3, "op5_mixing": OP5, "op9_vector_dedup": OP9}
