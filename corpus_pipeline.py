@@ -1,11 +1,67 @@
-"""A training corpus from `documents`, stage by stage."""
+"""A training corpus from `documents`: five stages, each on all that the one before it kept.
 
-STAGES = []
+Every stage takes `(spark, docs, sf_dir)` and returns a DataFrame that is written as Parquet and read
+again as the next stage's `docs`. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulescape.llm import language, minhash, mixing, packing, toxicity
+from rulescape.operators.scratch import cut
+
+#: Least mean marginal of a document's language; with four languages, chance is a quarter.
+LEAST_LANGUAGE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language go on; the others have no letter or resemble none."""
+    tagged = language.with_language(docs, language.fit_language(docs), "_language")
+    kept = (F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE)
+    return tagged.filter(kept).drop("_language")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half go on."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    tagged = toxicity.with_toxicity(docs, *toxicity.fit_toxicity(docs, labels), "_toxicity")
+    return tagged.filter(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class goes on."""
+    return minhash.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; the one at which a source meets its target, in part."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of a power of two of tokens, at most 1,024, each of one document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", remove_toxic),
+    ("minhash_dedup", remove_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Models, signatures and tokens are beyond SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; every result but the last is written to the shared scratch folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
