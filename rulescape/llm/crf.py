@@ -113,7 +113,7 @@ def fit(parts: list[tuple[Features, np.ndarray, np.ndarray, np.ndarray, np.ndarr
             inside = np.ones(f.n, dtype=bool)
             inside[first] = False
             to = np.flatnonzero(inside)
-            counted = np.bincount(labels[to - 1] * states + labels[to], minlength=states * states).reshape(states, states)
+            counted = np.bincount(labels[to - 1].astype(np.int64) * states + labels[to], minlength=states * states).reshape(states, states)
             move = ((counted - expected) / f.n * 100).astype(np.float32)
             seen_t += move * move
             model.transitions += 0.2 * rate * move / np.sqrt(seen_t)

@@ -9,6 +9,7 @@ probabilities, and a logistic fit turns a document's marginals into its score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .samples import id_remainder, labelled
 
 BITS = 18
 #: Training documents of each class at most (about); the bound of the sample.
-PER_CLASS = {0: 3000, 1: 1500}
+PER_CLASS = {0: 2500, 1: 1500}
 #: A shared feature must separate the classes at least so well (log-likelihood ratio): this much, and
 #: this much per toxic document of the sample.
 EVIDENCE = 16.0
@@ -59,24 +60,44 @@ def _copies(w: words.Words) -> np.ndarray:
     return out
 
 
-def _token_evidence(parts, targets) -> list[np.ndarray]:
+@dataclass
+class Part:
+    """What training keeps of a batch of texts: a fraction of the texts' own size."""
+    features: Features
+    first: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    sketch: np.ndarray
+    label: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], label: list[int]) -> "Part":
+        w = words.split(texts)
+        f = _features(w)
+        f.single = [x.astype(np.int32) for x in f.single]
+        first, size = words.chains(w, LONGEST)
+        return cls(f, first, size, w.doc.astype(np.int32), _copies(w), np.array(label, dtype=np.int64))
+
+
+def _token_evidence(parts: list[Part]) -> list[np.ndarray]:
     """For each word of each part, the best evidence among its own features (not the constant).
 
     Documents are counted by their sketch, so a large group of copies counts about once.
     """
-    sketches, group = np.unique(np.concatenate([_copies(w) for w, _ in parts]), return_inverse=True)
+    sketches, group = np.unique(np.concatenate([p.sketch for p in parts]), return_inverse=True)
     y = np.zeros(len(sketches), dtype=np.int64)
-    np.maximum.at(y, group, np.concatenate(targets))
-    pairs, at = [], 0
-    for w, f in parts:
-        of = group[at:at + w.n_docs][w.doc].astype(np.int64) << BITS
-        pairs += [np.unique(of | idx) for idx in f.single[:-1]]
-        at += w.n_docs
-    pair = np.unique(np.concatenate(pairs))
-    label = y[pair >> BITS]
-    seen = [np.bincount(pair[label == k] & ((1 << BITS) - 1), minlength=1 << BITS) for k in (0, 1)]
+    np.maximum.at(y, group, np.concatenate([p.label for p in parts]))
+    ends = np.cumsum([0] + [len(p.label) for p in parts])
+    seen = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+    kinds = len(parts[0].features.single) - 1
+    for kind in range(kinds):
+        pairs = [np.unique(group[at:][p.doc].astype(np.int64) << BITS | p.features.single[kind]) for p, at in zip(parts, ends)]
+        pair = np.unique(np.concatenate(pairs))
+        label = y[pair >> BITS]
+        for k in (0, 1):
+            seen[k] += np.bincount(pair[label == k] & ((1 << BITS) - 1), minlength=1 << BITS)
     g = _llr(seen[1], int(y.sum()), seen[0], int((1 - y).sum()))
-    return [np.max([g[idx] for idx in f.single[:-1]], axis=0) if f.n else np.zeros(0) for _, f in parts]
+    return [np.max([g[idx] for idx in p.features.single[:kinds]], axis=0) if p.features.n else np.zeros(0) for p in parts]
 
 
 def _summaries(gamma: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -103,30 +124,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, int]], prior: float) -> Crf:
     """Fit tagger and score on `(text, toxic)` rows; `prior` is the share of toxic among all labelled rows."""
-    parts, targets = [], []
-    n = 0
-    for _, texts in words.batches([t for t, _ in rows], 1 << 18):
-        w = words.split(texts)
-        parts.append((w, _features(w)))
-        targets.append(np.array([y for _, y in rows[n:n + len(texts)]], dtype=np.int64))
-        n += len(texts)
-    evidence = _token_evidence(parts, targets)
-    least = max(EVIDENCE, EVIDENCE_PER_DOC * sum(int(y.sum()) for y in targets))
+    parts = [Part.of(texts, [y for _, y in rows[at:at + len(texts)]])
+             for at, texts in words.batches([t for t, _ in rows], 1 << 18)]
+    least = max(EVIDENCE, EVIDENCE_PER_DOC * sum(int(p.label.sum()) for p in parts))
     batches = []
-    for (w, f), y, g in zip(parts, targets, evidence):
-        best = np.zeros(w.n_docs)
-        np.maximum.at(best, w.doc, g)
+    for p, g in zip(parts, _token_evidence(parts)):
+        best = np.zeros(len(p.label))
+        np.maximum.at(best, p.doc, g)
         # the words that explain the label of their document, not every word that came along
-        tag = (y[w.doc] == 1) & (g >= least) & (g >= 0.3 * best[w.doc])
-        first, size = words.chains(w, LONGEST)
-        batches.append((f, first, size, tag.astype(np.int64), np.where(tag, 5.0, 1.0)))
+        tag = (p.label[p.doc] == 1) & (g >= least) & (g >= 0.3 * best[p.doc])
+        batches.append((p.features, p.first, p.size, tag.astype(np.int8), np.where(tag, 5.0, 1.0).astype(np.float32)))
     # one batch in four is kept from the tagger, so that the score is fitted on marginals it has not seen
     tagged = [b for i, b in enumerate(batches) if i % 4 or len(batches) < 4]
-    scored = [i for i in range(len(batches)) if i % 4 == 0 or len(batches) < 4]
+    scored = [p for i, p in enumerate(parts) if i % 4 == 0 or len(parts) < 4]
     model = fit(tagged, BITS, 2, epochs=6)
-    x = np.concatenate([_summaries(model.marginals(f, first, size), w.doc, w.n_docs)
-                        for (w, _), (f, first, size, _, _) in ((parts[i], batches[i]) for i in scored)])
-    y = np.concatenate([targets[i] for i in scored]).astype(float)
+    x = np.concatenate([_summaries(model.marginals(p.features, p.first, p.size), p.doc, len(p.label)) for p in scored])
+    y = np.concatenate([p.label for p in scored]).astype(float)
     share = y.mean()
     weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     model.extra["beta"] = _logistic(x, y, weight)
