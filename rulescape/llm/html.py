@@ -149,6 +149,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
+    def parse_html_declaration(self, i):
+        # marked sections are comments in HTML; the parser's own reading of them raises on malformed ones
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian mean over neighbouring lines; the kernel is cut at the page's ends."""

@@ -1,0 +1,56 @@
+"""The pipeline's stages on awkward rows: what each keeps, and in which columns."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import pytest
+from test_llm import DOCS, _rows
+
+from rulescape.llm import minhash, mixing, toxicity
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    out = tmp_path_factory.mktemp("corpus")
+    spark.createDataFrame([r[:5] for r in _rows()], ", ".join(DOCS.split(", ")[:5])).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    return str(out)
+
+
+def test_stages_follow_each_other(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, kept = docs.columns, [docs.count()]
+    results = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        results[name] = docs
+        if name != "packing":
+            assert docs.columns == columns
+            kept.append(docs.count())
+    ids = lambda name: {r.doc_id for r in results[name].select("doc_id").distinct().collect()}
+    assert not ids("language_id") & {103, 104, 105, 106, 107}
+    scored = toxicity.toxicity_scores(results["language_id"], spark.read.parquet(f"{folder}/labels.parquet"))
+    assert ids("toxicity") == {r.doc_id for r in scored.filter("predicted = 0").collect()}
+    classes = minhash.near_duplicates(results["toxicity"]).collect()
+    assert ids("minhash_dedup") == {r.class_id for r in classes} and results["minhash_dedup"].count() == len({(r.doc_id, r.node) for r in classes if r.keeper})
+    plan, taken = {}, {}
+    for r in mixing.mix_plan(results["minhash_dedup"]).collect():
+        plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
+    for r in results["mixing"].withColumn("n", mixing.word_count(results["mixing"].text)).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.n
+    assert all(taken.get(i, 0) == n for i, n in plan.items())
+    total = results["packing"].groupBy().sum("length").first()[0]
+    firsts = results["packing"].filter("start = 0").groupBy().sum("doc_tokens").first()[0]
+    assert total == firsts and results["packing"].filter("start = 0").count() == results["mixing"].count()
+
+
+def test_run_is_the_stages_in_order(spark, folder):
+    assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
