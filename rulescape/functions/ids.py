@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEP = "\x1f"
-# Above this many rows the fingerprint is a sum of row digests instead of one sorted list.
-LISTED_ROWS = 50_000
 
 
 def digest(*parts: Column, length: int = 16) -> Column:
@@ -46,17 +44,14 @@ def fingerprint_line(order: str = "order") -> Column:
                        F.coalesce(F.col(order).cast("string"), F.lit("None")))
 
 
-def fingerprint(records: DataFrame, listed_rows: int = LISTED_ROWS) -> DataFrame:
-    """One row, `fingerprint`: a digest of the rules that ignores their order.
+def fingerprint(records: DataFrame) -> DataFrame:
+    """One row, `fingerprint`: a digest of the rules that ignores their order, the same at every size.
 
-    Small rule sets hash the sorted list of lines. Larger ones sum four 60-bit words
-    of each line's SHA-256 (partial sums on every task, constant state), so nothing is
-    gathered; the two schemes carry different prefixes and never collide.
+    Four 60-bit words of each line's SHA-256 are summed (partial sums on every task, constant
+    state), so nothing is gathered. The published id hashes one sorted list of all lines instead,
+    which one task would have to hold; the two ids of one rule set differ.
     """
     lines = records.select(fingerprint_line().alias("line"))
-    if lines.limit(listed_rows + 1).count() <= listed_rows:
-        listed = lines.agg(json_list(F.array_sort(F.collect_list("line"))).alias("j"))
-        return listed.select(F.sha1("j").alias("fingerprint"))
     word = [F.conv(F.substring(F.sha2("line", 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = lines.select(*[w.alias(f"w{i}") for i, w in enumerate(word)]).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(4)])

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from . import lookups as L
 
+# the same as map keys and values of one text
+_TRANSPORT_OF = {app: L.transport_text(*pair) for app, pair in L.APP_TRANSPORT.items()}
+_APP_OF = {L.transport_text(*pair): app for pair, app in L.APP_BY_TRANSPORT.items()}
+
 SERVICE_COLUMNS = ["protocol", "port", "port_end", "service", "l7_app", "l7_source"]
 
 
@@ -47,7 +51,7 @@ def with_service(df: DataFrame, service: str | None = None, port: str | None = N
         "__token": F.expr("CASE __form WHEN 'app' THEN __app WHEN 'token' THEN lower(__text) END"),
         "__last": F.expr("CASE WHEN instr(__tail, '-') > 0 THEN try_cast(substring(__tail, instr(__tail, '-') + 1) AS int) END"),
         "__first": F.expr("try_cast(substring_index(__tail, '-', 1) AS int)"),
-    }).withColumn("__transport", L.pick(L.APP_TRANSPORT, "__token"))
+    }).withColumn("__transport", L.pick(_TRANSPORT_OF, "__token"))
     return df.withColumns({
         "protocol": F.expr(f"""CASE
             WHEN __token IS NOT NULL THEN CASE WHEN __proto IS NOT NULL THEN {_known_protocol('__proto')}
@@ -65,9 +69,9 @@ def with_service(df: DataFrame, service: str | None = None, port: str | None = N
         "service": F.expr("""CASE WHEN __token IS NOT NULL THEN __token WHEN __form = 'any' THEN 'any'
             WHEN __form = 'ports' THEN concat_ws('/', protocol, port) ELSE __text END"""),
         "l7_app": F.expr(f"""CASE WHEN __token IS NOT NULL THEN __token WHEN __form IN ('pair', 'ports')
-            THEN {L.pick_sql(L.APP_BY_TRANSPORT, "concat(protocol, '/', port)")} END"""),
+            THEN {L.pick_sql(_APP_OF, "concat(protocol, '/', port)")} END"""),
         "l7_source": F.expr(f"""CASE WHEN __token IS NOT NULL THEN 'declared' WHEN __form IN ('pair', 'ports')
-            AND {L.pick_sql(L.APP_BY_TRANSPORT, "concat(protocol, '/', port)")} IS NOT NULL THEN 'inferred' END"""),
+            AND {L.pick_sql(_APP_OF, "concat(protocol, '/', port)")} IS NOT NULL THEN 'inferred' END"""),
     }).drop("__text", "__given", "__port", "__proto", "__app", "__token", "__form", "__tail", "__first", "__last",
             "__transport")
 

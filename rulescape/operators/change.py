@@ -14,10 +14,7 @@ from .detect.rules import broad_reasons, forced_reasons, scored
 from .graph import place
 from .joins import lookup
 from .paths import MAX_HOPS, hop_edges, path_tools, simple_paths
-from .scratch import cut
-
-# Longest list of exposed assets written into one row; `new_paths` always holds them all.
-LISTED_ASSETS = 10_000
+from .scratch import cut, write_table
 
 
 def change_id() -> Column:
@@ -49,12 +46,13 @@ def joined_paths(pairs: DataFrame, edges: DataFrame, node_table: DataFrame, max_
     """(s, d, head, tail): internet-to-sensitive paths that pass through each new pair (s, d).
 
     A path is a simple path to s, the new hop, and a simple path from d, together simple and
-    short enough. Heads and tails are searched once for all pairs.
+    short enough. Heads and tails are searched once for all pairs. `node_table` holds the ends of
+    the pairs as well (`with_ends`); the internet starts every head, whether a rule names it or not.
     """
     hops = hop_edges(edges)
     everything = F.lit("*").alias("goal")
     concrete = node_table.filter("kind = 'concrete'").select("node")
-    internet = node_table.filter(F.col("node") == L.INTERNET).select("node")
+    internet = pairs.sparkSession.createDataFrame([(L.INTERNET,)], "node string")
     into = pairs.select(F.col("s").alias("node")).distinct().join(concrete, "node", "left_semi")
     heads = simple_paths(hops, internet.select(everything, "node"), into.select(everything, "node"), True,
                          max_hops - 1).select(F.element_at("path", -1).alias("s"), F.col("path").alias("head"),
@@ -74,8 +72,21 @@ def joined_paths(pairs: DataFrame, edges: DataFrame, node_table: DataFrame, max_
     return pairs.join(heads, "s").join(tails, "d").filter(fits)
 
 
+def with_ends(node_table: DataFrame, ends: DataFrame) -> DataFrame:
+    """The nodes, and each of `ends` (one column, `node`) that is none yet as an abstract node without tags."""
+    new = ends.distinct().join(node_table.select("node"), "node", "left_anti")
+    made = new
+    for f in node_table.schema.fields:
+        if f.name != "node":
+            value = {"kind": F.lit("abstract"), "display": F.col("node"), "zone": score.zone("node"), "tags": L.empty_strings(),
+                     "ip_set": L.empty_strings(), "tools": L.empty_strings()}.get(f.name, F.lit(None))
+            made = made.withColumn(f.name, value.cast(f.dataType))
+    return node_table.unionByName(made)
+
+
 def new_paths(placed: DataFrame, edges: DataFrame, node_table: DataFrame) -> DataFrame:
     """(change_id, path, terminal, tools, terminal_tags, boundary, boundary_crossed) newly opened."""
+    node_table = with_ends(node_table, placed.select(F.explode(F.array("s", "d")).alias("node")))
     opened = placed.filter("action = 'allow' AND s <> d").select("change_id", "s", "d", "source_tool")
     fresh = cut(opened.join(edges.select("s", "d"), ["s", "d"], "left_anti"))
     joined = joined_paths(fresh.select("s", "d").distinct(), edges, node_table)
@@ -88,6 +99,11 @@ def new_paths(placed: DataFrame, edges: DataFrame, node_table: DataFrame) -> Dat
                             "boundary_crossed": score.crosses("'internet'", "__zone")}).drop("__zone")
 
 
+def exposed_assets(opened: DataFrame) -> DataFrame:
+    """(change_id, terminal): every sensitive asset that a proposal newly exposes."""
+    return opened.select("change_id", "terminal").distinct()
+
+
 def change_delta(placed: DataFrame, opened: DataFrame) -> DataFrame:
     """One row per proposal: what it opens, what it crosses and why it must escalate.
 
@@ -96,21 +112,15 @@ def change_delta(placed: DataFrame, opened: DataFrame) -> DataFrame:
     totals = opened.groupBy("change_id").agg(
         F.count(F.lit(1)).alias("n_new_paths"),
         F.array_sort(F.collect_set(F.when(F.col("boundary_crossed"), F.col("boundary")))).alias("path_boundaries"))
-    exposed = opened.select("change_id", "terminal").distinct()
-    n_exposed = exposed.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_exposed"))
-    listed = (exposed.join(n_exposed.filter(F.col("n_exposed") <= LISTED_ASSETS), "change_id")
-              .groupBy("change_id").agg(F.array_sort(F.collect_list("terminal")).alias("new_exposed_assets")))
-    df = scored(placed).join(totals, "change_id", "left").join(n_exposed, "change_id", "left").join(
-        listed, "change_id", "left").withColumns({
-            "n_new_paths": F.coalesce("n_new_paths", F.lit(0).cast("bigint")),
-            "n_exposed": F.coalesce("n_exposed", F.lit(0).cast("bigint"))})
+    exposed = exposed_assets(opened).groupBy("change_id").agg(F.count(F.lit(1)).alias("n_exposed"))
+    df = scored(placed).join(totals, "change_id", "left").join(exposed, "change_id", "left").withColumns({
+        "n_new_paths": F.coalesce("n_new_paths", F.lit(0).cast("bigint")),
+        "n_exposed": F.coalesce("n_exposed", F.lit(0).cast("bigint"))})
     own = score.boundary("src_zone", "dst_zone")
     crossing = score.crosses("src_zone", "dst_zone")
     opens = F.concat(F.lit("opens "), F.col("n_new_paths").cast("string"),
-                     F.lit(" new internet path(s) reaching sensitive asset(s): "),
-                     F.coalesce(F.array_join("new_exposed_assets", ", "), F.col("n_exposed").cast("string")))
+                     F.lit(" new internet path(s) reaching sensitive asset(s): "), F.col("n_exposed").cast("string"))
     df = df.withColumns({
-        "new_exposed_assets": F.when(F.col("n_exposed") == 0, L.empty_strings()).otherwise(F.col("new_exposed_assets")),
         "boundaries_crossed": F.array_sort(F.array_union(
             F.coalesce("path_boundaries", L.empty_strings()),
             F.when(crossing, F.array(own)).otherwise(L.empty_strings()))),
@@ -122,7 +132,7 @@ def change_delta(placed: DataFrame, opened: DataFrame) -> DataFrame:
                        "creates new internet->internal exposure")))),
     }).withColumn("forced_escalate", F.size("forced_reasons") > 0)
     return df.select("change_id", "source", "source_kind", "destination", "service", "protocol", "action", "n_new_paths",
-                     "n_exposed", "new_exposed_assets", "boundaries_crossed", "new_over_permissive", "proposed_boundary",
+                     "n_exposed", "boundaries_crossed", "new_over_permissive", "proposed_boundary",
                      "proposed_crosses_boundary", "forced_escalate", "forced_reasons")
 
 
@@ -195,32 +205,29 @@ def decoded_edits(edits: DataFrame) -> DataFrame:
 def _orders(edits: DataFrame, orders: DataFrame) -> DataFrame:
     """(at, new_order) of every reorder that takes effect.
 
-    A rule goes one before the order its shadowing rule has at that moment: its own, or what an
-    earlier reorder gave it. Those links form chains that are followed one step per round.
+    A rule goes one before the order its shadowing rule has at that moment: its own, or what the
+    last effective reorder before gave it. A reorder has no effect if its shadowing rule is missing
+    or was removed by then. The links form chains; each round doubles the distance they reach, so a
+    chain of any length takes a logarithmic number of rounds.
     """
     moves = edits.filter("op = 'reorder_before'").select("at", "target_ref", "shadowing_ref")
     gone = edits.filter("op = 'remove'").groupBy("target_ref").agg(F.min("at").alias("gone_at")).withColumnRenamed(
         "target_ref", "shadowing_ref")
-    prior = moves.select(F.col("target_ref").alias("shadowing_ref"), F.col("at").alias("prior_at"))
-    linked = (moves.join(gone, "shadowing_ref", "left").filter("gone_at IS NULL OR gone_at > at")
-              .join(orders.select(F.col("raw_ref").alias("shadowing_ref"), F.col("order").alias("base")), "shadowing_ref")
-              .join(prior, "shadowing_ref", "left")
+    effective = cut(moves.join(gone, "shadowing_ref", "left").filter("gone_at IS NULL OR gone_at > at")
+                    .join(orders.select(F.col("raw_ref").alias("shadowing_ref"), F.col("order").alias("base")), "shadowing_ref")
+                    .select("at", "target_ref", "shadowing_ref", "base"))
+    prior = effective.select(F.col("target_ref").alias("shadowing_ref"), F.col("at").alias("prior_at"))
+    linked = (effective.join(prior, "shadowing_ref", "left")
               .groupBy("at").agg(F.first("base").alias("base"),
-                                 F.max(F.when(F.col("prior_at") < F.col("at"), F.col("prior_at"))).alias("prior_at")))
-    linked = cut(linked)
-    done = linked.filter("prior_at IS NULL").select("at", (F.col("base") - 1).alias("new_order"))
-    waiting = linked.filter("prior_at IS NOT NULL")
-    while waiting.limit(1).count():
-        known = done.select(F.col("at").alias("prior_at"), F.col("new_order").alias("prior_order"))
-        step = cut(waiting.join(known, "prior_at", "left"))
-        ready = step.filter("prior_order IS NOT NULL").select("at", (F.col("prior_order") - 1).alias("new_order"))
-        if not ready.limit(1).count():
-            # what remains follows a reorder that never took effect: its own base counts
-            ready = step.select("at", (F.col("base") - 1).alias("new_order"))
-            return cut(done.unionByName(ready))
-        done = cut(done.unionByName(ready))
-        waiting = step.filter("prior_order IS NULL").select("at", "base", "prior_at")
-    return done
+                                 F.max(F.when(F.col("prior_at") < F.col("at"), F.col("prior_at"))).alias("jump")))
+    steps = F.when(F.col("jump").isNull(), 0).otherwise(1)
+    chain, seen = write_table(linked.withColumn("steps", steps), F.count("jump").alias("open"))
+    while seen["open"]:
+        ahead = chain.select(F.col("at").alias("jump"), F.col("jump").alias("next"), F.col("steps").alias("more"), F.col("base").alias("far"))
+        chain, seen = write_table(chain.join(ahead, "jump", "left").select(
+            "at", F.coalesce("far", "base").alias("base"), F.col("next").alias("jump"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), F.count("jump").alias("open"))
+    return chain.select("at", (F.col("base") - 1 - F.col("steps")).alias("new_order"))
 
 
 def _net_effect(df: DataFrame, by: list[str]) -> DataFrame:
@@ -253,7 +260,7 @@ def apply_overlay(records: DataFrame, changes: DataFrame) -> DataFrame:
     if "added" in changes.columns:
         have = set(changes.schema["added"].dataType.fieldNames())
         adds = added.filter("added IS NOT NULL").select("at", "added.*").withColumn(
-            "record_seq", F.expr("4611686018427387904L + (xxhash64(at) & 1099511627775L)"))
+            "record_seq", F.expr("4611686018427387904L + (xxhash64(at) & 2305843009213693951L)"))
         if "src_net" not in have:
             adds = with_endpoint(adds, "source", "__s").withColumn("src_net", F.expr(
                 "CASE WHEN source_kind = 'cidr' THEN __s_net END")).drop("__s", "__s_kind", "__s_net")

@@ -15,9 +15,6 @@ from ...functions.score import compact
 from ...schemas import FINDING
 from ..graph import is_allow
 
-# Longest reference list written into one finding; the full list is `fallback_refs`.
-LISTED_REFS = 10_000
-
 # columns of the factors exposure, port, destination, boundary
 FACTORS = ["fe", "fp", "fd", "fb"]
 
@@ -152,8 +149,8 @@ def fallback_refs(placed: DataFrame) -> DataFrame:
 def tls_fallback(placed: DataFrame) -> DataFrame:
     """Destinations open on both sides of the pair: inspection cannot be forced.
 
-    Counts, tools and the representative (first udp rule) come from one bounded
-    aggregate. Reference lists are attached only where they are short enough for a cell.
+    Counts, tools, the representative (first udp rule) and the smallest reference of each side
+    come from one bounded aggregate; every reference is a row of `fallback_refs`.
     """
     c = F.col
     hits = fallback_hits(placed)
@@ -162,13 +159,11 @@ def tls_fallback(placed: DataFrame) -> DataFrame:
     found = hits.groupBy("d").agg(
         F.count_if(c("side") == "tcp").alias("n_tcp"), F.count_if(c("side") == "udp").alias("n_udp"),
         F.array_sort(F.collect_set("source_tool")).alias("source_tools"), F.min_by(rep, udp).alias("r"),
+        F.min(F.when(c("side") == "tcp", c("raw_ref"))).alias("tcp_ref"),
+        F.min(F.when(c("side") == "udp", c("raw_ref"))).alias("udp_ref"),
     ).filter("n_tcp > 0 AND n_udp > 0")
-    short = found.filter(c("n_tcp") + c("n_udp") <= LISTED_REFS).select("d")
-    lists = hits.join(short, "d", "left_semi").groupBy("d").agg(
-        F.array_sort(F.collect_set("raw_ref")).alias("raw_refs"),
-        F.array_sort(F.collect_set(F.when(c("side") == "tcp", c("raw_ref")))).alias("tcp_refs"),
-        F.array_sort(F.collect_set(F.when(c("side") == "udp", c("raw_ref")))).alias("udp_refs"))
-    out = scored(found.select("d", "n_tcp", "n_udp", "source_tools", "r.*")).join(lists, "d", "left")
+    out = scored(found.select("d", "n_tcp", "n_udp", "source_tools", "tcp_ref", "udp_ref", "r.*"))
+    out = out.withColumn("raw_refs", F.array_sort(F.array_distinct(F.array("tcp_ref", "udp_ref"))))
     out = out.withColumn("severity", L.FALLBACK_BASE + F.when(c("sensitive"), L.FALLBACK_BUMP).otherwise(0))
     tcp, udp_ = L.FALLBACK_TCP, L.FALLBACK_UDP
     return as_findings(out.withColumns({
@@ -180,8 +175,8 @@ def tls_fallback(placed: DataFrame) -> DataFrame:
         "forced_critical": F.lit(False), "severity_band": score.band("severity"),
         "signals": signals_json(
             subtype=F.lit("tls_fallback_not_blocked"), dest=c("d"), dest_display=c("d_display"),
-            dest_tags=F.array_sort("dest_tags"), pair=L.strings([tcp, udp_]), tcp_refs=c("tcp_refs"),
-            udp_refs=c("udp_refs"), n_tcp=c("n_tcp"), n_udp=c("n_udp"),
+            dest_tags=F.array_sort("dest_tags"), pair=L.strings([tcp, udp_]), tcp_ref=c("tcp_ref"),
+            udp_ref=c("udp_ref"), n_tcp=c("n_tcp"), n_udp=c("n_udp"),
             port_class=score.port_class("protocol", "port"), severity_vector=vector(),
             remediation_hint=F.lit(f"Block {udp_} so traffic falls back to the inspectable {tcp} path, "
                                    "or inspect QUIC explicitly.")),

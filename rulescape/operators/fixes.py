@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..sources.normalize import optional
 from . import paths
-from .change import EDIT, decoded_edits, edited, joined_paths
+from .change import EDIT, decoded_edits, edited, joined_paths, with_ends
 from .detect import chains, nesting, rules
 from .graph import GRANT, place
 from .joins import lookup
@@ -35,7 +35,7 @@ def default_fixes(findings: DataFrame, records: DataFrame) -> DataFrame:
         return F.get_json_object("signals", f"$.{name}")
 
     df = findings.select("local_key", "type", "involved", "raw_refs", *[signal(n).alias(n) for n in (
-        "inner", "dest", "service", "shadowed_ref", "shadowing_ref", "subtype")], signal("udp_refs[0]").alias("udp_ref"))
+        "inner", "dest", "service", "shadowed_ref", "shadowing_ref", "subtype", "udp_ref")])
     # the narrower of two overlapping rules: the first record with that source and destination
     wanted = df.filter("type = 'cidr_overlap'").select(
         F.col("inner").alias("source"), F.col("dest").alias("destination"), "service").distinct()
@@ -234,7 +234,8 @@ def _chains(s: _Scope, base_paths: DataFrame) -> list[DataFrame]:
     fresh = cut(new.select("fix_id", "s", "d").distinct().filter("s <> d").join(edges.select("s", "d"), ["s", "d"], "left_anti"))
     come = [now.select("fix_id", "path", "hops")]
     if fresh.limit(1).count():
-        joined = joined_paths(fresh.select("s", "d").distinct(), edges, s.view.nodes)
+        known = with_ends(s.view.nodes, fresh.select(F.explode(F.array("s", "d")).alias("node")))
+        joined = joined_paths(fresh.select("s", "d").distinct(), edges, known)
         opened = fresh.join(joined, ["s", "d"]).join(after, ["fix_id", "s", "d"]).select(
             "fix_id", F.concat("head", "tail").alias("path"),
             F.concat("head_hops", F.array("hop"), "tail_hops").alias("hops"))

@@ -12,9 +12,6 @@ from ..functions import lookups as L
 from ..schemas import ENTITY
 from .components import components
 
-# Longest list written into one evidence cell; longer ones stay rows of `shared_names`.
-LISTED_NAMES = 10_000
-
 
 class Identities(NamedTuple):
     assets: DataFrame         # asset_key, kind, context, identifiers, ip_set, tags, source_tools, display_name
@@ -88,12 +85,11 @@ def _correlations(named: DataFrame, shared: DataFrame, linked: DataFrame, assets
         F.concat(F.lit('{"name":'), ids.json_text(F.col("name")), F.lit(',"tools":'), ids.json_list(F.col("tools")),
                  F.lit("}")).alias("evidence"), F.lit(1).cast("bigint").alias("n_names"))
     addresses = shared.filter("name = first").select("ip", F.col("first").alias("name"), "n").join(linked, "name")
-    listed = shared.filter(F.col("n") <= LISTED_NAMES).groupBy("ip").agg(
-        F.array_sort(F.collect_set("name")).alias("names"))
-    context = addresses.join(listed, "ip", "left").select(
+    # the names themselves are rows of `shared_names`, however few or many they are
+    context = addresses.select(
         "asset_key", F.lit("context_ip").alias("match_key"), F.lit(0.95).alias("confidence"),
-        F.concat(F.lit('{"ip":'), ids.json_text(F.col("ip")), F.lit(',"names":'),
-                 F.coalesce(ids.json_list(F.col("names")), F.lit("null")), F.lit("}")).alias("evidence"),
+        F.concat(F.lit('{"ip":'), ids.json_text(F.col("ip")), F.lit(',"n_names":'), F.col("n").cast("string"),
+                 F.lit("}")).alias("evidence"),
         F.col("n").alias("n_names"))
     out = hostname.unionByName(context).join(abstract, "asset_key", "left_anti")
     if confirmed is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -93,6 +93,20 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*finding_order())
 
 
+def ranked(findings: DataFrame) -> DataFrame:
+    """Add `position`, from 1, in the total order.
+
+    The rows are dealt into ranges of the order and written; each range is numbered by itself and
+    starts after the rows of the ranges before it, so no task sees them all.
+    """
+    parts = cut(findings.repartitionByRange(*finding_order()).withColumn("_range", F.spark_partition_id()))
+    sizes = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*finding_order()))
+    return (parts.withColumn("_i", inside).join(sizes.select("_range", before.alias("_before")), "_range")
+            .withColumn("position", (F.col("_before") + F.col("_i")).cast("bigint")).drop("_range", "_i", "_before"))
+
+
 def filter_findings(findings: DataFrame, kind: str | None = None, min_severity: int = 0) -> DataFrame:
     out = findings.filter(F.col("severity") >= min_severity)
     return out.filter(F.col("type") == kind) if kind else out

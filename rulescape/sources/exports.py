@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -18,11 +18,23 @@ def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def numbered(export: DataFrame) -> DataFrame:
+    """Add `document`: a number for each different document; one that is read twice counts once."""
+    keyed = export.withColumn("__key", F.xxhash64(F.to_json(F.struct(*export.columns)))).dropDuplicates(["__key"])
+    numbers = keyed.select("__key", (F.row_number().over(Window.orderBy("__key")) - 1).cast("bigint").alias("document"))
+    return keyed.join(numbers, "__key").drop("__key")
+
+
+def record_key(rank: int) -> str:
+    """`record_seq` from `document` and `pos`: unique and in source order within a tool of this rank."""
+    return f"{rank << 56}L + shiftleft(document, 28) + pos"
+
+
 def _rules(export: DataFrame, field: str, tool: str, device: str = "''", **given: str) -> DataFrame:
     """Rule rows in source order: tool, then document, then position."""
-    rows = export.selectExpr(f"{device} AS device", f"posexplode({field}) AS (pos, r)").select("device", "pos", "r.*")
+    rows = numbered(export).selectExpr(f"{device} AS device", "document", f"posexplode({field}) AS (pos, r)").select("device", "document", "pos", "r.*")
     rank = TOOL_RANK[tool]
-    seq = f"{rank << 56}L + shiftleft(CASE WHEN device = '' THEN 0L ELSE crc32(device) END, 24) + pos"
+    seq = record_key(rank)
     return shaped(rows, RULE, source_tool=f"'{tool}'", tool_rank=str(rank), record_seq=seq, **given)
 
 

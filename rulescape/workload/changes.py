@@ -66,7 +66,7 @@ SELECT j.change_id, coalesce(o.n, 0) AS n_new_paths, coalesce(o.exposed, []) AS
     CASE WHEN pp >= 0.85 AND ee >= 0.5 THEN 'admin/data port open to a broad source range' END], lambda x: x IS NOT NULL) AS patterns,
   concat(sz, '->', dz) AS proposed_boundary, dz = 'internal' AND sz IN ('internet', 'dmz', 'dev') AS crosses,
   list_filter([CASE WHEN o.n > 0 THEN concat('opens ', cast(o.n AS VARCHAR),
-      ' new internet path(s) reaching sensitive asset(s): ', array_to_string(o.exposed, ', ')) END,
+      ' new internet path(s) reaching sensitive asset(s): ', cast(len(o.exposed) AS VARCHAR)) END,
     CASE WHEN internet AND service = 'any' THEN 'internet any/any' END,
     CASE WHEN internet AND service = 'tcp/3389' THEN 'admin/lateral-movement port exposed to the internet' END,
     CASE WHEN internet AND sensitive THEN 'regulated/crown-jewel asset reachable from the internet' END,
@@ -90,12 +90,12 @@ def change_new_paths(spark, sf_dir):
     return opened.select("change_id", csv("path", ">"), "terminal", csv("tools"), "boundary")
 
 
-@query("""SELECT change_id, n_new_paths, array_to_string(exposed, ',') AS new_exposed_assets, array_to_string(bounds, ',') AS boundaries_crossed,
+@query("""SELECT change_id, n_new_paths, CAST(len(exposed) AS BIGINT) AS n_exposed, array_to_string(bounds, ',') AS boundaries_crossed,
           array_to_string(patterns, ';') AS new_over_permissive, proposed_boundary, len(forced) > 0 AS forced_escalate,
           array_to_string(forced, ';') AS forced_reasons FROM delta""", **_CHANGE_CTES)
 def change_delta(spark, sf_dir):
     return change.change_delta(*_opened(estate(spark, sf_dir))).select(
-        "change_id", "n_new_paths", csv("new_exposed_assets"), csv("boundaries_crossed"), csv("new_over_permissive", ";"),
+        "change_id", "n_new_paths", "n_exposed", csv("boundaries_crossed"), csv("new_over_permissive", ";"),
         "proposed_boundary", "forced_escalate", csv("forced_reasons", ";"))
 
 

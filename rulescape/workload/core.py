@@ -114,7 +114,7 @@ SELECT concat('transport_exposure|fallback|', destination, '|tcp443-udp443') AS
   concat(destination, ' is reachable on both tcp/443 and udp/443 — QUIC cannot be forced to the inspectable path') AS title,
   raw_refs, destination AS involved
 FROM (SELECT destination, 40 + CASE WHEN bool_or(sensitive) THEN 20 ELSE 0 END AS severity,
-        array_to_string(list_sort(list(DISTINCT ref)), '>') AS raw_refs
+        array_to_string(list_sort(list_distinct([min(ref) FILTER (WHERE protocol = 'tcp'), min(ref) FILTER (WHERE protocol = 'udp')])), '>') AS raw_refs
       FROM rec WHERE action = 'allow' AND port = 443 AND protocol IN ('tcp', 'udp') GROUP BY destination
       HAVING count(DISTINCT protocol) = 2)"""
 _PATH = f"""
@@ -195,15 +195,12 @@ def finding_ids(spark, sf_dir):
 
 @query(f"""SELECT row_number() OVER (ORDER BY forced_critical DESC, severity DESC, CASE severity_band WHEN 'critical' THEN 0
            WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, type, fid) AS position, local_key, severity FROM
-           (SELECT *, concat('F_', substr(sha1(concat('{_SNAP}', chr(31), local_key)), 1, 16)) AS fid FROM finding)
-           QUALIFY position <= 100""", **FINDING_CTES)
+           (SELECT *, concat('F_', substr(sha1(concat('{_SNAP}', chr(31), local_key)), 1, 16)) AS fid FROM finding)""", **FINDING_CTES)
 def findings_ranked(spark, sf_dir):
-    """The top 100 of the total order (a report page)."""
+    """Every finding with its place in the total order."""
     found = estate(spark, sf_dir).findings
     keyed = found.select("*", ids.stable_id("F", F.lit(_SNAP), F.col("local_key")).alias("finding_id"))
-    top = snapshot.ordered(keyed).limit(100)
-    w = Window.orderBy(*snapshot.finding_order())
-    return top.select(F.row_number().over(w).cast("bigint").alias("position"), "local_key", "severity")
+    return snapshot.ranked(keyed).select("position", "local_key", "severity")
 
 
 @query("SELECT local_key, severity FROM finding WHERE type = 'over_permissive' AND severity >= 60", **FINDING_CTES)
@@ -229,8 +226,7 @@ def alias_map(spark, sf_dir):
 @query("""SELECT asset_key, 'hostname' AS match_key, concat('{"name":"', name, '","tools":["', array_to_string(tools, '","'), '"]}')
             AS evidence, CAST(1 AS BIGINT) AS n_names
           FROM aliased WHERE n_tools > 1 AND asset_key NOT LIKE '%/%'
-          UNION ALL SELECT any_value(asset_key), 'context_ip', concat('{"ip":"', ip, '","names":["',
-            array_to_string(list_sort(list(name)), '","'), '"]}'), count(*)
+          UNION ALL SELECT any_value(asset_key), 'context_ip', concat('{"ip":"', ip, '","n_names":', count(*), '}'), count(*)
           FROM aliased WHERE ip IS NOT NULL GROUP BY ip HAVING count(*) > 1""")
 def identity_correlations(spark, sf_dir):
     found = snapshot.resolve_identities(estate(spark, sf_dir).normalized.entities)

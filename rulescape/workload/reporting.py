@@ -378,16 +378,20 @@ _CALL = """SELECT *, prompt_tokens + completion_tokens AS tokens, CASE model WHE
   WHEN 'gpt-4o-mini' THEN prompt_tokens * 0.15 + completion_tokens * 0.6 ELSE 0 END / 1000000.0 AS raw_cost FROM metric
   WHERE ts > (SELECT max(ts) FROM metric) - INTERVAL 7 DAY"""
 _M = {"metric": _METRIC, "call": _CALL}
+_WHOLE_LOG = {"metric": _METRIC, "call": _CALL.split("  WHERE ts >")[0]}
 _TOK = "CAST(sum(tokens) AS BIGINT)"
 _COST = "CAST(round(sum(raw_cost), 3) AS DOUBLE)"
 
 
+def _all_metrics(spark, sf_dir) -> DataFrame:
+    e = estate(spark, sf_dir)
+    return tables.metric_rows(spark.sql(METRIC_SQL.replace("{json}", "get_json_object(props, '$.k')"), events=e.table("events")).withColumns({
+        "error": F.lit(None).cast("string")}))
+
+
 def _metrics(spark, sf_dir) -> DataFrame:
     """The last seven days of the event log, counted back from its newest row."""
-    e = estate(spark, sf_dir)
-    calls = spark.sql(METRIC_SQL.replace("{json}", "get_json_object(props, '$.k')"), events=e.table("events")).withColumns({
-        "error": F.lit(None).cast("string")})
-    return reports.last_days(tables.metric_rows(calls), 7, F.col("newest"))
+    return reports.last_days(_all_metrics(spark, sf_dir), 7, F.col("newest"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -435,12 +439,12 @@ def metrics_top(spark, sf_dir):
 @query(f"""SELECT concat('tool-', cast(s_suppkey AS VARCHAR)) AS tool_key, coalesce(u.uses, 0) AS uses, coalesce(u.tokens, 0) AS total_tokens,
            coalesce(u.errors, 0) AS errors, CASE WHEN s_acctbal < 0 THEN 'admin' ELSE 'admin,analyst,viewer' END AS enabled_roles
            FROM supplier LEFT JOIN (SELECT tool_name, count(*) AS uses, {_TOK} AS tokens, count(*) FILTER (WHERE NOT ok) AS errors
-             FROM call GROUP BY 1) u ON u.tool_name = concat('tool-', cast(s_suppkey AS VARCHAR))""", **_M)
+             FROM call GROUP BY 1) u ON u.tool_name = concat('tool-', cast(s_suppkey AS VARCHAR))""", **_WHOLE_LOG)
 def tool_usage(spark, sf_dir):
     key = F.concat(F.lit("tool-"), F.col("s_suppkey").cast("string")).alias("tool_key")
     suppliers = estate(spark, sf_dir).table("supplier")
     settings = suppliers.filter("s_acctbal < 0").select(key, F.array(F.lit("admin")).alias("enabled_roles"))
-    out = reports.tool_registry(suppliers.select(key), settings, _metrics(spark, sf_dir), ["admin", "analyst", "viewer"])
+    out = reports.tool_registry(suppliers.select(key), settings, _all_metrics(spark, sf_dir), ["admin", "analyst", "viewer"])
     return out.select("tool_key", "uses", "total_tokens", "errors", csv("enabled_roles"))
 
 

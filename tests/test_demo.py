@@ -130,11 +130,11 @@ def test_change_requests(proposals):
     d = {r.change_id: r for r in delta.collect()}
     assert not d["CR-AUTO"].forced_escalate and d["CR-AUTO"].n_new_paths == 0 and d["CR-AUTO"].boundaries_crossed == []
     assert d["CR-ESCALATE"].forced_reasons == [
-        "opens 1 new internet path(s) reaching sensitive asset(s): db-prod-01",
+        "opens 1 new internet path(s) reaching sensitive asset(s): 1",
         "admin/lateral-movement port exposed to the internet", "creates new internet->internal exposure"]
     assert d["CR-ESCALATE"].boundaries_crossed == ["internet->internal"]
     assert d["CR-DENY"].n_new_paths == 0 and d["CR-DENY"].forced_escalate
-    assert d["CR-LATERAL"].new_exposed_assets == ["db-prod-01"] and d["CR-UNKNOWN"].n_new_paths == 0
+    assert d["CR-LATERAL"].n_exposed == 1 and d["CR-UNKNOWN"].n_new_paths == 0
     found = {(r.change_id, tuple(r.path)): r.tools for r in opened.collect()}
     assert found == {("CR-ESCALATE", ("0.0.0.0/0", "app-server-07", "internal-app", "db-prod-01")): ["algosec", "guardicore"],
                      ("CR-LATERAL", ("0.0.0.0/0", "lb-public-02", "internal-app", "db-prod-01")): ["algosec", "wiz"]}
