@@ -269,7 +269,9 @@ def validate_fixes(fixes: DataFrame, view, findings: DataFrame, base_paths: Data
         F.sum("w").alias("dn"), F.sum(F.when(F.col("crit"), F.col("w")).otherwise(0)).alias("dc"))
     per_sig = cut(per_sig.join(base, "sig", "left").withColumns({"n": F.coalesce("n", zero), "n_crit": F.coalesce("n_crit", zero)}))
     new_crit = per_sig.filter("n_crit = 0 AND dc > 0").groupBy("fix_id").agg(
-        F.array_sort(F.collect_set(F.regexp_replace("sig", "\x1f", ":"))).alias("new_criticals"))
+        F.array_sort(F.collect_set(F.concat(
+            F.substring_index("sig", "\x1f", 1), F.lit(":['"),
+            F.replace(F.expr("substring(sig, instr(sig, '\u001f') + 1)"), F.lit("\x1f"), F.lit("', '")), F.lit("']")))).alias("new_criticals"))
     totals = per_sig.groupBy("fix_id").agg(F.sum("dn").alias("dn"))
     want = fixes.withColumn("sig", signature(F.col("for_type"), F.col("for_involved")))
     left = per_sig.select("fix_id", "sig", (F.col("n") + F.col("dn")).alias("left"))

@@ -250,8 +250,9 @@ def ingest_inspection(rules: DataFrame, resolved: DataFrame) -> tuple[DataFrame,
             resolved.orderBy("source_tool", "object_name"), rules.orderBy("source_tool", "rule_order"))
 
 
-def last_audit(log: DataFrame, n: int = 50) -> DataFrame:
-    return log.orderBy(F.desc("ts")).limit(n)
+def last_audit(log: DataFrame, n: int = 50, key: str = "id") -> DataFrame:
+    """The newest rows; `key` settles ties of time."""
+    return log.orderBy(F.desc("ts"), key).limit(n)
 
 
 def thread(revisions: DataFrame, thread_id: str) -> DataFrame:

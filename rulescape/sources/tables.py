@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import lookups as L
 from ..functions.score import token_cost
-from ..operators.scratch import cut
+from ..operators.scratch import write_table
 from .exports import CLOUD, FIREWALL, MICROSEG
 
 # fixed values: the device each connector reports for
@@ -126,12 +127,16 @@ def write_snapshot(snap, base: str, created_at: str | None = None) -> None:
     """Replace the snapshot's partition of every table, and upsert the snapshot and source rows."""
     spark = snap.findings.sparkSession
     for name, df in snapshot_tables(snap).items():
-        _remove(spark, f"{base}/{name}/snapshot_id={snap.snapshot_id}")
         keys = {"resolved_objects": ["id"], "assets": ["asset_id"], "asset_correlations": ["id"],
                 "canonical_rules": ["rule_uid"], "graph_nodes": ["node_id"], "graph_edges": ["edge_id"],
                 "findings": ["finding_id"]}[name]
-        last_of_batch(df, keys, F.lit(0)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "snapshot_id").parquet(f"{base}/{name}")
+        # rows first: the partition of an earlier run stays until the new one is complete
+        rows, seen = write_table(last_of_batch(df, keys))
+        if seen["rows"]:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{base}/{name}")
+        else:
+            rows.limit(0).write.mode("append").partitionBy("snapshot_id").parquet(f"{base}/{name}")
+            _remove(spark, f"{base}/{name}/snapshot_id={snap.snapshot_id}")
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
     row = spark.range(1).select(F.lit(snap.snapshot_id).alias("snapshot_id"), F.lit(snap.label).alias("label"),
                                 F.lit("complete").alias("status"), stamp.alias("created_at"))
@@ -159,8 +164,17 @@ def drop_snapshot(spark: SparkSession, base: str, snapshot_id: str, active: str)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table, also with rows that were read from it."""
-    cut(df).write.mode("overwrite").parquet(path)
+    """Replace a table, also with rows that were read from it: write beside it, then swap the folders."""
+    spark = df.sparkSession
+    beside, before = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(as_path(path)):
+        files.rename(as_path(path), as_path(before))
+    files.rename(as_path(beside), as_path(path))
+    files.delete(as_path(before), True)
+    spark.catalog.refreshByPath(path)
 
 
 def clear_tables(spark: SparkSession, base: str, names: Iterable[str] = CHANGE_TABLES) -> None:
@@ -175,15 +189,20 @@ def append(df: DataFrame, path: str) -> None:
 
 # ---- keyed rows ---------------------------------------------------------------
 
-def last_of_batch(df: DataFrame, keys: list[str], seq: Column) -> DataFrame:
-    """One row per key: the last by `seq` (an aggregate, so a repeated key needs no sort)."""
+def last_of_batch(df: DataFrame, keys: list[str], seq: Column | None = None) -> DataFrame:
+    """One row per key: the last by `seq` (an aggregate, so a repeated key needs no sort).
+
+    Ties, and batches without an order, are settled by the rows' own content, so reruns agree.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("__r")).select(*keys, "__r.*").select(*df.columns)
+    content = F.to_json(F.struct(*rest))
+    order = content if seq is None else F.struct(seq.alias("seq"), content.alias("content"))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], seq: Column | None = None) -> DataFrame:
     """Rows of `batch` replace rows of `existing` with the same keys; columns the batch lacks are kept."""
-    new = last_of_batch(batch, keys, F.lit(0) if seq is None else seq)
+    new = last_of_batch(batch, keys, seq)
     kept = [c for c in existing.columns if c not in new.columns]
     if kept:
         new = new.join(existing.select(*keys, *kept), keys, "left")
@@ -196,7 +215,7 @@ def upsert_table(batch: DataFrame, path: str, keys: list[str], seq: Column | Non
     if exists(spark, path):
         replace_table(upsert(spark.read.parquet(path), batch, keys, seq), path)
     else:
-        last_of_batch(batch, keys, F.lit(0) if seq is None else seq).write.parquet(path)
+        last_of_batch(batch, keys, seq).write.parquet(path)
 
 
 def update_status(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -225,7 +244,7 @@ def _merge_rows(pairs: DataFrame) -> DataFrame:
 
 def add_merges(existing: DataFrame, pairs: DataFrame) -> DataFrame:
     """Insert confirmed pairs that are not there yet (the first confirmation stays)."""
-    new = last_of_batch(_merge_rows(pairs), ["merge_id"], F.lit(0))
+    new = last_of_batch(_merge_rows(pairs), ["merge_id"])
     return existing.unionByName(new.join(existing.select("merge_id"), "merge_id", "left_anti"), allowMissingColumns=True)
 
 

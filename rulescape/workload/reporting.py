@@ -155,14 +155,19 @@ def action_ranking(spark, sf_dir):
                       F.col("priority").cast("bigint").alias("priority"))
 
 
-@query("""SELECT count(*) AS total_findings, count(*) FILTER (WHERE severity_band = 'critical') AS critical,
+# a path that ends in a sensitive asset, or a grant from the internet to one
+_REACHES = """((SELECT count(*) FROM f_chain) > 0
+          OR (SELECT count(*) FROM scored WHERE action = 'allow' AND e >= 1 AND sensitive) > 0)"""
+
+
+@query(f"""SELECT count(*) AS total_findings, count(*) FILTER (WHERE severity_band = 'critical') AS critical,
           count(*) FILTER (WHERE severity_band = 'high') AS high, count(*) FILTER (WHERE severity_band = 'medium') AS medium,
           count(*) FILTER (WHERE severity_band = 'low') AS low, count(*) FILTER (WHERE type = 'cidr_overlap') AS cidr_overlap,
           count(*) FILTER (WHERE type = 'cross_tool_path') AS cross_tool_path,
           count(*) FILTER (WHERE type = 'over_permissive') AS over_permissive,
           count(*) FILTER (WHERE type = 'shadowed_rule') AS shadowed_rule,
           count(*) FILTER (WHERE type = 'transport_exposure') AS transport_exposure,
-          count(*) FILTER (WHERE forced_critical) AS forced_critical, true AS internet_reaches_regulated_data,
+          count(*) FILTER (WHERE forced_critical) AS forced_critical, {_REACHES} AS internet_reaches_regulated_data,
           (SELECT count(*) FROM node WHERE sensitive) AS sensitive_assets FROM finding""", **FINDING_CTES)
 def posture_summary(spark, sf_dir):
     e = estate(spark, sf_dir)
@@ -180,19 +185,66 @@ def top_findings(spark, sf_dir):
             ' for ', involved, ' (', split_part(split_part(title, '(', 2), ')', 1), '). Remove the narrower rule to cut policy clutter.') AS explanation
           FROM f_overlap
           UNION ALL SELECT local_key, concat(title, ' (refs: ', replace(raw_refs, '>', ', '), ').') FROM f_blind
-          UNION ALL SELECT local_key, concat(title, ' (refs: ', replace(raw_refs, '>', ', '), ').') FROM f_fallback""", **FINDING_CTES)
+          UNION ALL SELECT local_key, concat(title, ' (refs: ', replace(raw_refs, '>', ', '), ').') FROM f_fallback
+          UNION ALL SELECT concat('over_permissive|', tool, '|', ref), concat('Rule ', ref, ' allows ', access, ' from ',
+            CASE WHEN source = '0.0.0.0/0' THEN 'the internet (0.0.0.0/0)' ELSE source END, ' to ', destination, ' (',
+            CASE WHEN coalesce(dest_tags, '') = '' THEN 'internal' ELSE array_to_string(list_sort(string_split(dest_tags, ',')), ', ') END,
+            '). This is over-permissive because ', array_to_string(reasons, '; '),
+            '. Suggested fix: scope the source to only the hosts that genuinely need ', access, ', and remove any internet exposure.')
+          FROM (SELECT *, CASE WHEN protocol = 'any' THEN 'any protocol/port' WHEN port = 3389 THEN 'RDP' WHEN port = 443 THEN 'HTTPS'
+              WHEN port = 5432 THEN 'PostgreSQL' ELSE service END AS access,
+            list_filter([CASE WHEN protocol = 'any' THEN 'allows every protocol and port (any/any)' END,
+              CASE WHEN e >= 1 AND (p >= 0.85 OR sensitive) THEN 'exposed directly to the internet' END,
+              CASE WHEN sensitive AND e >= 0.3 THEN 'regulated destination reachable from more than a single host' END,
+              CASE WHEN p >= 0.85 AND e >= 0.5 THEN 'admin/data port open to a broad source range' END], lambda x: x IS NOT NULL) AS reasons
+            FROM scored WHERE action = 'allow') WHERE len(reasons) > 0
+          UNION ALL SELECT local_key, concat('A reachability chain crosses ', cast(len(c.tools) AS VARCHAR), ' tools (',
+            array_to_string(c.tools, ', '), ') from Internet to ', c.path[len(c.path)], ' (', array_to_string(c.tags, ', '), ') -- a internet->',
+            CASE WHEN c.dmz THEN 'dmz' WHEN c.dev THEN 'dev' ELSE 'internal' END,
+            ' crossing that no single tool reveals. Break one hop (e.g. rule ', c.refs[1], ') to cut the chain.')
+          FROM f_chain JOIN chain_scored c ON local_key = concat('cross_tool_path|', array_to_string(c.path, '>'))
+          UNION ALL SELECT s.local_key, concat(r.action, ' ', r.source, ' -> ', r.destination, ' (', r.service, ')',
+            CASE r.action WHEN 'deny' THEN ' never fires; earlier allow ' ELSE ' is redundant; earlier rule ' END, x.ref, ' (', x.source,
+            CASE r.action WHEN 'deny' THEN ') already permits it' ELSE ') already covers it' END,
+            ' Reorder or remove rule ', r.ref, ' so the intended policy is actually enforced.')
+          FROM f_shadow s JOIN rec r ON s.local_key = concat('shadowed_rule|', r.tool, '|', r.ref)
+          JOIN rec x ON x.tool = r.tool AND x.ref = s.shadowing_ref""", **FINDING_CTES)
 def explanations(spark, sf_dir):
-    found = estate(spark, sf_dir).findings.filter("type IN ('cidr_overlap', 'transport_exposure')")
-    return found.select("local_key", reports.explanation().alias("explanation"))
+    return estate(spark, sf_dir).findings.select("local_key", reports.explanation().alias("explanation"))
+
 
+_TOP = f"""SELECT title, severity_band, severity FROM (SELECT *, {_FID} AS fid FROM finding)
+           ORDER BY forced_critical DESC, severity DESC, {_RANK}, type, fid LIMIT 5"""
 
-@query()
+
+@query(f"""SELECT concat('## Executive summary', chr(10), 'The current snapshot surfaced ', count(*), ' policy risks across the estate (',
+            count(*) FILTER (WHERE severity_band = 'critical'), ' critical, ', count(*) FILTER (WHERE severity_band = 'high'), ' high, ',
+            count(*) FILTER (WHERE severity_band = 'medium'), ' medium, ', count(*) FILTER (WHERE severity_band = 'low'), ' low). ',
+            CASE WHEN {_REACHES} THEN 'A cross-tool attack path reaches regulated data from the internet, which no single tool reveals. ' ELSE '' END,
+            count(*) FILTER (WHERE forced_critical), ' findings are categorically unacceptable and were force-flagged critical.', chr(10), chr(10),
+            '## Top risks', chr(10),
+            (SELECT string_agg(concat('- ', title, ' (', severity_band, ')', chr(10)), '' ORDER BY severity DESC, title) FROM ({_TOP})),
+            chr(10), '## Compliance posture', chr(10), 'Regulated assets in scope: ', (SELECT count(*) FROM node WHERE sensitive), ' assets',
+            '. Internet-exposed access to PCI/customer-data assets is a PCI-DSS segmentation gap (Req. 1) and a Zero-Trust violation; ',
+            'closing the flagged criticals moves the estate toward an enforced-segmentation maturity level.') AS narrative
+          FROM finding""", **FINDING_CTES)
 def posture_narrative(spark, sf_dir):
     e = estate(spark, sf_dir)
     return reports.narrative(_keyed(e), e.view.identities.assets)
 
 
-@query()
+_ORDER = f"ORDER BY forced_critical DESC, severity DESC, {_RANK}, type, fid LIMIT 1"
+_WITH_ID = f"SELECT *, {_FID} AS fid FROM finding"
+
+
+@query(f"""SELECT * FROM (
+          SELECT 1 AS n, (SELECT concat('Can the internet reach ', split_part(involved, '>', -1), ', and through which path and tools?')
+            FROM ({_WITH_ID}) WHERE type = 'cross_tool_path' {_ORDER}) AS question
+          UNION ALL SELECT 2, (SELECT concat('What can reach ', min(node), '?') FROM node WHERE sensitive)
+          UNION ALL SELECT 3, (SELECT concat('What would happen if I open ', r.service, ' from ', r.source, ' to ', r.destination, '?')
+            FROM ({_WITH_ID}) f JOIN rec r ON f.local_key = concat('over_permissive|', r.tool, '|', r.ref) WHERE type = 'over_permissive' {_ORDER})
+          UNION ALL SELECT 4, (SELECT 'Which findings are forced-critical, and why?' FROM finding WHERE forced_critical LIMIT 1)
+          UNION ALL SELECT 5, 'Summarize the riskiest exposure in this snapshot.') WHERE question IS NOT NULL ORDER BY n LIMIT 4""", **FINDING_CTES)
 def suggested_questions(spark, sf_dir):
     e = estate(spark, sf_dir)
     return reports.suggested_questions(_keyed(e), e.view.identities.assets)
@@ -359,8 +411,8 @@ def rule_search(spark, sf_dir):
 @query("""SELECT ref AS raw_rule_id, tool AS source_tool, action FROM rec WHERE ref IN (SELECT concat('R-', cast(max(s_suppkey) AS VARCHAR)) FROM supplier)""")
 def rule_lookup(spark, sf_dir):
     e = estate(spark, sf_dir)
-    last = e.table("supplier").agg(F.max("s_suppkey")).first()[0]
-    return reports.rule_by_ref(tables.canonical_rules(e.view.placed, _SNAP), f"R-{last}").select(
+    last = e.table("supplier").agg(F.max("s_suppkey").cast("string")).scalar()
+    return reports.rule_by_ref(tables.canonical_rules(e.view.placed, _SNAP), F.concat(F.lit("R-"), last)).select(
         "raw_rule_id", "source_tool", "action")
 
 
@@ -448,10 +500,10 @@ def tool_usage(spark, sf_dir):
     return out.select("tool_key", "uses", "total_tokens", "errors", csv("enabled_roles"))
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS action FROM events ORDER BY ts DESC LIMIT 50""")
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS action FROM events ORDER BY ts DESC, event_id LIMIT 50""")
 def audit_tail(spark, sf_dir):
     log = estate(spark, sf_dir).table("events")
-    return reports.last_audit(log).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
+    return reports.last_audit(log, key="event_id").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
                                           F.col("event_type").alias("action"))
 
 

@@ -61,7 +61,9 @@ def test_golden_findings(demo):
 def test_snapshot_id_is_the_hash_of_the_rules(demo_source, demo):
     lines = sorted("|".join(str(x) for x in (r.source_tool, r.raw_ref, r.source, r.destination, r.service, r.action, r.order))
                    for r in demo_source.records.collect())
-    print_ = hashlib.sha1(json.dumps(lines, separators=(",", ":")).encode()).hexdigest()
+    digests = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+    words = [sum(int(d[15 * k:15 * k + 15], 16) for d in digests) for k in range(4)]
+    print_ = "sum:" + hashlib.sha1("|".join(str(v) for v in (len(lines), *words)).encode()).hexdigest()
     assert demo.snapshot_id == "snap_" + hashlib.sha1(f"seed-demo\x1f{print_}".encode()).hexdigest()[:12]
 
 
