@@ -32,15 +32,15 @@ def record_key(rank: int) -> str:
 
 def _rules(export: DataFrame, field: str, tool: str, device: str = "''", **given: str) -> DataFrame:
     """Rule rows in source order: tool, then document, then position."""
-    rows = numbered(export).selectExpr(f"{device} AS device", "document", f"posexplode({field}) AS (pos, r)").select("device", "document", "pos", "r.*")
+    rows = export.selectExpr(f"{device} AS device", "document", f"posexplode({field}) AS (pos, r)").select("device", "document", "pos", "r.*")
     rank = TOOL_RANK[tool]
     seq = record_key(rank)
     return shaped(rows, RULE, source_tool=f"'{tool}'", tool_rank=str(rank), record_seq=seq, **given)
 
 
 def _catalog(export: DataFrame, field: str, device: str = "''") -> DataFrame:
-    return export.selectExpr(f"{device} AS device", f"explode({field}) AS (name, v)").select(
-        "device", "name", "v.*").withColumn("tags", F.coalesce("tags", L.empty_strings()))
+    return export.selectExpr(f"{device} AS device", "document", f"explode({field}) AS (name, v)").select(
+        "device", "document", "name", "v.*").withColumn("tags", F.coalesce("tags", L.empty_strings()))
 
 
 def _listed(catalog: DataFrame, tool: str, identifiers: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _listed(catalog: DataFrame, tool: str, identifiers: str) -> DataFrame:
 
 
 def parse_firewall(export: DataFrame) -> Parsed:
-    device = "coalesce(device, '')"
+    device, export = "coalesce(device, '')", numbered(export)
     objects = _catalog(export, "objects", "device")
     host = "coalesce(type = 'host', false)"
     return Parsed(
@@ -61,6 +61,7 @@ def parse_firewall(export: DataFrame) -> Parsed:
 
 
 def parse_microseg(export: DataFrame) -> Parsed:
+    export = numbered(export)
     labels = _catalog(export, "labels")
     return Parsed(
         _rules(export, "policies", MICROSEG, raw_ref="policy_id", src="src_label", dst="dst_label", src_named="true",
@@ -72,6 +73,7 @@ def parse_microseg(export: DataFrame) -> Parsed:
 
 
 def parse_cloud(export: DataFrame) -> Parsed:
+    export = numbered(export)
     assets = _catalog(export, "assets")
     ingress = "kind = 'internet_ingress'"
     internet = shaped(export.limit(1), SEEN, name=f"'{L.INTERNET}'", kind="'cidr'", tool=f"'{CLOUD}'",

@@ -25,7 +25,7 @@ class Parsed(NamedTuple):
     """A source flattened to tables, before names are resolved."""
 
     rules: DataFrame      # RULE columns
-    catalog: DataFrame    # source_tool, name, ip, cidr, tags
+    catalog: DataFrame    # source_tool, document, name, ip, cidr, tags: one row per name of a document
     listed: DataFrame     # SEEN columns: entities the source lists whether or not a rule names them
     resolved: DataFrame   # schemas.RESOLVED
 
@@ -34,8 +34,9 @@ RULE = {
     "source_tool": "string", "tool_rank": "int", "raw_ref": "string", "src": "string", "dst": "string",
     "src_named": "boolean", "dst_named": "boolean", "service": "string", "port": "int", "protocol": "string",
     "app": "string", "action": "string", "order": "int", "note": "string", "record_seq": "bigint",
+    "document": "bigint",
 }
-CATALOG = {"source_tool": "string", "name": "string", "ip": "string", "cidr": "string", "tags": "array<string>"}
+CATALOG = {"source_tool": "string", "document": "bigint", "name": "string", "ip": "string", "cidr": "string", "tags": "array<string>"}
 SEEN = {
     "name": "string", "kind": "string", "tool": "string", "tool_rank": "int", "ip": "string", "cidr": "string",
     "tags": "array<string>", "identifiers": "map<string,string>", "abstract": "boolean", "record_seq": "bigint",
@@ -72,11 +73,11 @@ def with_endpoint(df: DataFrame, token: str, out: str, named: str = "false") ->
 def normalize(parsed: Parsed, by_tool: bool = True, materialize: bool = False) -> Normalized:
     """Resolve rule ends against the catalog and decode services.
 
-    With `by_tool` each tool sees only its own catalog entries. With `materialize` the resolved
+    With `by_tool` a rule sees only the catalog of its own tool and document. With `materialize` the resolved
     rules are written once and shared by records and entities, instead of resolved for each.
     """
     rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
-    key = "concat_ws('\\u001f', source_tool, {0})" if by_tool else "{0}"
+    key = "concat_ws('\\u001f', source_tool, CAST(document AS string), {0})" if by_tool else "{0}"
     dim = parsed.catalog.withColumn("__k", F.expr(key.format("name")))
     for side in ("source", "destination"):
         wanted = F.expr(f"CASE WHEN {side}_kind = 'identity' THEN {key.format(side)} END")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from .exports import numbered, record_key
 from .normalize import CATALOG, RULE, SEEN, Normalized, Parsed, normalize, resolved_rows, shaped
 
 
@@ -59,23 +60,25 @@ def _field(name: str | None, kind: str = "string") -> Column:
 
 def _items(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.sql(
-        "SELECT x.pos, x.key, x.value FROM {docs}, LATERAL variant_explode_outer(try_variant_get(doc, :path, 'variant')) x",
+        "SELECT document, x.pos, x.key, x.value FROM {docs}, LATERAL variant_explode_outer(try_variant_get(doc, :path, 'variant')) x",
         args={"path": _path(path)}, docs=docs).filter("value IS NOT NULL")
 
 
 def _objects(docs: DataFrame, p: SourceProfile) -> DataFrame:
     if p.objects_path is None:
         none = docs.sparkSession.range(0)
-        return none.select(*[F.lit(None).cast("string").alias(c) for c in ("name", "value", "type")],
+        return none.select(F.col("id").alias("document"), *[F.lit(None).cast("string").alias(c) for c in ("name", "value", "type")],
                            L.empty_strings().alias("tags"))
     return _items(docs, p.objects_path).select(
-        F.col("key").alias("name"), _field(p.object_value_key).alias("value"), _field(p.object_type_key).alias("type"),
+        "document", F.col("key").alias("name"), _field(p.object_value_key).alias("value"), _field(p.object_type_key).alias("type"),
         F.coalesce(_field(p.object_tags_key, "array<string>"), L.empty_strings()).alias("tags"))
 
 
 def apply_profile(docs: DataFrame, p: SourceProfile) -> Normalized:
     """Records, entities and resolved objects of documents with one VARIANT column `doc`."""
     fm = p.fields
+    # profiles that are loaded together need ranks of their own: a record's key holds rank, document and position
+    docs = numbered(docs.select(F.to_json("doc").alias("text"))).select("document", F.parse_json("text").alias("doc"))
     objects = _objects(docs, p)
     nth = F.col("pos") + 1
     action = _field(fm.action) if fm.action else F.lit(fm.default_action)
@@ -88,7 +91,7 @@ def apply_profile(docs: DataFrame, p: SourceProfile) -> Normalized:
         (none if fm.service else _field(fm.protocol)).alias("protocol"), _field(fm.app).alias("app"),
         F.when(action.isin("allow", "deny"), action).otherwise("allow").alias("action"),
         (_field(fm.order, "int") if fm.order else nth * 10).alias("order"),
-        (F.lit(p.tool_rank << 50) + F.col("pos")).alias("record_seq"))
+        F.expr(record_key(p.tool_rank)).alias("record_seq"), "document")
     tool = L.literal(p.tool)
     out = normalize(Parsed(
         shaped(rules, RULE, source_tool=tool, tool_rank=str(p.tool_rank)),

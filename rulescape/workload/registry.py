@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, core, reporting  # noqa: F401
+from . import changes, core, loading, reporting  # noqa: F401
 
 QUERIES = core.QUERIES
 ORACLES = core.ORACLES
