@@ -8,9 +8,9 @@ the probability of their weighted Jaccard similarity, and a document throws abou
 whatever its length.
 
 Signatures are joined by bands. Equal texts are folded first, and a bucket is never paired with
-itself: each member is compared with two centres of its bucket, the links found make components,
-and only members of different components that share a bucket are compared further. Every pair in a
-bucket is thus in one component or was compared. Candidates are verified exactly.
+itself: in a few turns each member is compared with two centres of its bucket, the links found make
+components, and in the end only members of different components that share a bucket are compared.
+Every pair in a bucket is thus in one component or was compared. Candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ DARTS = math.ceil(K * math.log(K) + 2 * K)
 #: Coordinates (of two bits each) that a pair at the threshold shares but once in 10**9.
 AGREE = math.floor(K * (0.25 + 0.75 * THRESHOLD) - 6 * math.sqrt(K * (0.25 + 0.75 * THRESHOLD) * 0.75 * (1 - THRESHOLD)))
 
+#: Turns in which buckets are compared with two centres each. They only save work: large groups become few components
+#: before the members of different components are compared.
+TURNS = 4
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,11 +187,11 @@ def _likely(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs `(a, b)` whose weighted Jaccard similarity, by whole sets, reaches the threshold."""
+    """The rows of `pairs`, by nodes `a, b`, whose weighted Jaccard similarity, by whole sets, reaches the threshold."""
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    return both.filter(shared >= THRESHOLD * (F.size("x") + F.size("y") - shared) - 1e-9).drop("x", "y")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -204,6 +208,36 @@ def _node(text):
     return F.unhex(F.md5(text))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    mixed = placed.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("band")
+    return cut(placed.join(mixed, "band"))
+
+
+def _with_common(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add `common`: how many members of a node's set another node of `placed` has as well (two at most too many).
+
+    Two sets share no more than the smaller of these counts, which bounds their similarity: a text
+    with many edits of its own reaches nobody, and is not compared with the whole group it came from.
+    """
+    here = placed.select("node").distinct()
+    each = sets.join(here, "node", "left_semi").select(F.xxhash64("node").alias("id"), F.explode("members").alias("member"))
+    own = (each.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+           .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    rows = placed.withColumn("id", F.xxhash64("node")).join(own, "id", "left")
+    return cut(rows.withColumn("common", F.col("me.size") - F.coalesce("own", F.lit(0)) + 2).drop("id", "own"))
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """`(root, top)`: components of components, from links that carry the components of both ends."""
+    return cut(components(cut(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
+               .select(F.col("name").alias("root"), F.col("root").alias("top")))
+
+
+def _relabelled(rows: DataFrame, upper: DataFrame) -> DataFrame:
+    return rows.join(upper, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`(doc_id, node, class_id, keeper)` for every row of `docs`, which has `doc_id, text`.
 
@@ -218,34 +252,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(docs.select("doc_id", _node(text).alias("node"), sign.asNondeterministic()(text).alias("s")).select("doc_id", "node", "s.*"))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"),
                                            F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")))
-    rows = nodes.select(F.explode("bands").alias("band"), "node", "size", "sketch")
-    me = F.struct("node", "size", "sketch")
-    crowds = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("low"), F.max(me).alias("high"))
-              .filter("n > 1").select("band", "low", "high"))
-    crowded = cut(rows.join(crowds, "band").select("band", me.alias("me"), "low", "high"))
-    to_low = crowded.filter((F.col("me.node") != F.col("low.node")) & _likely("me", "low"))
-    to_high = crowded.filter((F.col("me.node") != F.col("high.node")) & (F.col("me.node") != F.col("low.node")) & _likely("me", "high"))
-    stars = cut(to_low.select(F.col("me.node").alias("a"), F.col("low.node").alias("b"))
-                .unionByName(to_high.select(F.col("me.node").alias("a"), F.col("high.node").alias("b"))).distinct())
-    sets = _sets(docs, nodes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
-    links = cut(_verified(stars, sets))
-    roots = cut(components(links).withColumnsRenamed({"name": "node"}))
-
-    # members of different components that share a bucket
-    placed = crowded.select("band", "me", F.col("me.node").alias("node")).join(roots, "node", "left")
-    placed = cut(placed.select("band", "me", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two").select("band")
-    split = placed.join(mixed, "band")
-    x, y = split.alias("p"), split.alias("q")
-    found = x.join(y, (F.col("p.band") == F.col("q.band")) & (F.col("p.root") < F.col("q.root")) & _likely("p.me", "q.me"))
-    cross = found.select(F.col("p.me.node").alias("a"), F.col("q.me.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb")).distinct()
-    tested = stars.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    cross = cut(cross.join(tested, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti"))
-    more_sets = _sets(docs, nodes, cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct())
-    bridges = _verified(cross.select("a", "b"), more_sets).join(cross, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    upper = components(cut(bridges)).select(F.col("name").alias("root"), F.col("root").alias("top"))
-    classes = nodes.select("node", F.col("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = cut(classes.join(upper, "root", "left").select("node", "first", F.coalesce("top", "root").alias("class")))
+    rows = nodes.select(F.explode("bands").alias("band"), "node")
+    crowds = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    known = nodes.select("node", F.struct("node", "size", "sketch").alias("me"))
+    placed = cut(rows.join(crowds, "band").join(known, "node").select("band", "node", "me", F.col("node").alias("root")))
+    sets = _sets(docs, nodes, placed.select("node").distinct())
+    labels = nodes.select("node", F.col("doc_id").alias("first"), F.col("node").alias("root"))
+    for turn in range(TURNS):
+        # every turn other centres: what is near none of them yet may be near the next ones
+        placed = _mixed(placed)
+        order = F.xxhash64("node", F.lit(turn))
+        centre = F.struct("me", "root")
+        centres = placed.groupBy("band").agg(F.min_by(centre, order).alias("low"), F.max_by(centre, order).alias("high"))
+        near = placed.join(centres, "band").select("me", "root", F.explode(F.array("low", "high")).alias("centre"))
+        near = near.filter((F.col("root") != F.col("centre.root")) & _likely("me", "centre.me"))
+        pairs = near.select(F.col("me.node").alias("a"), F.col("centre.me.node").alias("b"), F.col("root").alias("ra"), F.col("centre.root").alias("rb"))
+        upper = _merged(_verified(cut(pairs.distinct()), sets))
+        placed, labels = _relabelled(placed, upper), _relabelled(labels, upper)
+    # every pair that shares a bucket, is not in one component by now and may yet be alike is compared
+    placed = _with_common(_mixed(placed), sets)
+    p, q = placed.alias("p"), placed.alias("q")
+    most = F.least("p.common", "q.common")
+    bound = most >= THRESHOLD * (F.col("p.me.size") + F.col("q.me.size") - most) - 1e-9
+    found = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.root") < F.col("q.root")) & bound & _likely("p.me", "q.me"))
+    pairs = found.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+    classes = _relabelled(labels, _merged(_verified(cut(pairs.distinct()), sets))).withColumnRenamed("root", "class")
+    classes = cut(classes)
     keepers = classes.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("late"), "first", "node")).alias("k"))
     known = classes.join(keepers, "class").select("node", F.col("k.first").alias("class_id"), F.col("k.node").alias("keeper_node"))
     out = signed.select("doc_id", "node").join(known, "node")
