@@ -12,15 +12,11 @@ from pyspark.sql import functions as F
 from rulescape.llm import language, minhash, mixing, packing, toxicity
 from rulescape.operators.scratch import cut
 
-#: Least mean marginal of a document's language; with four languages, chance is a quarter.
-LEAST_LANGUAGE = 0.35
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language go on; the others have no letter or resemble none."""
+    """Documents whose text has a language go on, also those that switch it; without a letter there is none."""
     tagged = language.with_language(docs, language.fit_language(docs), "_language")
-    kept = (F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE)
-    return tagged.filter(kept).drop("_language")
+    return tagged.filter(F.col("_language.lang") != language.UNKNOWN).drop("_language")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
