@@ -14,9 +14,10 @@ from rulescape.operators.scratch import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language go on, also those that switch it; without a letter there is none."""
+    """Documents in the languages of the table's own labels go on, also those that switch between them; others have
+    no letter, or words unlike those of the training documents."""
     tagged = language.with_language(docs, language.fit_language(docs), "_language")
-    return tagged.filter(F.col("_language.lang") != language.UNKNOWN).drop("_language")
+    return tagged.filter("_language.learned").drop("_language")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

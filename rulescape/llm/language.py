@@ -4,6 +4,9 @@ The states are the languages of the training rows. A word's features are its aff
 trigrams and its entry in a lexicon of words that the sample shows in one language; transitions
 are learned. Forward-backward marginals label each word, so text that switches language is
 followed word by word; a document's language is the one with the largest mean marginal.
+
+The field always names a learned language, so it cannot say that a text has none of them. That is
+judged by letter trigrams: a text whose trigrams the sample hardly shows is not `learned`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,14 @@ SAMPLE = 2000
 SIGHTINGS = 4
 PURITY = 0.9
 UNKNOWN = "und"
+#: Trigrams of the sample are kept in a table of 2**SEEN bits.
+SEEN = 22
+#: A text is not learned if its shares of known words and of known letters both lie below these
+#: parts of what nearly all training documents reach without their own trigrams.
+LEAST_WORDS = 0.6
+LEAST_LETTERS = 0.8
+#: So many training documents of each language may lie lower (mislabelled, junk).
+ODD = 0.01
 
 
 def _lexicon(parts, labels: list[np.ndarray], states: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +59,40 @@ def _features(w: words.Words, lexicon: tuple[np.ndarray, np.ndarray], states: in
     return Features([entry.astype(np.int64), *affixes], words.trigrams(w, BITS), w.end - w.start)
 
 
+def _shares(w: words.Words, known: np.ndarray) -> np.ndarray:
+    """Per text: the share of words whose trigrams are all known, and of letters whose trigram is; `known` is per letter."""
+    size = w.end - w.start
+    out = np.zeros((w.n_docs, 2))
+    if not len(size):
+        return out
+    whole = np.logical_and.reduceat(known, np.cumsum(size) - size)
+    out[:, 0] = np.bincount(w.doc, weights=whole, minlength=w.n_docs) / np.maximum(1, np.bincount(w.doc, minlength=w.n_docs))
+    letter_doc = np.repeat(w.doc, size)
+    out[:, 1] = np.bincount(letter_doc, weights=known, minlength=w.n_docs) / np.maximum(1, np.bincount(letter_doc, minlength=w.n_docs))
+    return out
+
+
+def _evidence(parts, labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of the sample as a table, and the least shares of words and letters of a learned text.
+
+    A training document's own shares count only trigrams that another one has too. The bound comes
+    from the language with the lowest shares, so that a rare one is not lost.
+    """
+    docs_with = np.zeros(1 << SEEN, np.int32)
+    for w in parts:
+        pair = np.unique(np.repeat(w.doc, w.end - w.start).astype(np.int64) << SEEN | words.trigrams(w, SEEN))
+        np.add.at(docs_with, pair & ((1 << SEEN) - 1), 1)
+    shares, of = [np.zeros((0, 2))], [np.zeros(0, np.int64)]
+    for w, y in zip(parts, labels):
+        with_words, at = np.unique(w.doc, return_index=True)
+        shares.append(_shares(w, docs_with[words.trigrams(w, SEEN)] > 1)[with_words])
+        of.append(y[at])
+    shares, of = np.concatenate(shares), np.concatenate(of)
+    low = [np.quantile(shares[of == s], ODD, axis=0, method="lower") for s in np.unique(of)]
+    least = np.min(low, axis=0) if low else np.zeros(2)
+    return docs_with > 0, least * (LEAST_WORDS, LEAST_LETTERS)
+
+
 def train(rows: list[tuple[str, str]]) -> Crf | None:
     """Fit on `(text, language)` rows; every word of a document is labelled with its language."""
     names = sorted({lang for _, lang in rows})
@@ -66,7 +111,8 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
         first, size = words.chains(w, LONGEST)
         batches.append((_features(w, lexicon, len(names)), first, size, y, np.ones(len(y))))
     model = fit(batches, BITS, len(names), epochs=3)
-    model.extra.update(names=names, lexicon=lexicon)
+    seen, least = _evidence(parts, labels)
+    model.extra.update(names=names, lexicon=lexicon, seen=seen, least=least)
     return model
 
 
@@ -85,15 +131,22 @@ def label_words(model: Crf, text: str) -> list[tuple[int, int, str, float]]:
 
 def score_texts(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
     """Per text: language, its mean marginal over all letters, and the share of words of other languages."""
+    return _scored(model, texts)[:3]
+
+
+def _scored(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
+    """As `score_texts`, and whether the text is of a learned language."""
     langs: list[str] = []
     scores: list[float] = []
     switched: list[float] = []
+    learned: list[bool] = []
     for _, batch in words.batches(texts):
         w = words.split(batch)
         if model is None or not len(w.start):
             langs += [UNKNOWN] * len(batch)
             scores += [0.0] * len(batch)
             switched += [0.0] * len(batch)
+            learned += [False] * len(batch)
             continue
         gamma = _marginals(model, w).astype(np.float64)
         length = (w.end - w.start).astype(np.float64)
@@ -102,12 +155,14 @@ def score_texts(model: Crf | None, texts: list[str | None]) -> tuple[list[str],
         letters, n_words = mass.sum(axis=1), np.bincount(w.doc, minlength=w.n_docs)
         best = mass.argmax(axis=1)
         other = np.bincount(w.doc, weights=gamma.argmax(axis=1) != best[w.doc], minlength=w.n_docs)
+        enough = (_shares(w, model.extra["seen"][words.trigrams(w, SEEN)]) >= model.extra["least"]).any(axis=1)
         for d in range(w.n_docs):
             some = letters[d] > 0
             langs.append(model.extra["names"][best[d]] if some else UNKNOWN)
             scores.append(float(min(1.0, mass[d, best[d]] / letters[d])) if some else 0.0)
             switched.append(float(other[d] / n_words[d]) if some else 0.0)
-    return langs, scores, switched
+            learned.append(bool(some and enough[d]))
+    return langs, scores, switched, learned
 
 
 def fit_language(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
@@ -123,19 +178,19 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
 
 
 def with_language(docs: DataFrame, model: Crf | None, name: str = "language") -> DataFrame:
-    """Add `name`: struct of language, score and the share of words in other languages, from `text` alone.
+    """Add `name`: struct of language, score, the share of words in other languages and `learned`, from `text` alone.
 
     A text that is null or has no letter gets `und` and score 0, as every text does when no
-    training row has a language.
+    training row has a language; none of these is learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang:string,score:double,switched:double>")
+    @F.arrow_udf("struct<lang:string,score:double,switched:double,learned:boolean>")
     def tag(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            langs, scores, switched = score_texts(shared.value, part.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(switched, pa.float64())],
-                                             names=["lang", "score", "switched"])
+            langs, scores, switched, learned = _scored(shared.value, part.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(switched, pa.float64()),
+                                              pa.array(learned, pa.bool_())], names=["lang", "score", "switched", "learned"])
 
     return docs.withColumn(name, tag.asNondeterministic()(F.col("text")))
 

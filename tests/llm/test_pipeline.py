@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
-from test_llm import DOCS, _rows
+from test_llm import DE, DOCS, EN, _rows, _sentence
 
 from rulescape.llm import minhash, mixing, toxicity
 
@@ -54,3 +56,15 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    rng = random.Random(11)
+    clean = [(i, _sentence(rng, (EN, DE)[i % 2], rng.randint(3, 60)), ("en", "de")[i % 2]) for i in range(200)]
+    mixed = [(1000 + i, _sentence(rng, EN, 8) + " " + _sentence(rng, DE, 8), "en") for i in range(10)]
+    other = [(2000, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", None),
+             (2001, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None),
+             (2002, "日本語 テキスト", None), (2003, "0 1 % q 2", None)]
+    table = spark.createDataFrame(clean + mixed + other, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, table, "").collect()}
+    assert kept == {r[0] for r in clean + mixed}
