@@ -15,7 +15,7 @@ import numpy as np
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 _PRIME = np.uint64(0x100000001B3)
-#: Pieces kept in a worker; beyond it the table starts again.
+#: Pieces kept in a worker; beyond it the table starts again. A batch with more of them is held whole.
 KNOWN = 2_000_000
 #: Longer pieces are encoded each time they occur.
 PIECE = 64
@@ -95,8 +95,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > KNOWN:
-            self._forget()
+        """Encode pieces and enter them in the table; both sorted by key."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         slots = np.arange(len(self.first) - 1, len(self.first) - 1 + len(got))
@@ -125,13 +124,11 @@ class Encoder:
         missing = (self.keys[at] != uniq) if len(self.keys) else np.ones(len(uniq), bool)
         missing &= uniq != 0
         if missing.any():
+            if len(self.keys) + missing.sum() > KNOWN:  # the table starts again, with all pieces of this batch
+                self._forget()
+                missing = uniq != 0
             new = np.flatnonzero(missing)
-            before = len(self.keys)
             self._add(uniq[new], [joined[start[w]:start[w] + size[w]] for w in where[new].tolist()])
-            if len(self.keys) <= before:  # the table started again: what it held is encoded once more
-                held = np.flatnonzero(~missing & (uniq != 0))
-                if len(held):
-                    self._add(uniq[held], [joined[start[w]:start[w] + size[w]] for w in where[held].tolist()])
         slot = np.zeros(len(uniq), np.int64)
         if len(self.keys):
             slot = self.slots[np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)]

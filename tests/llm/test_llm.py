@@ -125,6 +125,15 @@ def test_tokens_are_the_library_s(texts):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_a_batch_larger_than_the_piece_table(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN", 7)
+    coder = tokens.Encoder(packing.default_tokenizer())
+    for texts in (["one two three"], ["one four two five six seven three eight"], ["eight", "one two nine ten eleven twelve", "a b c d e f g h i j"]):
+        want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, counts = coder.encode(texts)
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 # ---- 2 and 4, random fields -------------------------------------------------------
 
 def test_forward_backward_against_enumeration():
