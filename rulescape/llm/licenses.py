@@ -40,7 +40,7 @@ class Rule:
 
 _LICENSE = "licen[cs]e"
 _UNDER = "(?:released |licensed |distributed |available |provided |published |redistributed |covered |made available )"
-_VERSION = "(?:version |v )?"
+_VERSION = "(?:version |v ?)?"
 
 #: Families: (label, names, versions with the labels they give, family keyword). A version is written as words.
 FAMILIES = (
@@ -97,7 +97,7 @@ NOTICES = (
     Rule("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission",), 40, 0.95),
     Rule("isc-grant", "isc", "permission to use copy modify and or distribute this software for any purpose", ("permission",), 40, 0.9),
     Rule("bsd-grant", "bsd", "redistribution and use in source and binary forms with or without modification", ("redistribution",), 40, 0.9),
-    Rule("bsd-endorse", "bsd-3", "neither the name of .{0,80}? nor the names of its contributors may be used to endorse", ("neither",), 45, 0.9),
+    Rule("bsd-endorse", "bsd-3", "neither the name of (?:(?!neither the name of ).)*?nor the names of its contributors may be used to endorse", ("neither",), 45, 0.9),
     Rule("gpl-grant", "gpl", "redistribute it and or modify it under the terms of the gnu general public license", ("gnu",), 42, 0.9),
     Rule("gpl-later", "gpl-later", "either version [123] of the license or at your option any later version", ("version",), 44, 0.9),
     Rule("zlib-grant", "zlib", "this software is provided as is without any express or implied warranty", ("warranty",), 35, 0.7),
@@ -113,21 +113,34 @@ def _version(text: str) -> str:
     return text.replace(" ", " ?") + ("" if " " in text else "(?: 0)?")
 
 
+def _joined(name: str, version: str) -> tuple[str, tuple[str, ...]]:
+    """A version written in one word with an abbreviation, as in gplv3: what follows the name, and the words it gives."""
+    if " " in name and not (name.startswith("gnu ") and name.count(" ") == 1):
+        return "", ()
+    v = "v?" if name.endswith("gpl") else "v"  # gpl3 is common, the other names with a bare digit may be anything
+    last = name.split()[-1]
+    heads = {version.split()[0], version.replace(" ", "")}
+    return f"|{v}{_version(version)}", tuple(sorted(last + x + h for x in {"v", v.replace("v?", "")} for h in heads))
+
+
 def _family_rules() -> Iterator[Rule]:
     """From each name: named licence, notice, and short form, each with every version and without one."""
     for label, names, versions, keywords in FAMILIES:
         for name in names:
             short = " " not in name and len(name) <= 5
             for version, exact in [*versions.items(), (None, label)]:
-                v = f"(?: {_VERSION}{_version(version)})" if version else ""
+                joined, words = _joined(name, version) if version else ("", ())
+                apart = f"(?: {_VERSION}{_version(version)})" if version else ""
+                v = f"(?:{apart}{joined})"
+                opens = keywords + words
                 key = f"{name}-{version or 'any'}"
                 bump = 5 if version else 0
-                yield Rule(f"named-{key}", exact, f"(?:the )?{name} {_LICENSE}{v}", keywords, 30 + bump, 0.8 + 0.01 * bump)
-                yield Rule(f"notice-{key}", exact, f"{_UNDER}?under (?:the )?(?:terms of the )?(?:conditions of the )?{name}(?: {_LICENSE})?{v}",
-                           keywords, 50 + bump, 0.9 + 0.01 * bump)
+                yield Rule(f"named-{key}", exact, f"(?:the )?{name} {_LICENSE}{apart}", keywords, 30 + bump, 0.8 + 0.01 * bump)
+                yield Rule(f"notice-{key}", exact, f"{_UNDER}?under (?:the )?(?:terms of the )?(?:conditions of the )?{name}(?:(?: {_LICENSE})?{apart}{joined})",
+                           opens, 50 + bump, 0.9 + 0.01 * bump)
                 yield Rule(f"tag-{key}", exact, f"spdx license identifier {name}{v}", ("spdx",), 60 + bump, 0.95 + 0.01 * bump)
                 if version and short:
-                    yield Rule(f"short-{key}", exact, f"{name}{v}", keywords, 25, 0.7)
+                    yield Rule(f"short-{key}", exact, f"{name}{v}", opens, 25, 0.7)
 
 
 def _creative_commons() -> Iterator[Rule]:
@@ -135,7 +148,7 @@ def _creative_commons() -> Iterator[Rule]:
         spoken = " ".join(CC_ELEMENTS[e] for e in kind.split())
         label = "cc-" + kind.replace(" ", "-")
         for version in (*CC_VERSIONS, None):
-            v, exact = (f" {version.replace(' ', ' ?')}", f"{label}-{version.replace(' ', '.')}") if version else ("", label)
+            v, exact = (f" {_VERSION}{version.replace(' ', ' ?')}", f"{label}-{version.replace(' ', '.')}") if version else ("", label)
             yield Rule(f"cc-{kind}-{version}", exact, f"(?:licensed under )?(?:the )?cc {kind}{v}", ("cc",), 55 + 5 * bool(version) + len(kind), 0.85)
             yield Rule(f"creative-{kind}-{version}", exact, f"creative commons {spoken}{v}(?: international| unported| generic)?(?: {_LICENSE})?",
                        ("commons",), 55 + 5 * bool(version) + len(kind), 0.95)

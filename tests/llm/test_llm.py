@@ -413,6 +413,17 @@ def test_license_labels():
     assert label("mit der Lizenz") == label("the version of the license") == set()
 
 
+@pytest.mark.parametrize("text, want", [
+    ("GPL v2", "gpl-2"), ("MPL v2.0", "mpl-2"), ("GNU General Public License v3.0", "gpl-3"), ("Apache License v2.0", "apache-2"),
+    ("GPLv3", "gpl-3"), ("GPLv2.0", "gpl-2"), ("LGPLv2.1", "lgpl-2.1"), ("LGPLv21", "lgpl-2.1"), ("GPL3", "gpl-3"),
+    ("the GNU AGPLv3", "agpl-3"), ("Released under the LGPLv3", "lgpl-3"), ("under GPLv2 or later", "gpl-2"), ("MPLv2", "mpl-2"),
+    ("EUPLv1.2", "eupl-1.2"), ("SPDX-License-Identifier: GPLv3", "gpl-3"), ("CC BY-SA v4.0", "cc-by-sa-4.0"),
+    ("Neither the name of the " + "very " * 40 + "long holder nor the names of its contributors may be used to endorse", "bsd-3"),
+    ("gplv", None), ("gplv34", None), ("php3", None)])
+def test_license_versions_in_one_word_and_long_holders(text, want):
+    assert {r.label for _, _, r in licenses.scan(f"see {text} here")[2]} == ({want} if want else set())
+
+
 def test_license_rows(docs, rows, none):
     out = licenses.license_scan(docs).collect()
     assert sorted((r.n_words, r.n_base) for r in out) == sorted((n, len(p)) for n, p in (_base(r[1]) for r in rows))
