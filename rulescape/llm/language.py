@@ -60,15 +60,21 @@ def _features(w: words.Words, lexicon: tuple[np.ndarray, np.ndarray], states: in
 
 
 def _shares(w: words.Words, known: np.ndarray) -> np.ndarray:
-    """Per text: the share of words whose trigrams are all known, and of letters whose trigram is; `known` is per letter."""
+    """Per text: the share of words whose trigrams are all known, and of letters whose trigram is; `known` is per letter.
+
+    Letters that touch a digit are of a key or number, not of a word, and do not count.
+    """
     size = w.end - w.start
     out = np.zeros((w.n_docs, 2))
     if not len(size):
         return out
-    whole = np.logical_and.reduceat(known, np.cumsum(size) - size)
-    out[:, 0] = np.bincount(w.doc, weights=whole, minlength=w.n_docs) / np.maximum(1, np.bincount(w.doc, minlength=w.n_docs))
-    letter_doc = np.repeat(w.doc, size)
-    out[:, 1] = np.bincount(letter_doc, weights=known, minlength=w.n_docs) / np.maximum(1, np.bincount(letter_doc, minlength=w.n_docs))
+    digit = (w.codes >= 48) & (w.codes <= 57)
+    plain = ~(digit[w.end] | (digit[w.start - 1] & (w.start > 0)))
+    whole = np.logical_and.reduceat(known, np.cumsum(size) - size) & plain
+    in_plain, letter_doc = np.repeat(plain, size), np.repeat(w.doc, size)
+    for i, (doc, good, counted) in enumerate(((w.doc, whole, plain), (letter_doc, known & in_plain, in_plain))):
+        total = np.bincount(doc, weights=counted, minlength=w.n_docs)
+        out[:, i] = np.bincount(doc, weights=good, minlength=w.n_docs) / np.maximum(1, total)
     return out
 
 
