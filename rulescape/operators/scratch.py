@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[str | None] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,8 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return write_table(df)[0]
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table this process wrote; call it once no result that reads them is needed."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """A place in the list of tables written so far, for `clear`."""
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int | None = None) -> None:
+    """Delete the tables this process wrote from `since` on (up to the mark `keep`); call it once no result that
+    reads them is needed. Places in the list stay, so marks taken before hold."""
+    for at in range(since, len(_WRITTEN) if keep is None else keep):
+        if _WRITTEN[at]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN[at])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN[at] = None
