@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, licenses, minhash, mixing, packing, quality, spotsigs, toxicity, vectors
+from . import bpe, centroids, html, language, licenses, minhash, mixing, packing, quality, spotsigs, toxicity, variants, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_spotsigs, op4_language, op5_mixing, op6_minhash, op7_html, op8_licenses, op9_vector_dedup, op10_quality)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of 40 centroids of every embedding after five rounds."""
+    return centroids.assignments(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of their decoded text."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words' form."""
+    return variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_toxicity, op3_spotsigs, op4_language, op5_mixing, op6_minhash, op7_html, op8_licenses, op9_vector_dedup,
+    op10_quality, op11_centroids, op12_bpe, op13_variants)}

@@ -96,4 +96,70 @@ FROM trio
 """
 OP3 = _OP3.replace("ANCHORS", ", ".join(f"'{w}'" for w in ANCHORS))
 
-ORACLES = {"op3_spotsigs": OP3, "op5_mixing": OP5, "op9_vector_dedup": OP9}
+
+
+def _op11(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Every round spelled out: distances to all centroids, then floored means."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x : CAST(floor({scale} * x) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dim}
+    AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY draw, x) - 1 AS c, x FROM (
+    SELECT sha256(concat('{seed}:', coalesce(CAST(vec_id AS VARCHAR), 'null'))) AS draw, x FROM v ORDER BY draw, x LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, best.c AS c, best.d AS d FROM (
+    SELECT v.r, min({{'d': CAST(list_sum(list_transform(list_zip(v.x, c{i}.x), lambda p : (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c{i}.c}}) AS best
+    FROM v CROSS JOIN c{i} GROUP BY v.r))""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT c, i, sum(e) AS s, count(*) AS n FROM (
+      SELECT a{i}.c, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS i FROM a{i} JOIN v ON v.r = a{i}.r) GROUP BY c, i) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+OP11 = _op11()
+
+OP13 = r"""
+WITH RECURSIVE run AS MATERIALIZED (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+-- crc32 bit by bit over the UTF-8 bytes of id:run
+hashed AS MATERIALIZED (
+  SELECT run, times, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(flatten(list_transform(
+      string_split(concat(id, ':', run), ''),
+      lambda c : CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)), lambda b : b::BIGINT)),
+    lambda h, b : list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z : CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))
+    AS h FROM run),
+word AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+gap AS MATERIALIZED (SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gap g JOIN word w ON w.word = g.rest
+  UNION SELECT w.word, g.word FROM gap g JOIN word w ON w.word = g.rest),
+ranked AS (
+  SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, w.n AS n,
+         row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS place FROM near JOIN word w ON w.word = b),
+told AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.b END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM word w LEFT JOIN ranked r ON r.a = w.word AND r.place = 1),
+chain(word, reached, form) AS (
+  SELECT word, word, form FROM told UNION ALL SELECT c.word, t.word, t.form FROM chain c JOIN told t ON t.word = c.form)
+SELECT t.word, t.form, c.reached AS root, t.n, t.n_near, t.form_n FROM told t JOIN chain c ON c.word = t.word AND c.form IS NULL
+"""
+
+ORACLES = {"op3_spotsigs": OP3, "op5_mixing": OP5, "op9_vector_dedup": OP9, "op11_centroids": OP11, "op13_variants": OP13}
