@@ -13,7 +13,7 @@ from ..sources.normalize import optional, with_endpoint
 from .detect.rules import broad_reasons, forced_reasons, scored
 from .graph import place
 from .joins import lookup
-from .paths import MAX_HOPS, hop_edges, path_tools, simple_paths
+from .paths import MAX_HOPS, hop_edges, path_tools, simple_paths, with_hops
 from .scratch import cut, write_table
 
 
@@ -54,8 +54,8 @@ def joined_paths(pairs: DataFrame, edges: DataFrame, node_table: DataFrame, max_
     concrete = node_table.filter("kind = 'concrete'").select("node")
     internet = pairs.sparkSession.createDataFrame([(L.INTERNET,)], "node string")
     into = pairs.select(F.col("s").alias("node")).distinct().join(concrete, "node", "left_semi")
-    heads = simple_paths(hops, internet.select(everything, "node"), into.select(everything, "node"), True,
-                         max_hops - 1).select(F.element_at("path", -1).alias("s"), F.col("path").alias("head"),
+    heads = with_hops(simple_paths(hops, internet.select(everything, "node"), into.select(everything, "node"), True,
+                                   max_hops - 1), hops).select(F.element_at("path", -1).alias("s"), F.col("path").alias("head"),
                                               F.col("hops").alias("head_hops"))
     kind = heads.schema["head_hops"].dataType.simpleString()
     no_hops = F.array().cast(kind)
@@ -63,8 +63,8 @@ def joined_paths(pairs: DataFrame, edges: DataFrame, node_table: DataFrame, max_
         F.col("node").alias("s"), F.array("node").alias("head"), no_hops.alias("head_hops")))
     sensitive = node_table.filter(L.is_sensitive("tags")).select("node")
     out_of = pairs.select(F.col("d").alias("node")).distinct()
-    tails = simple_paths(hops, out_of.join(concrete, "node", "left_semi").select(everything, "node"),
-                         sensitive.select(everything, "node"), True, max_hops - 1).select(
+    tails = with_hops(simple_paths(hops, out_of.join(concrete, "node", "left_semi").select(everything, "node"),
+                                   sensitive.select(everything, "node"), True, max_hops - 1), hops).select(
         F.col("path").getItem(0).alias("d"), F.col("path").alias("tail"), F.col("hops").alias("tail_hops"))
     tails = tails.unionByName(out_of.join(sensitive, "node", "left_semi").select(
         F.col("node").alias("d"), F.array("node").alias("tail"), no_hops.alias("tail_hops")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import score
 from ..functions.service import grant_answers
+from .condense import Reach
 from .joins import lookup
 from .scratch import cut, write_table
 
@@ -31,11 +32,27 @@ def hop() -> Column:
 
 
 def hop_edges(edges: DataFrame) -> DataFrame:
-    """(s, d, s_concrete, d_concrete, hop): what a traversal needs of an edge."""
+    """(s, d, s_concrete, d_concrete, hop): what a traversal needs of an edge, and what it tells at the end."""
     return edges.select("s", "d", (F.col("s_kind") == "concrete").alias("s_concrete"),
                         (F.col("d_kind") == "concrete").alias("d_concrete"), hop())
 
 
+def with_hops(found: DataFrame, hops: DataFrame) -> DataFrame:
+    """`found` (goal, start, path; each once) with `hops`, the facts of its edges in order.
+
+    A search moves names only; the facts are looked up once per edge of a finished path. A path has
+    at most `MAX_HOPS` of them, so a row stays bounded.
+    """
+    kind = hops.schema["hop"].dataType.simpleString()
+    steps = found.filter(F.size("path") > 1).select(
+        "goal", "start", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i"))
+    ends = steps.withColumns({"s": F.element_at("path", F.col("i")), "d": F.element_at("path", F.col("i") + 1)})
+    told = ends.join(hops.select("s", "d", "hop"), ["s", "d"]).groupBy("goal", "start", "path").agg(
+        F.array_sort(F.collect_list(F.struct("i", "hop"))).alias("steps"))
+    return told.select("goal", "start", "path", F.transform("steps", lambda x: x["hop"]).alias("hops")).unionByName(
+        found.filter(F.size("path") < 2).select("goal", "start", "path", F.array().cast(f"array<{kind}>").alias("hops")))
+
+
 def usable(hops: DataFrame, starts: DataFrame) -> DataFrame:
     """Drop edges that leave an abstract node nobody starts from: no path can use them."""
     first = starts.select(F.col("node").alias("s")).distinct()
@@ -66,19 +83,18 @@ def distances(hops: DataFrame, goals: DataFrame, max_hops: int = MAX_HOPS) -> Da
 
 def simple_paths(hops: DataFrame, starts: DataFrame, goals: DataFrame, through_goals: bool,
                  max_hops: int = MAX_HOPS, prune: DataFrame | None = None) -> DataFrame:
-    """(goal, start, path, hops): every simple path from a start to a node of its goal.
+    """(goal, start, path): every simple path from a start to a node of its goal; `with_hops` adds the facts of its edges.
 
     `starts` and `goals` have goal and node. With `through_goals` a path that reached a goal
     node also runs on to others; without it, a start that is its own goal yields the empty path.
     """
-    edges = cut(usable(hops, starts))
+    edges = cut(usable(hops.select("s", "d", "s_concrete", "d_concrete"), starts))
     near = distances(edges, goals, max_hops) if prune is None else prune
     near = cut(near)
-    kind = edges.schema["hop"].dataType.simpleString()
     front = starts.select("goal", F.col("node").alias("last")).join(
         near.withColumnRenamed("node", "last"), ["goal", "last"]).select(
         "goal", F.col("last").alias("start"), "last", F.lit(True).alias("d_concrete"), "dist",
-        F.array("last").alias("path"), F.array().cast(f"array<{kind}>").alias("hops"))
+        F.array("last").alias("path"))
     done = []
     go_on = F.lit(True) if through_goals else F.col("dist") > 0
     if not through_goals:
@@ -90,8 +106,7 @@ def simple_paths(hops: DataFrame, starts: DataFrame, goals: DataFrame, through_g
                 .filter(~F.array_contains("path", F.col("d")))
                 .join(ahead, ["goal", "d"]).filter(F.col("dist") + k <= max_hops)
                 .select("goal", "start", F.col("d").alias("last"), "d_concrete", "dist",
-                        F.array_append("path", F.col("d")).alias("path"),
-                        F.array_append("hops", F.col("hop")).alias("hops")))
+                        F.array_append("path", F.col("d")).alias("path")))
         open_end = F.col("d_concrete") & go_on
         step, info = write_table(step, F.count_if(open_end).alias("open"))
         if not info["rows"]:
@@ -102,7 +117,7 @@ def simple_paths(hops: DataFrame, starts: DataFrame, goals: DataFrame, through_g
         front = step.filter(open_end)
     if not done:
         done = [front.filter(F.lit(False))]
-    return reduce(DataFrame.unionByName, done).select("goal", "start", "path", "hops")
+    return reduce(DataFrame.unionByName, done).select("goal", "start", "path")
 
 
 def path_tools(hops: Column) -> Column:
@@ -137,7 +152,8 @@ def internet_paths(edges: DataFrame, node_table: DataFrame, source: str = L.INTE
     all_goals = F.lit("*").alias("goal")
     goals = node_table.filter(L.is_sensitive("tags") & (F.col("node") != source)).select(all_goals, "node")
     starts = node_table.filter(F.col("node") == source).select(all_goals, "node")
-    return simple_paths(hop_edges(edges), starts, goals, through_goals=True, max_hops=max_hops)
+    hops = hop_edges(edges)
+    return with_hops(simple_paths(hops, starts, goals, through_goals=True, max_hops=max_hops), hops)
 
 
 def cross_tool(paths: DataFrame) -> DataFrame:
@@ -158,7 +174,7 @@ def _asked(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def paths_between(queries: DataFrame, names: DataFrame, edges: DataFrame, grants: DataFrame | None = None,
                   max_hops: int = MAX_HOPS) -> DataFrame:
-    """(query_id, src, dst, path, hops) for a table of questions (query_id, src, dst).
+    """(query_id, src, dst, path) for a table of questions (query_id, src, dst).
 
     With `grants`, questions may carry port, protocol and app: the last hop must then hold a
     grant that answers them. Ends are asset names or aliases.
@@ -172,9 +188,8 @@ def paths_between(queries: DataFrame, names: DataFrame, edges: DataFrame, grants
     found = asked.join(paths, ["src", "dst"])
     if grants is not None:
         filtered = F.col("port").isNotNull() | F.col("protocol").isNotNull() | F.col("app").isNotNull()
-        free = ~filtered | (F.size("hops") < 1)
-        last = F.try_element_at("hops", F.lit(-1))
-        strict = found.filter(~free).withColumns({"ls": last["src"], "ld": last["dst"]})
+        free = ~filtered | (F.size("path") < 2)
+        strict = found.filter(~free).withColumns({"ls": F.element_at("path", -2), "ld": F.element_at("path", -1)})
         wanted = strict.select("query_id", "ls", "ld", "port", "protocol", "app").distinct()
         g = grants.select(F.col("s").alias("ls"), F.col("d").alias("ld"), F.col("protocol").alias("gp"),
                           F.col("port").alias("gs"), F.col("port_end").alias("ge"), F.col("l7_app").alias("ga"))
@@ -190,39 +205,28 @@ def reachable(queries: DataFrame, names: DataFrame, edges: DataFrame, grants: Da
     """One row per question: reachable or not, how many paths, and the shortest."""
     found = paths_between(queries, names, edges, grants)
     best = found.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_paths"), F.min(F.struct(F.size("hops").alias("length"), "path")).alias("best"))
+        F.count(F.lit(1)).alias("n_paths"), F.min(F.struct(F.size("path").alias("length"), "path")).alias("best"))
     return _asked(queries, names).join(best, "query_id", "left").withColumns({
         "reachable": F.col("n_paths").isNotNull(), "n_paths": F.coalesce("n_paths", F.lit(0).cast("bigint")),
         "shortest": F.col("best.path")}).drop("best")
 
 
 def who_can_reach(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(target, source): every node with a directed path of any length, through any node."""
-    pairs = cut(edges.select("s", "d").filter("s <> d"))
-    ring = targets.select("target", F.col("target").alias("node")).distinct()
-    rings = []
-    while True:
-        ring, info = write_table(ring)
-        if not info["rows"]:
-            break
-        rings.append(ring)
-        seen = reduce(DataFrame.unionByName, rings)
-        ring = (pairs.join(ring, F.col("d") == F.col("node")).select("target", F.col("s").alias("node")).distinct()
-                .join(seen, ["target", "node"], "left_anti"))
-    if not rings:
-        rings = [ring]
-    return reduce(DataFrame.unionByName, rings).filter("node <> target").select(
-        "target", F.col("node").alias("source"))
+    """(target, source): every node with a directed path of any length, through any node.
+
+    Reach is found between strongly connected components and spelled out last; `condense.Reach` has it
+    without the pairs.
+    """
+    return Reach(targets, edges).pairs()
 
 
 def effective_policy(targets: DataFrame, names: DataFrame, edges: DataFrame, node_table: DataFrame) -> DataFrame:
-    """One row per asked target: found, tags, number of sources, and whether the internet is one."""
+    """One row per asked target: found, tags, number of sources, and whether the internet is one; no pair is listed."""
     asked = lookup(targets.withColumnRenamed("target", "asked"), F.col("asked"), names, "name", {"node": "node"},
                    F.col("asked")).withColumn("target", F.coalesce("node", "asked")).drop("node")
     known = node_table.select(F.col("node").alias("target"), F.array_sort("tags").alias("target_tags"))
-    reach = who_can_reach(asked.join(known, "target", "left_semi").select("target"), edges)
-    counts = reach.groupBy("target").agg(F.count(F.lit(1)).alias("n_sources"),
-                                         F.bool_or(F.col("source") == L.INTERNET).alias("exposed"))
+    reach = Reach(asked.join(known, "target", "left_semi").select("target"), edges)
+    counts = reach.counts().join(reach.from_node(L.INTERNET).withColumn("exposed", F.lit(True)), "target", "left")
     return asked.join(known, "target", "left").join(counts, "target", "left").select(
         "asked", "target", "target_tags", F.coalesce("n_sources", F.lit(0).cast("bigint")).alias("n_sources"),
         F.coalesce("exposed", F.lit(False)).alias("internet_exposed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, score
 from ..functions.service import with_service
-from ..operators import graph, paths
+from ..operators import condense, graph, paths
 from ..operators.detect import nesting, rules
 from ..plans import snapshot
 from ..sources.normalize import with_endpoint
@@ -355,6 +355,30 @@ def who_can_reach(spark, sf_dir):
     return paths.who_can_reach(targets, estate(spark, sf_dir).view.edges)
 
 
+# every node, with the smallest node that it reaches and that reaches it
+_MUTUAL = """SELECT DISTINCT s AS a, d AS b FROM edge UNION SELECT m.a, e.d FROM mutual m JOIN edge e ON e.s = m.b"""
+
+
+@query("""SELECT n.node, least(n.node, coalesce(min(m.b), n.node)) AS component
+          FROM (SELECT s AS node FROM edge UNION SELECT d FROM edge) n
+          LEFT JOIN (SELECT a, b FROM mutual x WHERE EXISTS (SELECT 1 FROM mutual y WHERE y.a = x.b AND y.b = x.a)) m ON m.a = n.node
+          GROUP BY n.node""", mutual=_MUTUAL)
+def reach_components(spark, sf_dir):
+    """Strongly connected components of the permitted-flow graph."""
+    return condense.strong_components(estate(spark, sf_dir).view.edges)
+
+
+@query("""SELECT target, count(source) AS n_sources FROM (
+            SELECT t.target, r.source FROM (SELECT DISTINCT dst AS target FROM asked) t
+            LEFT JOIN reach r ON r.target = t.target AND r.source <> t.target) GROUP BY target""",
+       asked=_ASKED_DUCK, reach="""SELECT DISTINCT dst AS target, dst AS source FROM asked
+                UNION SELECT r.target, e.s FROM reach r JOIN edge e ON e.d = r.source""")
+def reach_counts(spark, sf_dir):
+    """How many nodes reach each asked one, from component sizes; no pair is listed."""
+    targets = _questions(spark, sf_dir).select(F.col("dst").alias("target"))
+    return condense.Reach(targets, estate(spark, sf_dir).view.edges).counts()
+
+
 @query("""SELECT t.target AS asked, t.target, array_to_string(n.tags, ',') AS target_tags, count(r.source) AS n_sources,
           coalesce(bool_or(r.source = '0.0.0.0/0'), false) AS internet_exposed
           FROM (SELECT DISTINCT dst AS target FROM asked) t LEFT JOIN node n ON n.node = t.target
