@@ -213,6 +213,11 @@ def finding_listing(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("forced_critical"), F.desc("severity"), "type", "finding_id")
 
 
+def finding(findings: DataFrame, finding_id: str | Column) -> DataFrame:
+    """The finding of that id; no row if there is none."""
+    return findings.filter(F.col("finding_id") == finding_id)
+
+
 def decision_log(decisions: DataFrame, requests: DataFrame, staged: DataFrame, limit: int = 25) -> DataFrame:
     """Latest decisions with their request and, if any, staged change; undated ones last."""
     d = decisions.select("decision_id", "request_id", "decision", "forced_escalate", "confidence", "decided_at")
@@ -233,7 +238,7 @@ def staging_list(staged: DataFrame, requests: DataFrame) -> DataFrame:
         F.desc("created_at"), "staged_id")
 
 
-def siblings(staged: DataFrame, staged_id: str) -> DataFrame:
+def siblings(staged: DataFrame, staged_id: str | Column) -> DataFrame:
     """Other live changes for the same tool."""
     tool = staged.filter(F.col("staged_id") == staged_id).select("target_tool")
     return staged.filter(F.col("status").isin("staged", "pushed") & (F.col("staged_id") != staged_id)).join(

@@ -281,7 +281,7 @@ def audit_rows(events: DataFrame) -> DataFrame:
 
 
 def metric_rows(calls: DataFrame) -> DataFrame:
-    """Add total tokens, cost, tool name and a bounded error text to measured calls."""
+    """Add total tokens, cost and tool name to measured calls; error texts stay whole, an empty one is none."""
     zero = F.lit(0)
     return calls.withColumns({
         "prompt_tokens": F.coalesce("prompt_tokens", zero), "completion_tokens": F.coalesce("completion_tokens", zero),
@@ -290,7 +290,7 @@ def metric_rows(calls: DataFrame) -> DataFrame:
         "est_cost_usd": token_cost("coalesce(provider, '')", "coalesce(model, '')", "prompt_tokens",
                                    "completion_tokens").cast("decimal(12,6)"),
         "tool_name": F.coalesce("tool_name", "capability"),
-        "error": F.substring(F.nullif("error", F.lit("")), 1, 500),
+        "error": F.nullif("error", F.lit("")),
     })
 
 

@@ -397,6 +397,99 @@ def merged_components(spark, sf_dir):
         F.col("name").alias("asset_key"), F.coalesce("root", "name").alias("first_name"))
 
 
+_LINKED = """SELECT n.name AS a, m.name AS b FROM named n JOIN named m ON m.ip = n.ip AND m.name <> n.name
+  UNION SELECT a, b FROM merged JOIN named x ON x.name = a JOIN named y ON y.name = b WHERE NOT gone
+  UNION SELECT b, a FROM merged JOIN named x ON x.name = a JOIN named y ON y.name = b WHERE NOT gone"""
+_JOINED = "SELECT name AS a, name AS b FROM named UNION SELECT j.a, l.b FROM joined j JOIN linked l ON l.a = j.b"
+
+
+def _confirmed(e) -> DataFrame:
+    """The merges that suppliers confirmed and did not withdraw, as their table holds them."""
+    return e.table("supplier").filter("s_acctbal >= 0").select(
+        F.concat(F.lit("vm-"), F.col("s_nationkey").cast("string")).alias("name_a"),
+        F.concat(F.lit("host-"), (F.col("s_suppkey") * 3).cast("string")).alias("name_b"))
+
+
+@query("""SELECT j.a AS name, arg_min(n.name, [cast(99 - n.n_tools AS VARCHAR), n.name]) AS asset_key
+          FROM joined j JOIN named n ON n.name = j.b GROUP BY j.a""", merged=_MERGED, linked=_LINKED, joined=_JOINED)
+def merged_alias_map(spark, sf_dir):
+    """Canonical asset of every name with confirmed merges as links beside shared addresses."""
+    e = estate(spark, sf_dir)
+    return snapshot.resolve_identities(e.normalized.entities, _confirmed(e)).alias_map
+
+
+@query("""SELECT c.asset_key, concat('{"by":"human-confirmed","names":["', m.a, '","', m.b, '"]}') AS evidence
+          FROM (SELECT DISTINCT a, b FROM merged WHERE NOT gone) m JOIN named y ON y.name = m.b
+          JOIN (SELECT j.a AS name, arg_min(n.name, [cast(99 - n.n_tools AS VARCHAR), n.name]) AS asset_key
+                FROM joined j JOIN named n ON n.name = j.b GROUP BY j.a) c ON c.name = m.a""", merged=_MERGED, linked=_LINKED, joined=_JOINED)
+def merge_evidence(spark, sf_dir):
+    """Correlations that a person confirmed."""
+    e = estate(spark, sf_dir)
+    found = snapshot.resolve_identities(e.normalized.entities, _confirmed(e).distinct())
+    return found.correlations.filter("match_key = 'manual_review'").select("asset_key", "evidence")
+
+
+@query("""SELECT name, CASE WHEN name LIKE '%/%' THEN 'cidr' ELSE 'identity' END AS kind, coalesce(min(tool), '') AS tool FROM (
+            SELECT name, arg_min(tool, [seq, side]) AS tool FROM (
+              SELECT source AS name, tool, seq, 0 AS side FROM rec UNION ALL SELECT destination, tool, seq, 1 FROM rec)
+            WHERE name NOT IN (SELECT name FROM td_asset) GROUP BY name) GROUP BY name""")
+def gap_filled_entities(spark, sf_dir):
+    """Endpoints that only the records name, as entities; the known names are the inventory's."""
+    e = estate(spark, sf_dir)
+    known = e.normalized.entities.join(e.hosts.select("name"), "name", "left_semi").select(*e.normalized.entities.columns)
+    from ..operators.identity import fill_missing_entities
+
+    filled = fill_missing_entities(known, e.normalized.records)
+    return filled.join(known.select("name").distinct(), "name", "left_anti").select("name", "kind", "tool")
+
+
+# ---- listings ---------------------------------------------------------------------------
+
+@query(f"SELECT {_FID} AS finding_id, type, severity, forced_critical FROM finding", **FINDING_CTES)
+def finding_listing(spark, sf_dir):
+    return reports.finding_listing(_keyed(estate(spark, sf_dir))).select("finding_id", "type", "severity", "forced_critical")
+
+
+@query(f"""SELECT {_FID} AS finding_id, local_key, severity FROM finding
+           WHERE {_FID} = (SELECT max({_FID}) FROM finding WHERE type = 'over_permissive')""", **FINDING_CTES)
+def finding_by_id(spark, sf_dir):
+    keyed = _keyed(estate(spark, sf_dir))
+    wanted = keyed.filter("type = 'over_permissive'").agg(F.max("finding_id")).scalar()
+    return reports.finding(keyed, wanted).select("finding_id", "local_key", "severity")
+
+
+@query("""SELECT staged_id, target_tool, status FROM stagedc WHERE status IN ('staged', 'pushed')
+            AND staged_id <> (SELECT min(staged_id) FROM stagedc)
+            AND target_tool IN (SELECT target_tool FROM stagedc WHERE staged_id = (SELECT min(staged_id) FROM stagedc))""", **_FLOW)
+def staged_siblings(spark, sf_dir):
+    _, _, staged = _flow(estate(spark, sf_dir))
+    return reports.siblings(staged, staged.agg(F.min("staged_id")).scalar()).select("staged_id", "target_tool", "status")
+
+
+@query("""SELECT 'source' AS part, tool AS name FROM (SELECT DISTINCT tool FROM rec) UNION ALL
+          SELECT 'object', name FROM td_asset UNION ALL SELECT 'rule', ref FROM rec""")
+def ingest_inspection(spark, sf_dir):
+    """What one snapshot took in: sources, resolved objects and rules."""
+    e = estate(spark, sf_dir)
+    sources, objects, taken = reports.ingest_inspection(
+        tables.canonical_rules(e.view.placed, _SNAP), tables.resolved_object_rows(e.normalized.resolved, _SNAP))
+    return (sources.select(F.lit("source").alias("part"), F.col("tool").alias("name"))
+            .unionByName(objects.select(F.lit("object").alias("part"), F.col("object_name").alias("name")))
+            .unionByName(taken.select(F.lit("rule").alias("part"), F.col("raw_rule_id").alias("name"))))
+
+
+@query("""SELECT concat('rev-', cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS revision_id,
+          CASE WHEN bool_or(l_returnflag = 'R') THEN 'accepted' ELSE 'draft' END AS status FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def accepted_revisions(spark, sf_dir):
+    """Line items as drafted revisions; returned ones are accepted, as are ids that no revision has."""
+    lines = estate(spark, sf_dir).table("lineitem")
+    name = F.concat(F.lit("rev-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("revision_id")
+    drafts = lines.select(name, F.lit("draft").alias("status")).distinct()
+    accepted = lines.filter("l_returnflag = 'R'").select(name)
+    unknown = accepted.select(F.concat("revision_id", F.lit("-none")).alias("revision_id"))
+    return tables.accept_revisions(drafts, accepted.unionByName(unknown)).select("revision_id", "status")
+
+
 # ---- search -------------------------------------------------------------------------
 
 @query("""SELECT ref AS raw_ref, seq AS rule_order FROM rec WHERE contains(lower(concat_ws(' ', source, destination, service, action, tool, ref,
