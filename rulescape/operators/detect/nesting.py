@@ -95,6 +95,26 @@ def cidr_overlap(placed: DataFrame) -> DataFrame:
     return overlap_findings(nested_pairs(found, found, OVERLAP_GROUP, group_lengths(found, OVERLAP_GROUP)))
 
 
+def network_forest(placed: DataFrame) -> DataFrame:
+    """The overlaps of `cidr_overlap` as classes: one row per network of a tool, destination and service.
+
+    `source, n_rules, first_ref`; `parent`, the nearest network of the same group that encloses it (null for a
+    root); `n_above`, the rules on all enclosing networks; `n_pairs`, the pairs in which a rule of the class
+    is the inner one. Rows and work are linear in the classes times the prefix lengths in use, however many rules
+    one network has: equal networks are counted before anything is joined. `nested_pairs` spells pairs out.
+    """
+    classes = overlap_rules(placed).groupBy(*OVERLAP_GROUP, "src_net").agg(
+        F.count(F.lit(1)).alias("n_rules"), F.min("raw_ref").alias("first_ref"), F.min("source").alias("source"))
+    classes = _flat(classes, "src_net")
+    inner = enclosing(classes.select(*OVERLAP_GROUP, "src_net", F.col("plen").alias("plen0")), group_lengths(classes, OVERLAP_GROUP), OVERLAP_GROUP)
+    outer = classes.select(*OVERLAP_GROUP, *NET_KEY, F.col("n_rules").alias("o_rules"), F.col("source").alias("o_source"))
+    above = inner.filter("plen < plen0").join(outer, [*OVERLAP_GROUP, *NET_KEY]).groupBy(*OVERLAP_GROUP, "src_net").agg(
+        F.sum("o_rules").alias("n_above"), F.max_by("o_source", "plen").alias("parent"))
+    return classes.join(above, [*OVERLAP_GROUP, "src_net"], "left").withColumn("n_above", F.coalesce("n_above", F.lit(0).cast("bigint"))).select(
+        *OVERLAP_GROUP, "source", "n_rules", "first_ref", "parent", "n_above",
+        F.expr("n_rules * (n_rules - 1) div 2 + n_rules * n_above").alias("n_pairs"))
+
+
 SHADOW_GROUP = ["source_tool", "d"]
 _SOURCE_KEY = [*NET_KEY, "who"]
 _KEY = [*SHADOW_GROUP, "svc", *_SOURCE_KEY]

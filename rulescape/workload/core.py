@@ -151,6 +151,21 @@ def over_permissive(spark, sf_dir):
     return _flat(found, F.expr("size(from_json(signals, 'reasons array<string>').reasons)").alias("n_reasons"))
 
 
+_CLASSES = """SELECT tool, destination, service, plen, lo, hi, min(source) AS source, count(*) AS n_rules, min(ref) AS first_ref
+  FROM scored WHERE action = 'allow' AND source_kind = 'cidr' GROUP BY tool, destination, service, plen, lo, hi"""
+
+
+@query("""SELECT a.tool AS source_tool, a.destination, a.service, a.source, a.n_rules, a.first_ref, arg_max(b.source, b.plen) AS parent,
+          CAST(coalesce(sum(b.n_rules), 0) AS BIGINT) AS n_above,
+          CAST(a.n_rules * (a.n_rules - 1) // 2 + a.n_rules * coalesce(sum(b.n_rules), 0) AS BIGINT) AS n_pairs
+          FROM classed a LEFT JOIN classed b ON b.tool = a.tool AND b.destination = a.destination AND b.service = a.service
+            AND b.plen < a.plen AND b.lo <= a.lo AND b.hi >= a.hi
+          GROUP BY a.tool, a.destination, a.service, a.plen, a.lo, a.source, a.n_rules, a.first_ref""", classed=_CLASSES)
+def network_forest(spark, sf_dir):
+    """Networks of allow rules with their nearest enclosing network and exact counts of overlapping pairs."""
+    return nesting.network_forest(estate(spark, sf_dir).view.placed)
+
+
 @query(f"SELECT {_COMMON} FROM f_overlap", **FINDING_CTES)
 def cidr_overlap(spark, sf_dir):
     return _flat(nesting.cidr_overlap(estate(spark, sf_dir).view.placed))

@@ -61,6 +61,27 @@ def test_overlap(rules, placed):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_network_forest(spark, rules, placed):
+    allowed = [r for r in rules if r[7] == "allow" and "/" in r[3]]
+    classes = {}
+    for r in allowed:
+        classes.setdefault((r[2], r[4], r[5], r[3]), []).append(r[1])
+    want = set()
+    for (tool, dest, service, net_), refs in classes.items():
+        above = [(k[3], v) for k, v in classes.items() if k[:3] == (tool, dest, service) and k[3] != net_ and _inside(net_, k[3])]
+        parent = max(above, key=lambda a: _network(a[0]).prefixlen, default=(None,))[0]
+        n, n_above = len(refs), sum(len(v) for _, v in above)
+        want.add((tool, dest, service, net_, n, min(refs), parent, n_above, n * (n - 1) // 2 + n * n_above))
+    got = [tuple(r) for r in nesting.network_forest(placed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(r[-1] for r in got) == nesting.cidr_overlap(placed).count()
+    # a network with very many rules stays one row with an exact count
+    hot = placed.filter("raw_ref IS NOT NULL AND action = 'allow' AND source = '10.0.0.0/8'").limit(1)
+    many = hot.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(200_000)))).withColumn("raw_ref", F.concat("raw_ref", F.lit("-"), F.col("i"))).drop("i")
+    rows = nesting.network_forest(many).collect()
+    assert len(rows) == 1 and rows[0].n_pairs == 200_000 * 199_999 // 2
+
+
 def test_shadowing(rules, placed):
     want = {}
     for tool in "ab":
