@@ -49,12 +49,68 @@ def _meetings(want: DataFrame, placed: DataFrame) -> DataFrame:
     return same.drop("src_net").unionByName(nested).filter(same_traffic("w", "r"))
 
 
+_FLOW = ["target_tool", "d", "w_source"]
+
+
+def _live() -> Column:
+    return F.col("status").isin("staged", "pushed")
+
+
+def sibling_classes(staged: DataFrame, names: DataFrame) -> DataFrame:
+    """Staged changes of one flow as one row: `target_tool, d, w_source, n_staged, n_live, first_live`.
+
+    Only flows on which some change meets a live sibling. A flow that a third of all changes share is one row,
+    counted by partial sums.
+    """
+    return _classes(_staged_allows(staged, names)).filter(F.col("n_staged") > 1)
+
+
+def _classes(want: DataFrame) -> DataFrame:
+    return want.groupBy(*_FLOW).agg(
+        F.count(F.lit(1)).alias("n_staged"), F.count_if(_live()).alias("n_live"),
+        F.min(F.when(_live(), F.col("staged_id"))).alias("first_live")).filter("n_live > 0")
+
+
+def sibling_members(staged: DataFrame, names: DataFrame) -> DataFrame:
+    """Members of the classes: `target_tool, d, w_source, staged_id, n_siblings`, the live changes beside each one.
+
+    The pairs of `detect_conflicts` are these rows joined with the live members of their class; rows here
+    are linear in the changes.
+    """
+    return _members(cut(_staged_allows(staged, names)))
+
+
+def _members(want: DataFrame) -> DataFrame:
+    own = F.when(_live(), 1).otherwise(0)
+    return want.join(_classes(want), _FLOW).withColumn("n_siblings", F.col("n_live") - own).filter("n_siblings > 0").select(
+        *_FLOW, "staged_id", "n_siblings")
+
+
 def detect_conflicts(staged: DataFrame, placed: DataFrame, names: DataFrame) -> DataFrame:
     """(staged_id, kind, against, detail, resolution); texts are the published ones (fixed values).
 
-    `staged`: staged_id, kind, target_tool, status, source, destination, service, target_ref.
+    `staged`: staged_id, kind, target_tool, status, source, destination, service, target_ref. Every sibling
+    is named, so the result is quadratic in the changes of one flow; `conflict_counts` is not.
     """
     want = cut(_staged_allows(staged, names))
+    other = want.filter(_live()).select(*_FLOW, F.col("staged_id").alias("other_id"))
+    siblings = want.join(other, _FLOW).filter("other_id <> staged_id").select(
+        "staged_id", F.lit("duplicate_staged").alias("kind"), F.col("other_id").alias("against"),
+        F.concat(F.lit("another staged change targets the same flow ("), "other_id", F.lit(")")).alias("detail"),
+        F.lit("Skip: a sibling staged change already covers this flow.").alias("resolution"))
+    return _rule_conflicts(want, staged, placed).unionByName(siblings)
+
+
+def conflict_counts(staged: DataFrame, placed: DataFrame, names: DataFrame) -> DataFrame:
+    """(staged_id, kind, n): how many conflicts of each kind a change has; siblings are counted, never paired."""
+    want = cut(_staged_allows(staged, names))
+    n = F.count(F.lit(1)).alias("n")
+    beside = _members(want).select("staged_id", F.lit("duplicate_staged").alias("kind"), F.col("n_siblings").alias("n"))
+    return _rule_conflicts(want, staged, placed).groupBy("staged_id", "kind").agg(n).unionByName(beside)
+
+
+def _rule_conflicts(want: DataFrame, staged: DataFrame, placed: DataFrame) -> DataFrame:
+    """Conflicts with rules of the snapshot."""
     ref, src = F.col("raw_ref"), F.col("source")
     met = _meetings(want, placed)
     kind = (F.when((F.col("action") == "allow") & (src == F.col("w_source")), "duplicate")
@@ -70,19 +126,13 @@ def detect_conflicts(staged: DataFrame, placed: DataFrame, names: DataFrame) ->
             "overlap": F.concat(F.lit("Merge: fold into the broader rule "), ref,
                                 F.lit(" instead of adding a redundant one.")),
             "contradiction": F.lit("Needs human review: an explicit deny contradicts this allow.")}).alias("resolution"))
-    other = want.filter(F.col("status").isin("staged", "pushed")).select(
-        "target_tool", "d", "w_source", F.col("staged_id").alias("other_id"))
-    siblings = want.join(other, ["target_tool", "d", "w_source"]).filter("other_id <> staged_id").select(
-        "staged_id", F.lit("duplicate_staged").alias("kind"), F.col("other_id").alias("against"),
-        F.concat(F.lit("another staged change targets the same flow ("), "other_id", F.lit(")")).alias("detail"),
-        F.lit("Skip: a sibling staged change already covers this flow.").alias("resolution"))
     edits = staged.filter("kind <> 'add_allow' AND length(target_ref) > 0").select(
         "staged_id", F.col("target_ref").alias("against"))
     stale = edits.join(placed.select(ref.alias("against")).distinct(), "against", "left_anti").select(
         "staged_id", F.lit("stale_target").alias("kind"), "against",
         F.concat(F.lit("rule "), "against", F.lit(" no longer exists in this snapshot")).alias("detail"),
         F.lit("Re-derive the fix against the current snapshot before applying.").alias("resolution"))
-    return against_rules.unionByName(siblings).unionByName(stale)
+    return against_rules.unionByName(stale)
 
 
 def _by_kind(column: str, texts: dict[str, Column]) -> Column:
@@ -93,10 +143,15 @@ def _by_kind(column: str, texts: dict[str, Column]) -> Column:
 
 
 def push_outcomes(staged: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Status of pushing each staged change: `conflict` if anything needs a person, else `pushed`."""
+    """Status of pushing each staged change: `conflict` if anything needs a person, else `pushed`.
+
+    `conflicts` is the result of `detect_conflicts` or of `conflict_counts`.
+    """
+    n = F.col("n") if "n" in conflicts.columns else F.lit(1)
+    blocks = F.col("kind").isin(BLOCKING)
     counts = conflicts.groupBy("staged_id").agg(
-        F.count_if(F.col("kind").isin(BLOCKING)).alias("n_unresolved"),
-        F.count_if(~F.col("kind").isin(BLOCKING)).alias("n_resolved"))
+        F.sum(F.when(blocks, n).otherwise(0)).cast("bigint").alias("n_unresolved"),
+        F.sum(F.when(blocks, 0).otherwise(n)).cast("bigint").alias("n_resolved"))
     zero = F.lit(0).cast("bigint")
     return staged.select("staged_id").join(counts, "staged_id", "left").select(
         "staged_id", F.coalesce("n_resolved", zero).alias("n_resolved"),

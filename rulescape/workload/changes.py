@@ -241,6 +241,33 @@ def _staged(e) -> DataFrame:
     return e.derived(STAGED_SQL, "supplier", "customer")
 
 
+# every line item as a staged change, so that many meet on a flow
+LINE_SQL = """SELECT concat('line-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-',
+    cast(l_suppkey AS string)) AS staged_id, 'add_allow' AS kind, l_linestatus AS target_tool,
+  CASE l_returnflag WHEN 'A' THEN 'staged' WHEN 'N' THEN 'pushed' ELSE 'rolled_back' END AS status,
+  concat('app-', cast(l_suppkey % 20 AS string)) AS source, concat('svc-', cast(l_partkey % 30 AS string)) AS destination,
+  'tcp/443' AS service, CAST(NULL AS string) AS target_ref FROM {lineitem}"""
+_LINES = LINE_SQL.format(lineitem="lineitem").replace("AS string", "AS VARCHAR")
+
+
+@query("""SELECT target_tool, destination AS d, source AS w_source, count(*) AS n_staged,
+            count(*) FILTER (WHERE status IN ('staged', 'pushed')) AS n_live,
+            min(CASE WHEN status IN ('staged', 'pushed') THEN staged_id END) AS first_live
+          FROM line GROUP BY 1, 2, 3 HAVING count(*) > 1 AND count(*) FILTER (WHERE status IN ('staged', 'pushed')) > 0""", line=_LINES)
+def sibling_classes(spark, sf_dir):
+    """Flows that several staged changes target."""
+    e = estate(spark, sf_dir)
+    return staging.sibling_classes(e.derived(LINE_SQL, "lineitem"), e.view.names)
+
+
+@query("""SELECT staged_id, n AS n_siblings FROM (SELECT staged_id, count(*) FILTER (WHERE status IN ('staged', 'pushed'))
+            OVER (PARTITION BY target_tool, destination, source) - CAST(status IN ('staged', 'pushed') AS INTEGER) AS n FROM line) WHERE n > 0""", line=_LINES)
+def sibling_members(spark, sf_dir):
+    """Changes with live siblings, and how many."""
+    e = estate(spark, sf_dir)
+    return staging.sibling_members(e.derived(LINE_SQL, "lineitem"), e.view.names).select("staged_id", "n_siblings")
+
+
 @query("SELECT staged_id, kind, against FROM conflict", **_STAGED_CTES)
 def staged_conflicts(spark, sf_dir):
     e = estate(spark, sf_dir)
@@ -253,4 +280,4 @@ def staged_conflicts(spark, sf_dir):
           FROM staged s LEFT JOIN conflict c ON c.staged_id = s.staged_id GROUP BY 1""", **_STAGED_CTES)
 def push_outcomes(spark, sf_dir):
     e = estate(spark, sf_dir)
-    return staging.push_outcomes(_staged(e), staging.detect_conflicts(_staged(e), e.view.placed, e.view.names))
+    return staging.push_outcomes(_staged(e), staging.conflict_counts(_staged(e), e.view.placed, e.view.names))

@@ -36,7 +36,7 @@ def _graphs():
         yield [(f"v{rng.randrange(n):02d}", f"v{rng.randrange(n):02d}") for _ in range(m)]
 
 
-@pytest.mark.parametrize("pairs", _graphs(), ids=range(3))
+@pytest.mark.parametrize("pairs", list(_graphs()), ids=range(3))
 def test_components_and_reach(spark, pairs):
     ways = _closure(pairs)
     want = {n: min(m for m in seen if n in ways[m]) for n, seen in ways.items()}
@@ -68,3 +68,18 @@ def test_no_edges(spark):
     assert strong_components(none).count() == 0
     reach = Reach(spark.createDataFrame([("t",)], "target string"), none)
     assert reach.pairs().count() == 0 and tuple(reach.counts().first()) == ("t", 0)
+
+
+def test_siblings_of_one_flow_are_counted_not_paired(spark):
+    from rulescape.operators import staging
+
+    n = 50_000
+    staged = spark.range(n).select(
+        F.format_string("s%06d", "id").alias("staged_id"), F.lit("add_allow").alias("kind"), F.lit("fw").alias("target_tool"),
+        F.when(F.col("id") % 5 == 0, "rolled_back").otherwise("staged").alias("status"), F.lit("10.0.0.0/8").alias("source"),
+        F.lit("db").alias("destination"), F.lit("tcp/443").alias("service"), F.lit(None).cast("string").alias("target_ref"))
+    names = spark.createDataFrame([("db", "db")], "name string, node string")
+    assert [tuple(r) for r in staging.sibling_classes(staged, names).collect()] == [("fw", "db", "10.0.0.0/8", n, n * 4 // 5, "s000001")]
+    live = n * 4 // 5
+    counts = staging.sibling_members(staged, names).groupBy("n_siblings").count().collect()
+    assert {(r[0], r[1]) for r in counts} == {(live, n - live), (live - 1, live)}
