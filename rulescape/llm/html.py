@@ -5,6 +5,10 @@ element, and every line counts the characters and tags it took. The ratio of tex
 along the page with a Gaussian; two clusters of the smoothed ratios give the threshold between
 content and the rest. The container that holds most of the content lines is the content region, and
 all its lines are the page's text, short ones too, except those in parts that are no article.
+
+Names of classes and ids only mark parts; a marked part that holds most of the page's content lines is a
+wrapper and stays, unless its name is that of comments and the like. Levels are numbered as they open, so the lines
+below a level are a range of numbers and sums go up the tree once: work is linear in the page.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section
 summary table tbody td tfoot th thead title tr ul""".split())
 #: Elements whose text is never part of an article.
-OUTSIDE = frozenset("""head title script style noscript template nav footer aside form button select option textarea input label iframe
+OUTSIDE = frozenset("""head title script style noscript template nav footer aside button select option textarea input label iframe
 object embed svg math canvas audio video menu dialog""".split())
 #: Elements without content, which never open a level.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +46,14 @@ commentlist consent cookie cookies copyright disqus disclaimer dropdown footer f
 nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related
 replies reply respond search share sharing shoutbox sidebar skip skyscraper social sponsor sponsored subscribe subscription
 tags teaser toolbar tracking trending widget widgets complementary contentinfo alert""".split())
+#: Of these, those that are no wrapper however much they hold.
+FIRM = frozenset("""comment comments commentlist disqus reply replies respond related recommended trending teaser tags consent
+cookie cookies gdpr advert advertisement advertising sponsored promo promoted promotion copyright disclaimer breadcrumb
+breadcrumbs newsletter skyscraper billboard shoutbox""".split())
+#: A name that begins so tells of a part elsewhere.
+ABOUT = frozenset("no has with without".split())
+#: Elements of text, which a compound name such as share-price does not mark.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre span em strong b i a".split())
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Gaussian smoothing, in lines.
@@ -52,8 +64,9 @@ SIGMA = 1.0
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]
+    level: int
     outside: bool
+    marked: int
     ratio: float = 0.0
 
 
@@ -62,22 +75,33 @@ class Level:
     tag: str
     number: int
     outside: bool
-    header: bool = False
-    heading: bool = False
+    marked: int = 0  # the nearest level around that a name marks
+    named: bool = False  # inside of article or main
+    stop: int = 0  # the place of the nearest level that a start tag may close, or that stops it
+    limit: int = 0  # the place of the nearest level that stops inline end tags
 
 
-def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _noise(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """`firm` for a part that is no article, `marked` for one that its name only makes likely to be none, else empty."""
+    found = "marked" if tag == "form" else ""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value:
-            # "contentAd" and "content-ad" are both (content, ad)
-            plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower()
-            if NOISE.intersection(_NAME.findall(plain)) and tag not in ("html", "body", "article", "main"):
-                return True
+        if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                # "contentAd" and "content-ad" are both (content, ad)
+                parts = _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", token).lower())
+                hits = NOISE.intersection(parts)
+                if not hits or parts[0] in ABOUT or (tag in TEXTUAL and len(parts) > 1):
+                    continue
+                if hits == {"header"} and not {"article", "entry", "post", "story"}.isdisjoint(parts):
+                    continue  # the title of an article
+                if hits & FIRM:
+                    return "firm"
+                found = "marked"
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "firm"
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "firm"
+    return found
 
 
 class _Lines(HTMLParser):
@@ -86,46 +110,63 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.levels: list[Level] = [Level("", 0, False)]
+        self.parent: list[int] = [0]  # of each level ever opened
+        self.around: dict[int, int] = {0: 0}  # marked level -> the marked level around it
+        self.places: dict[str, list[int]] = {}  # tag -> places of its open levels
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = 0
-        self.opened = 0
         self.holders: dict[int, str] = {0: ""}
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, tuple(v.number for v in self.levels), self.levels[-1].outside))
+            top = self.levels[-1]
+            self.lines.append(Line(text, self.tags, top.number, top.outside, top.marked))
             self.tags = 0
         self.text = []
 
+    def _cut(self, depth: int) -> None:
+        for v in reversed(self.levels[depth:]):
+            self.places[v.tag].pop()
+        del self.levels[depth:]
+
     def _pop_to(self, depth: int) -> None:
         self._end_line()
-        del self.levels[depth:]
+        self._cut(depth)
 
     def handle_starttag(self, tag, attrs):
-        for i in range(len(self.levels) - 1, 0, -1):
+        i = self.levels[-1].stop
+        while i > 0:
             open_tag = self.levels[i].tag
             if tag in CLOSED_BY.get(open_tag, ()):
                 self._pop_to(i)
                 break
             if open_tag in LIMIT:
                 break
+            i = self.levels[i - 1].stop
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
         if tag in VOID:
             return
-        self.opened += 1
-        outside = self.levels[-1].outside or tag in OUTSIDE or _is_noise(tag, attrs)
+        top, number, place = self.levels[-1], len(self.parent), len(self.levels)
+        kind = _noise(tag, attrs)
         # a header inside the article holds its title; one of the page is no article
-        if tag == "header" and not any(v.tag in ("article", "main") for v in self.levels):
-            outside = True
-        if outside and not self.levels[-1].outside:
+        outside = top.outside or tag in OUTSIDE or kind == "firm" or (tag == "header" and not top.named)
+        marked = top.marked
+        if kind == "marked" and not outside:
+            self.around[number] = marked
+            marked = number
+        if (outside and not top.outside) or marked != top.marked:
             self._end_line()
-        self.levels.append(Level(tag, self.opened, outside))
+        stops = tag in LIMIT or tag in CLOSED_BY
+        self.levels.append(Level(tag, number, outside, marked, top.named or tag in ("article", "main"),
+                                 place if stops else top.stop, place if tag in LIMIT else top.limit))
+        self.parent.append(top.number)
+        self.places.setdefault(tag, []).append(place)
         if tag in HOLDER:
-            self.holders[self.opened] = tag
+            self.holders[number] = tag
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,16 +175,17 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.levels) - 1, 0, -1):
-            if self.levels[i].tag == tag:
-                if tag in BLOCK or any(v.tag in BLOCK for v in self.levels[i:]) or (self.levels[i].outside and not self.levels[i - 1].outside):
-                    self._pop_to(i)
-                else:
-                    del self.levels[i:]
-                return
-            if self.levels[i].tag in LIMIT and tag not in LIMIT and tag not in BLOCK:
+        places = self.places.get(tag)
+        if places:
+            i = places[-1]
+            if tag not in LIMIT and tag not in BLOCK and self.levels[-1].limit > i:
                 return  # an inline end tag doesn't reach out of its container
-        if tag in BLOCK:
+            here, before = self.levels[i], self.levels[i - 1]
+            if any(v.tag in BLOCK for v in self.levels[i:]) or (here.outside and not before.outside) or here.marked != before.marked:
+                self._pop_to(i)
+            else:
+                self._cut(i)
+        elif tag in BLOCK:
             self._end_line()
 
     def handle_data(self, data):
@@ -187,6 +229,24 @@ def read_lines(html: str) -> _Lines:
     return parser
 
 
+def _content(lines: list[Line], out: list[bool]) -> list[Line]:
+    """The lines whose smoothed ratio is that of content; all lines inside if none is."""
+    smoothed = smooth(np.array([0.0 if o else v.ratio for v, o in zip(lines, out)]))
+    cut = threshold(smoothed)
+    inside = [(v, s) for v, o, s in zip(lines, out, smoothed) if not o]
+    return [v for v, s in inside if s >= cut] or [v for v, _ in inside]
+
+
+def _weights(page: _Lines, content: list[Line], of=lambda v: len(v.text)) -> list[int]:
+    """Characters of content at or below each level; children have larger numbers than their parents."""
+    weight = [0] * len(page.parent)
+    for v in content:
+        weight[v.level] += of(v)
+    for n in range(len(weight) - 1, 0, -1):
+        weight[page.parent[n]] += weight[n]
+    return weight
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, one line per block; empty if there is none."""
     page = read_lines(html or "")
@@ -195,24 +255,28 @@ def main_text(html: str | None) -> str:
         return ""
     for line in lines:
         line.ratio = len(line.text) / max(line.tags, 1)
-    smoothed = smooth(np.array([0.0 if v.outside else v.ratio for v in lines]))
-    cut = threshold(smoothed)
-    content = [v for v, s in zip(lines, smoothed) if not v.outside and s >= cut]
-    if not content:
-        content = [v for v in lines if not v.outside]
+    out = [v.outside for v in lines]
+    if len(page.around) > 1:
+        # a marked part that holds most of the content, by lines and by characters, is a wrapper
+        content = _content(lines, out)
+        weight, count = _weights(page, content), _weights(page, content, lambda v: 1)
+        dropped = {0: False}
+        for n, around in sorted(page.around.items())[1:]:
+            dropped[n] = dropped[around] or 2 * weight[n] <= weight[0] or 2 * count[n] <= count[0]
+        out = [v.outside or dropped[v.marked] for v in lines]
+    content = _content(lines, out)
     if not content:
         return ""
     # a named article or main element that holds most of the content, else the deepest container that does
-    weight: dict[int, int] = {}
-    for v in content:
-        for n in v.path:
-            if n in page.holders:
-                weight[n] = weight.get(n, 0) + len(v.text)
-    total = sum(len(v.text) for v in content)
-    named = [n for n, w in weight.items() if page.holders[n] in ("article", "main") and 2 * w >= total]
-    holding = named or [n for n, w in weight.items() if 10 * w >= 9 * total]
+    weight = _weights(page, content)
+    total = weight[0]
+    named = [n for n, tag in page.holders.items() if tag in ("article", "main") and weight[n] and 2 * weight[n] >= total]
+    holding = named or [n for n in page.holders if 10 * weight[n] >= 9 * total]
     region = max(holding, key=lambda n: (weight[n], n)) if named else max(holding)
-    return "\n".join(v.text for v in lines if region in v.path and not v.outside)
+    last = list(range(len(page.parent)))  # the last level below each one
+    for n in range(len(last) - 1, 0, -1):
+        last[page.parent[n]] = max(last[page.parent[n]], last[n])
+    return "\n".join(v.text for v, o in zip(lines, out) if region <= v.level <= last[region] and not o)
 
 
 def with_main_text(pages: DataFrame, name: str = "main_text", column: str = "html") -> DataFrame:

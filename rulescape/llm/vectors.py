@@ -45,7 +45,7 @@ def budget(first: int, last: int, dim: int, threshold: float) -> float:
     return float(np.sqrt((2 - 2 * threshold) * (last - first) / dim) + 1e-6)
 
 
-_PLACED = "rep long, label int, dim int, block int, cell_a long, cell_b long, home boolean, part array<float>"
+_PLACED = "rep long, label long, dim int, block int, cell_a long, cell_b long, home boolean, part array<float>"
 
 
 def _placer(threshold: float):
@@ -72,7 +72,7 @@ def _placer(threshold: float):
                         if dc and part.shape[1] == 1:
                             continue
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(reps[rows]), pa.array(labels[rows].astype(np.int32)),
+                            [pa.array(reps[rows]), pa.array(labels[rows].astype(np.int64)),
                              pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), b, np.int32)),
                              pa.array(a + da), pa.array(c + dc), pa.array(np.full(len(rows), da == 0 and dc == 0)),
                              pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (last - first),
@@ -156,13 +156,13 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`(vec_id, n_links, component_id, kept)` for every row of `vectors`.
 
-    `vectors` has `vec_id, embedding, label`; other columns are ignored. Rows are linked when their
+    `vectors` has `vec_id, embedding, label`; labels of any type; other columns are ignored. Rows are linked when their
     labels are equal and not null and their cosine is at least `threshold`; a vector that is null,
     empty or zero, or holds a null or non-finite component, is linked with nothing, and vectors of
     different length are not compared. Equal vectors are linked with each other. A repeated row is
     a vector of its own. No rows give no rows.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     usable = (F.col("label").isNotNull() & (F.size("embedding") > 0)
               & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("embedding", lambda x: x != 0))
@@ -171,10 +171,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     good = flagged.filter("usable").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
     folded = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     reps = cut(folded.withColumn("rep", F.monotonically_increasing_id()))
-    pairs = cut(candidates(reps.select("rep", "label", "embedding"), threshold))
-    u = reps.select(F.col("rep").alias("a"), F.col("embedding").alias("u"))
-    v = reps.select(F.col("rep").alias("b"), F.col("embedding").alias("v"))
-    links = cut(pairs.join(u, "a").join(v, "b").select("a", "b", "u", "v").mapInArrow(_verifier(threshold), "a long, b long"))
+    # labels of any type meet by a hash and are compared as they are with the pair
+    pairs = cut(candidates(reps.select("rep", F.xxhash64("label").alias("label"), "embedding"), threshold))
+    u = reps.select(F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("embedding").alias("u"))
+    v = reps.select(F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("embedding").alias("v"))
+    met = pairs.join(u, "a").join(v, "b").filter("label_a = label_b")
+    links = cut(met.select("a", "b", "u", "v").mapInArrow(_verifier(threshold), "a long, b long"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(reps.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     roots = components(links).withColumnsRenamed({"name": "rep"})
