@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.scratch import cut
+from .names import free
 from . import words
 
 SHINGLE = 5
@@ -286,10 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: one of each class, with all columns of `docs`."""
-    marked = cut(near_duplicates(docs).filter("keeper").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times")))
-    marked = marked.withColumnsRenamed({"doc_id": "_id", "node": "_node", "times": "_times"})
-    rows = docs.withColumn("_own", _node(F.coalesce("text", F.lit(""))))
-    stay = rows.join(marked, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")))
-    once, often = stay.filter("_times = 1"), stay.filter("_times > 1")
-    return once.unionByName(often.dropDuplicates(["_id", "_node"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay: one of each class, with all columns of `docs`, whatever their names."""
+    own_id, own_node, times, digest = free(docs, "_id", "_node", "_times", "_own")
+    marked = cut(near_duplicates(docs.select("doc_id", "text")).filter("keeper").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias(times)))
+    marked = marked.withColumnsRenamed({"doc_id": own_id, "node": own_node})
+    rows = docs.withColumn(digest, _node(F.coalesce("text", F.lit(""))))
+    stay = rows.join(marked, rows["doc_id"].eqNullSafe(F.col(own_id)) & (F.col(digest) == F.col(own_node)))
+    once, often = stay.filter(F.col(times) == 1), stay.filter(F.col(times) > 1)
+    return once.unionByName(often.dropDuplicates([own_id, own_node])).select(*[F.col(f"`{c}`") for c in docs.columns])

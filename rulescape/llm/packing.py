@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .names import free
 from .tokens import Encoder
 
 LONGEST = 1024
@@ -66,7 +67,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -
 
     Added: `start, length, doc_tokens, ids_crc32, sequence_id, offset, bucket`, and `ids` unless
     `with_ids` is false. `docs` has `text`; a null or empty text is the end token alone. A column of
-    `docs` with the name of an added one is dropped. Each row of `docs`, repeated or not, is packed
+    `docs` with the name of an added one, in any case, is dropped. Each row of `docs`, repeated or not, is packed
     by itself. `sequence_id` is unique and, for the same files, the same in every run and retry.
     """
     path = tokenizer or default_tokenizer()
@@ -89,12 +90,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -
             yield pa.ListArray.from_arrays(pa.array(ends), piece)
 
     added = {"start", "length", "doc_tokens", "ids_crc32", "ids", "sequence_id", "offset", "bucket"}
-    kept = [c for c in docs.columns if c != "text" and c not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], "text").withColumn("_pieces", cut_up.asNondeterministic()(F.col("text")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.explode("_pieces").alias("_piece"))
-    out = rows.select(*[F.col(f"`{c}`") for c in kept], "_piece.start", "_piece.length", "_piece.doc_tokens", "_piece.ids_crc32",
+    kept = [c for c in docs.columns if c != "text" and c.lower() not in added]
+    pieces, piece = free(docs, "_pieces", "_piece")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], "text").withColumn(pieces, cut_up.asNondeterministic()(F.col("text")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.explode(pieces).alias(piece))
+    taken = ["start", "length", "doc_tokens", "ids_crc32"]
+    out = rows.select(*[F.col(f"`{c}`") for c in kept], *[F.col(piece)[c].alias(c) for c in taken],
                       F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-                      F.col("_piece.length").alias("bucket"), *([F.col("_piece.ids").alias("ids")] if with_ids else []))
+                      F.col(piece)["length"].alias("bucket"), *([F.col(piece)["ids"].alias("ids")] if with_ids else []))
     return out
 
 
