@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulescape.llm import language, minhash, mixing, packing, toxicity
-from rulescape.operators.scratch import cut
+from rulescape.llm.names import free
+from rulescape.operators.scratch import clear, cut, mark
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the languages of the table's own labels go on, also those that switch between them; others have
     no letter, or words unlike those of the training documents."""
-    tagged = language.with_language(docs, language.fit_language(docs), "_language")
-    return tagged.filter("_language.learned").drop("_language")
+    name, = free(docs, "_language")
+    tagged = language.with_language(docs, language.fit_language(docs), name)
+    return tagged.filter(F.col(name)["learned"]).drop(name)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half go on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    tagged = toxicity.with_toxicity(docs, *toxicity.fit_toxicity(docs, labels), "_toxicity")
-    return tagged.filter(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+    name, = free(docs, "_toxicity")
+    tagged = toxicity.with_toxicity(docs, *toxicity.fit_toxicity(docs, labels), name)
+    return tagged.filter(F.col(name)["score"] < 0.5).drop(name)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; every result but the last is written to the shared scratch folder."""
+    """All stages over `documents`; every result but the last is written to the shared scratch folder.
+
+    What a stage wrote on its way, and the result it read, are deleted once its own result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = mark()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = cut(docs)
+            clear(spark, began, mark() - 1)
     return docs
