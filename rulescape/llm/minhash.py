@@ -9,23 +9,24 @@ whatever its length.
 
 Signatures are joined by bands. Equal texts are folded first, and a bucket is never paired with
 itself: in a few turns each member is compared with two centres of its bucket, the links found make
-components, and in the end only members of different components that share a bucket are compared.
-Every pair in a bucket is thus in one component or was compared. Candidates are verified exactly.
+components. What is left of different components is compared by its differences from what most of its
+neighbours have in common (`_missed`): a family of texts with edits of their own is thus not paired.
+Every alike pair in a bucket is in one component or is found there. Candidates are verified exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..operators.scratch import cut
+from ..operators.scratch import cut, write_table
 from .names import free
 from . import words
 
@@ -132,9 +133,9 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def members(doc: np.ndarray, element: np.ndarray, count: np.ndarray, n_docs: int) -> list[np.ndarray]:
-    """Each weighted set as 32-bit numbers: one per element and occurrence, so that sets compare as multisets."""
+    """Each weighted set as 64-bit numbers: one per element and occurrence, so that sets compare as multisets."""
     level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    key = (_mix(np.repeat(element, count) + level.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    key = _mix(np.repeat(element, count) + level.astype(np.uint64) * _GOLD).view(np.int64)
     size = np.bincount(doc, weights=count, minlength=n_docs).astype(np.int64)
     return np.split(key, np.cumsum(size)[:-1]) if n_docs else []
 
@@ -172,8 +173,8 @@ def _members_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for _, texts in words.batches(part.to_pylist()):
             out += [np.unique(m) for m in members(*shingles(texts), len(texts))]
         ends = np.cumsum([0] + [len(m) for m in out]).astype(np.int32)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
 def _likely(a: str, b: str):
@@ -197,7 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """`(node, members)` of the wanted nodes, from the text of each node's first document."""
-    read = F.arrow_udf("array<int>")(_members_of)
+    read = F.arrow_udf("array<bigint>")(_members_of)
     some = nodes.join(wanted, "node").select("node", "doc_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _node(F.coalesce("text", F.lit(""))).alias("own"))
     rows = texts.join(some, (texts.doc_id.eqNullSafe(some.doc_id)) & (texts.own == some.node)).select("node", "text")
@@ -215,18 +216,103 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return cut(placed.join(mixed, "band"))
 
 
-def _with_common(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add `common`: how many members of a node's set another node of `placed` has as well (two at most too many).
+def _reachable(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of nodes that may be like another node of `placed`.
 
-    Two sets share no more than the smaller of these counts, which bounds their similarity: a text
-    with many edits of its own reaches nobody, and is not compared with the whole group it came from.
+    A set shares no more than the members that another set here has as well, which bounds its
+    similarity: a text with many edits of its own reaches nobody.
     """
     here = placed.select("node").distinct()
-    each = sets.join(here, "node", "left_semi").select(F.xxhash64("node").alias("id"), F.explode("members").alias("member"))
-    own = (each.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-           .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
-    rows = placed.withColumn("id", F.xxhash64("node")).join(own, "id", "left")
-    return cut(rows.withColumn("common", F.col("me.size") - F.coalesce("own", F.lit(0)) + 2).drop("id", "own"))
+    each = sets.join(here, "node", "left_semi").select("node", F.size("members").alias("size"), F.explode("members").alias("member"))
+    alone = (each.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("x")).filter("n = 1")
+             .groupBy("x.node").agg(F.count(F.lit(1)).alias("own"), F.min("x.size").alias("size")))
+    far = alone.filter(F.col("size") - F.col("own") < THRESHOLD * F.col("size") - 1e-9)
+    return placed.join(far.select("node"), "node", "left_anti")
+
+
+#: Share of both sizes that alike sets have in common at least.
+_PART = THRESHOLD / (1 + THRESHOLD)
+
+
+def _prefix_pairs(tokens: DataFrame, nodes: DataFrame, wanted: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs of nodes of different components that may share as many tokens of `(group, token, node)` as `wanted` says.
+
+    `nodes` are `(node, root, size, d, w, base, edge, least)`: a pair matters if one of it is an `edge`, and then
+    shares `least` tokens of either node. Ordered by rarity, the first tokens of both then have one in common, and
+    both must hold enough tokens from there on.
+    """
+    times = tokens.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(tokens.join(times, ["group", "token"]))
+    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    able = nodes.join(counts, "node").filter(F.col("k") >= F.col("least"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    first = shared.join(able.drop("group"), "node").withColumn("at", place).filter(F.col("at") <= F.col("k") - F.col("least") + 1)
+    first = cut(first.select("group", "token", "node", "root", "size", "d", "w", "base", "edge", (F.col("k") - F.col("at") + 1).alias("left")))
+    mixed = first.groupBy("group", "token").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two")
+    first = cut(first.join(mixed.select("group", "token"), ["group", "token"]))
+    p, q = first.alias("p"), first.alias("q")
+    sizes = F.least("p.size", "q.size") >= THRESHOLD * F.greatest("p.size", "q.size") - 1e-9
+    enough = F.least("p.left", "q.left") >= wanted("p", "q") - 1e-9
+    same = (F.col("p.group") == F.col("q.group")) & (F.col("p.token") == F.col("q.token"))
+    found = p.join(q, same & (F.col("p.root") < F.col("q.root")) & (F.col("p.edge") | F.col("q.edge")) & sizes & enough)
+    return found.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+
+
+def _missed(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates `(a, b, ra, rb)` among nodes that share buckets and are of different components.
+
+    Nodes joined by buckets are a group, and its base c is what more than half of them have. With D the members of c
+    that a set lacks and A those it has beyond c, two sets share |c| - |D1 + D2| + |A1 & A2|, so alike ones have
+        |D1 & D2| + |A1 & A2| >= w1 + w2 - |c|,  w = part * size + |D|.
+    If w1 + w2 <= |c|, a pair is alike without more, and so is each of it with the node of least w: a star of it joins
+    them. Other pairs need |A1 & A2| >= max(|D1|, |D2|) + part * (size1 + size2) - |c|. Where that is
+    above zero they share a member outside the base, which few have, and are found by prefixes of such members.
+    Where it need not be, for nodes near the base but no part of the star, prefixes of D and A find them.
+    """
+    names = placed.groupBy("band").agg(F.min("node").alias("b"))
+    links = cut(placed.join(names, "band").select(F.col("node").alias("a"), "b").distinct())
+    groups = components(links).select(F.col("name").alias("node"), F.col("root").alias("group"))
+    of = cut(placed.select("node", "root").distinct().join(groups, "node")
+             .join(sets.select("node", F.size("members").alias("size")), "node"))
+    held = cut(of.select("node", "group").join(sets, "node").select("group", "node", F.explode("members").alias("token")))
+    total = of.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
+    often = held.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n")).join(total, "group")
+    base = cut(often.filter(2 * F.col("n") > F.col("total")).select("group", "token"))
+    sizes = base.groupBy("group").agg(F.count(F.lit(1)).alias("base"))
+    kept = held.join(base, ["group", "token"], "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("kept"))
+    facts = (of.join(sizes, "group", "left").join(kept, "node", "left").withColumn("base", F.coalesce("base", F.lit(0)))
+             .withColumn("d", F.col("base") - F.coalesce("kept", F.lit(0))).drop("kept")
+             .withColumn("w", _PART * F.col("size") + F.col("d")))
+    facts = cut(facts)
+    ends = facts.groupBy("group").agg(F.min("size").alias("s0"), F.min_by(F.struct("node", "root", "w"), F.struct("w", "node")).alias("m"))
+    facts = cut(facts.join(ends, "group"))
+    star = (facts.filter((F.col("w") + F.col("m.w") <= F.col("base") + 1e-9) & (F.col("root") != F.col("m.root")))
+            .select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("ra"), F.col("m.root").alias("rb")))
+
+    other = held.join(base, ["group", "token"], "left_anti")
+    partner = F.greatest(F.col("s0").cast("double"), THRESHOLD * F.col("size"))
+    least = F.ceil(F.col("d") + _PART * (F.col("size") + partner) - F.col("base") - 1e-9)
+    outside = facts.withColumn("edge", F.lit(True)).withColumn("least", F.greatest(least, F.lit(1)))
+    pairs = star.unionByName(_prefix_pairs(other, outside, lambda p, q: F.greatest(f"{p}.d", f"{q}.d")
+                                           + _PART * (F.col(f"{p}.size") + F.col(f"{q}.size")) - F.col(f"{p}.base")))
+
+    def near(smallest: str) -> Column:
+        return F.col("w") + _PART * F.col(smallest) <= F.col("base") + 1e-9
+
+    inner = facts.filter(near("s0"))
+    inner = inner.join(inner.groupBy("group").agg(F.min("size").alias("s1")), "group").filter(near("s1"))
+    inner = inner.withColumn("edge", F.col("w") + F.col("m.w") > F.col("base") + 1e-9)
+    edges = inner.groupBy("group").agg(F.min(F.when(F.col("edge"), F.col("w"))).alias("e0")).filter("e0 is not null")
+    inner, seen = write_table(inner.join(edges, "group"))
+    if not seen["rows"]:
+        return pairs
+    lacking = (inner.select("group", "node").join(base, "group").select("group", "token", "node")
+               .join(held, ["group", "token", "node"], "left_anti"))
+    beyond = other.join(inner.select("node"), "node", "left_semi").select("group", "token", "node")
+    least = F.ceil(F.col("w") + F.when(F.col("edge"), F.col("m.w")).otherwise(F.col("e0")) - F.col("base") - 1e-9)
+    inner = inner.withColumn("least", F.greatest(least, F.lit(1)))
+    return pairs.unionByName(_prefix_pairs(lacking.unionByName(beyond), inner,
+                                           lambda p, q: F.col(f"{p}.w") + F.col(f"{q}.w") - F.col(f"{p}.base")))
 
 
 def _merged(links: DataFrame) -> DataFrame:
@@ -270,13 +356,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = near.select(F.col("me.node").alias("a"), F.col("centre.me.node").alias("b"), F.col("root").alias("ra"), F.col("centre.root").alias("rb"))
         upper = _merged(_verified(cut(pairs.distinct()), sets))
         placed, labels = _relabelled(placed, upper), _relabelled(labels, upper)
-    # every pair that shares a bucket, is not in one component by now and may yet be alike is compared
-    placed = _with_common(_mixed(placed), sets)
-    p, q = placed.alias("p"), placed.alias("q")
-    most = F.least("p.common", "q.common")
-    bound = most >= THRESHOLD * (F.col("p.me.size") + F.col("q.me.size") - most) - 1e-9
-    found = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.root") < F.col("q.root")) & bound & _likely("p.me", "q.me"))
-    pairs = found.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+    # what may yet be alike, shares a bucket and is not in one component by now
+    pairs = _missed(_mixed(_reachable(_mixed(placed), sets)), sets)
     classes = _relabelled(labels, _merged(_verified(cut(pairs.distinct()), sets))).withColumnRenamed("root", "class")
     classes = cut(classes)
     keepers = classes.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("late"), "first", "node")).alias("k"))
