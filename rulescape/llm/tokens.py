@@ -17,6 +17,8 @@ _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 _PRIME = np.uint64(0x100000001B3)
 #: Pieces kept in a worker; beyond it the table starts again. A batch with more of them is held whole.
 KNOWN = 2_000_000
+#: Pieces handed to the library at once.
+SLICE = 4096
 #: Longer pieces are encoded each time they occur.
 PIECE = 64
 
@@ -96,7 +98,9 @@ class Encoder:
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces and enter them in the table; both sorted by key."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        got = []
+        for at in range(0, len(pieces), SLICE):  # the library's results are many times larger than the ids
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at:at + SLICE], add_special_tokens=False)]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         slots = np.arange(len(self.first) - 1, len(self.first) - 1 + len(got))
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), dtype=np.uint32, count=size.sum())])

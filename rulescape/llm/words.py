@@ -11,8 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Code points per array batch; a longer text is a batch of its own.
-CHARS = 1 << 20
+#: Code points and texts per array batch; a longer text is a batch of its own. Some arrays have a row per text, so both bound memory.
+CHARS, TEXTS = 1 << 18, 500
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.array([ord(c) for c in ".!?\n"], dtype=np.uint32)
 
@@ -58,11 +58,11 @@ def split(texts: list[str], digits: bool = False) -> Words:
 
 
 def batches(texts: list[str | None], chars: int = CHARS):
-    """`(first, texts)` runs of about `chars` code points; null counts as empty."""
+    """`(first, texts)` runs of about `chars` code points and at most `TEXTS` texts; null counts as empty."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""
-        if held and size + len(t) > chars:
+        if held and (size + len(t) > chars or len(held) == TEXTS):
             yield first, held
             first, held, size = i, [], 0
         held.append(t)
