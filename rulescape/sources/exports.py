@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .. import schemas
 from ..functions import lookups as L
@@ -18,9 +19,18 @@ def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _ordered_maps(export: DataFrame) -> list[Column]:
+    """The columns of an export with every map as its sorted entries: the order in which a map was built says nothing."""
+    return [F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, MapType) else F.col(f.name)
+            for f in export.schema.fields]
+
+
 def numbered(export: DataFrame) -> DataFrame:
-    """Add `document`: a number for each different document; one that is read twice counts once."""
-    keyed = export.withColumn("__key", F.xxhash64(F.to_json(F.struct(*export.columns)))).dropDuplicates(["__key"])
+    """Add `document`: a number for each different document; one that is read twice counts once.
+
+    The number is the same whenever the export is read again, so rules and objects of a document meet.
+    """
+    keyed = export.withColumn("__key", F.xxhash64(F.to_json(F.struct(*_ordered_maps(export))))).dropDuplicates(["__key"])
     numbers = keyed.select("__key", (F.row_number().over(Window.orderBy("__key")) - 1).cast("bigint").alias("document"))
     return keyed.join(numbers, "__key").drop("__key")
 
