@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .scratch import write_table
 
+_MERGED = 8
+
 
 def _turned(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("d").alias("s"), F.col("s").alias("d"))
@@ -160,6 +162,11 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     return every.join(named, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
 
+def _back(links: DataFrame, ring: DataFrame) -> DataFrame:
+    """(goal, component) one link before the components of `ring`."""
+    return links.join(ring.withColumnRenamed("component", "cd"), "cd").select("goal", F.col("cs").alias("component")).distinct()
+
+
 class Reach:
     """Which components reach the component of each target.
 
@@ -180,13 +187,23 @@ class Reach:
             pairs.join(of.select(F.col("node").alias("s"), F.col("component").alias("cs")), "s")
             .join(of.select(F.col("node").alias("d"), F.col("component").alias("cd")), "d")
             .filter("cs <> cd").select("cs", "cd").distinct())
+        # components without a way in end every way back; they are most of a graph's, and are looked up once at the end
+        entered = links.select(F.col("cd").alias("cs")).distinct()
+        inner, _ = write_table(links.join(entered, "cs", "left_semi").select("cs", "cd"))
         ring, info = write_table(self.goals.select("goal", F.col("goal").alias("component")).distinct())
         rings = [ring]
         while info["rows"]:
-            step = links.join(ring.withColumnRenamed("component", "cd"), "cd").select("goal", F.col("cs").alias("component")).distinct()
-            ring, info = write_table(step.join(_union(rings), ["goal", "component"], "left_anti"))
+            step, info = write_table(_back(inner, ring))
+            if not info["rows"]:
+                break
+            # what a step meets again: the rings are read past the step, which is small in all but the first rounds
+            known = _union(rings).join(step, ["goal", "component"], "left_semi")
+            ring, info = write_table(step.join(known, ["goal", "component"], "left_anti"))
             rings.append(ring)
-        self.reach = _union(rings)
+            if len(rings) % _MERGED == 0:  # short rings share one table, so a round reads few
+                rings[1 - _MERGED:] = [write_table(_union(rings[1 - _MERGED:]).coalesce(_MERGED))[0]]
+        ends, _ = write_table(_back(links.join(entered, "cs", "left_anti"), _union(rings)))
+        self.reach = _union([*rings, ends])
 
     def counts(self) -> DataFrame:
         """(target, n_sources): how many other nodes reach each target, from component sizes alone."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rulescape import schemas
+from rulescape.operators import condense
 from rulescape.sources.exports import normalize_firewall
 
 
@@ -24,3 +25,19 @@ def test_rules_of_a_document_meet_its_objects_whatever_the_order_of_a_map(spark)
 def test_objects_of_a_document_are_listed_once_whatever_the_order_of_a_map(spark):
     resolved = normalize_firewall(_firewall_read_twice(spark)).resolved
     assert sorted((r.source_device, r.object_name) for r in resolved.collect()) == [("fw-1", "a"), ("fw-1", "b")]
+
+
+def test_components_without_a_way_in_take_no_part_in_the_rounds_of_reach(spark, monkeypatch):
+    chain, leaves = 12, 40
+    edges = [(f"n{i + 1:02d}", f"n{i:02d}") for i in range(chain)]
+    edges += [(f"leaf{j}", f"n{i:02d}") for i in range(chain) for j in range(leaves)]
+    pairs = spark.createDataFrame(edges, "s string, d string")
+    asked = spark.createDataFrame([("n00",), ("n05",), ("leaf3",)], "target string")
+    looked = []
+    back = condense._back
+    monkeypatch.setattr(condense, "_back", lambda links, ring: looked.append(links.count()) or back(links, ring))
+    reach = condense.Reach(asked, pairs)
+    assert max(looked[:-1]) < chain  # inner links only; the leaves are looked up once, at the end
+    assert {r.target: r.n_sources for r in reach.counts().collect()} == {"n00": chain + leaves, "n05": chain - 5 + leaves, "leaf3": 0}
+    got = reach.pairs().collect()
+    assert len(got) == len(set(got)) == 2 * leaves + chain + chain - 5
