@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,17 @@ class View:
     grants: DataFrame
 
 
+class BuiltView(View):
+    """A view whose edges are grouped, and written, when first asked for: most reports and detectors need none."""
+
+    def __init__(self, keep: Callable[[DataFrame], DataFrame], **tables):
+        self.__dict__.update(tables, keep=keep)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.keep(graph.edges(self.placed))
+
+
 def build_view(records: DataFrame, entities: DataFrame, merges: DataFrame | None = None,
                materialize: bool = False) -> View:
     """Resolve identities and place every record; with `materialize`, write the shared tables once."""
@@ -36,8 +49,8 @@ def build_view(records: DataFrame, entities: DataFrame, merges: DataFrame | None
     found = resolve_identities(entities, merges)
     names = keep(graph.directory(found))
     placed = keep(graph.place(records, names))
-    return View(records, found, names, placed, graph.nodes(found.assets, placed), keep(graph.edges(placed)),
-                graph.grants(placed))
+    return BuiltView(keep, records=records, identities=found, names=names, placed=placed,
+                     nodes=graph.nodes(found.assets, placed), grants=graph.grants(placed))
 
 
 def rule_findings(placed: DataFrame) -> DataFrame:

@@ -77,6 +77,8 @@ def normalize(parsed: Parsed, by_tool: bool = True, materialize: bool = False) -
     rules are written once and shared by records and entities, instead of resolved for each.
     """
     rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
+    # names as given and the destination's network are not asked for again: rows are shuffled without them
+    rules = rules.drop("src", "dst", "src_named", "dst_named", "destination_net")
     key = "concat_ws('\\u001f', source_tool, CAST(document AS string), {0})" if by_tool else "{0}"
     dim = parsed.catalog.withColumn("__k", F.expr(key.format("name")))
     for side in ("source", "destination"):

@@ -82,7 +82,8 @@ class Estate:
             shaped(cloud, SEEN, kind="'identity'", tool="'cloud'", tool_rank="2", tags="array('cloud')",
                    abstract="false", record_seq="-1"),
             resolved_rows(self.hosts, "firewall", ["name", "ip", "tags"])), by_tool=False, materialize=True)
-        return Normalized(cut(out.records), cut(out.entities), out.resolved)
+        # the resolved rules are written already; records are a projection of them
+        return Normalized(out.records, cut(out.entities), out.resolved)
 
     @cached_property
     def view(self) -> snapshot.View:

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from rulescape import schemas
 from rulescape.operators import condense, suggest
-from rulescape.sources.exports import normalize_firewall
+from rulescape.plans import snapshot
+from rulescape.sources import normalize
+from rulescape.sources.exports import normalize_firewall, parse_firewall
 
 
 def _firewall_read_twice(spark):
@@ -60,3 +62,21 @@ def test_suggestions_by_matrices_are_those_of_all_pairs(spark):
     # cells of one tag meet as matrices: no join pairs all assets of a cell
     plan = suggest.suggest_merges(assets, given, 0.6)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+def test_a_view_groups_no_edges_until_they_are_asked_for(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(snapshot, "cut", lambda df: written.append(df.columns) or df)
+    source = normalize_firewall(_firewall_read_twice(spark))
+    view = snapshot.build_view(source.records, source.entities, materialize=True)
+    assert not [c for c in written if "n_grants" in c]
+    assert view.edges is view.edges and [r.n_grants for r in view.edges.collect()] == [1]
+    assert len([c for c in written if "n_grants" in c]) == 1
+
+
+def test_resolved_rules_are_written_without_what_no_step_reads(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(normalize, "cut", lambda df: written.append(df.columns) or df)
+    export = parse_firewall(_firewall_read_twice(spark))
+    records = normalize.normalize(export, materialize=True).records
+    assert records.count() == 2 and not {"src", "dst", "src_named", "dst_named", "destination_net"} & set(written[0])
