@@ -214,7 +214,9 @@ def finding_ids(spark, sf_dir):
 def findings_ranked(spark, sf_dir):
     """Every finding with its place in the total order."""
     found = estate(spark, sf_dir).findings
-    keyed = found.select("*", ids.stable_id("F", F.lit(_SNAP), F.col("local_key")).alias("finding_id"))
+    # texts and signals take no part in the order, so they are not moved
+    keyed = found.select("local_key", "type", "severity", "severity_band", "forced_critical",
+                         ids.stable_id("F", F.lit(_SNAP), F.col("local_key")).alias("finding_id"))
     return snapshot.ranked(keyed).select("position", "local_key", "severity")
 
 
