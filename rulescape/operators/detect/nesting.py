@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ...functions import lookups as L
 from ...functions import net, score
 from ..graph import is_allow
+from ..scratch import cut
 from .rules import as_findings, formula, scored, signals_json, vector
 
 NET_KEY = ["version", "plen", "hi", "lo"]
@@ -31,10 +32,14 @@ def group_lengths(df: DataFrame, group: list[str], at_least: int = 2) -> DataFra
 
 def enclosing(df: DataFrame, lengths: DataFrame, group: list[str]) -> DataFrame:
     """One row per rule and enclosing network (itself included) at a length its group uses."""
-    out = df.withColumn("version", F.col("src_net.version")).join(lengths, [*group, "version"]).withColumn(
-        "level", F.explode(net.lengths_up_to(_WORDS, "src_net.plen"))).withColumn(
+    return _levels(df.withColumn("version", F.col("src_net.version")).join(lengths, [*group, "version"]).drop("version"))
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    """The enclosing networks of rules that carry the prefix lengths of their group."""
+    out = df.withColumn("level", F.explode(net.lengths_up_to(_WORDS, "src_net.plen"))).withColumn(
         "up", net.parent_at("src_net", "level"))
-    return _flat(out.drop("version", *_WORDS), "up").drop("up", "level")
+    return _flat(out.drop(*_WORDS), "up").drop("up", "level")
 
 
 _PAIR = ["raw_ref", "record_seq", "source", "sensitive", "plen0"]
@@ -150,15 +155,45 @@ def probing_keys(rules: DataFrame, lengths: DataFrame, *carry: str) -> DataFrame
     slim = rules.select(*SHADOW_GROUP, "src_net", "who", "open", "service", "order", "raw_ref", "record_seq", *carry)
     networks = enclosing(slim.filter("src_net IS NOT NULL"), lengths, SHADOW_GROUP)
     identities = _own_key(slim.filter("src_net IS NULL"))
+    return _probes(networks.drop("src_net"), identities.drop("src_net")).drop("service", "open")
+
+
+def _probes(networks: DataFrame, identities: DataFrame) -> DataFrame:
     svc = F.when(F.col("open"), F.array(F.lit("*"))).otherwise(
         F.array(F.concat(F.lit("="), "service"), F.lit("any")))
-    return networks.drop("src_net").unionByName(identities.drop("src_net")).withColumn("svc", F.explode(svc)).drop("service", "open")
+    return networks.unionByName(identities).withColumn("svc", F.explode(svc))
+
+
+def _first(keys: DataFrame) -> DataFrame:
+    return keys.groupBy(*_KEY).agg(F.min_by(
+        F.struct(position().alias("pos"), "source", "action"), position()).alias("cover"))
 
 
 def first_covering(rules: DataFrame) -> DataFrame:
     """The earliest rule under each key: a partial minimum, whatever the group's size."""
-    return covering_keys(rules).groupBy(*_KEY).agg(F.min_by(
-        F.struct(position().alias("pos"), "source", "action"), position()).alias("cover"))
+    return _first(covering_keys(rules))
+
+
+#: Services are counted in so many slots by hash; rules of one service are in one slot.
+_SLOTS = 8
+
+
+def rivals(rules: DataFrame) -> DataFrame:
+    """The rules that may cover another one or be covered, with the prefix lengths of their group.
+
+    Both rules are of one tool, destination and IP version (or source name), and have one service or one of them
+    is open. A few counts per group leave out most rules before any key is spelled out.
+    """
+    slim = rules.select(*SHADOW_GROUP, F.coalesce("src_net.version", F.lit(0)).alias("version"), "who", "src_net", "open", "service",
+                        "order", "raw_ref", "record_seq", "source", "action",
+                        F.coalesce(F.pmod(F.xxhash64("service"), F.lit(_SLOTS)), F.lit(0)).alias("slot"))
+    group = [*SHADOW_GROUP, "version", "who"]
+    bits = [F.bit_or(b).alias(w) for b, w in zip(net.length_bits("src_net"), _WORDS)]
+    counts = slim.groupBy(*group).agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("n_open"), *bits,
+                                      *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(_SLOTS)]).filter("members > 1")
+    like = F.element_at(F.array(*[f"n{i}" for i in range(_SLOTS)]), F.col("slot").cast("int") + 1)
+    return (slim.join(counts, group).filter(F.col("open") | (F.col("n_open") > 0) | (like > 1))
+            .drop("version", "slot", "members", *[f"n{i}" for i in range(_SLOTS)]))
 
 
 def shadowers(rules: DataFrame) -> DataFrame:
@@ -167,8 +202,14 @@ def shadowers(rules: DataFrame) -> DataFrame:
     The earliest rule under a key precedes this one or nothing under that key does, so one
     minimum per key decides; rules are never paired with each other.
     """
-    probes = probing_keys(rules, group_lengths(rules.filter("src_net IS NOT NULL"), SHADOW_GROUP))
-    hit = probes.join(first_covering(rules), _KEY).filter(F.col("cover.pos") < position())
+    some = cut(rivals(rules))
+    # without an open rule in the group, nobody asks for `any` or for all services
+    lone = F.col("n_open") > 0
+    covers = _first(covering_keys(some).filter(lone | (F.col("svc") == F.concat(F.lit("="), "service"))))
+    networks = some.filter("src_net IS NOT NULL")
+    probes = _probes(_levels(networks).drop("src_net"), _own_key(some.filter("src_net IS NULL")).drop("src_net", *_WORDS))
+    probes = probes.filter(lone | (F.col("svc") != "any")).select(*_KEY, "order", "raw_ref", "record_seq")
+    hit = probes.join(covers, _KEY).filter(F.col("cover.pos") < position())
     return hit.groupBy("record_seq").agg(F.min_by("cover", F.col("cover.pos")).alias("cover"))
 
 
