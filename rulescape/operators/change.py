@@ -11,7 +11,7 @@ from ..functions.service import SERVICE_COLUMNS, with_service
 from ..schemas import RECORD
 from ..sources.normalize import optional, with_endpoint
 from .detect.rules import broad_reasons, forced_reasons, scored
-from .graph import place
+from .graph import passing, place
 from .joins import lookup
 from .paths import MAX_HOPS, hop_edges, path_tools, simple_paths, with_hops
 from .scratch import cut, write_table
@@ -49,7 +49,7 @@ def joined_paths(pairs: DataFrame, edges: DataFrame, node_table: DataFrame, max_
     short enough. Heads and tails are searched once for all pairs. `node_table` holds the ends of
     the pairs as well (`with_ends`); the internet starts every head, whether a rule names it or not.
     """
-    hops = hop_edges(edges)
+    hops = hop_edges(passing(edges))
     everything = F.lit("*").alias("goal")
     concrete = node_table.filter("kind = 'concrete'").select("node")
     internet = pairs.sparkSession.createDataFrame([(L.INTERNET,)], "node string")
@@ -84,11 +84,15 @@ def with_ends(node_table: DataFrame, ends: DataFrame) -> DataFrame:
     return node_table.unionByName(made)
 
 
-def new_paths(placed: DataFrame, edges: DataFrame, node_table: DataFrame) -> DataFrame:
-    """(change_id, path, terminal, tools, terminal_tags, boundary, boundary_crossed) newly opened."""
+def new_paths(placed: DataFrame, edges: DataFrame, node_table: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(change_id, path, terminal, tools, terminal_tags, boundary, boundary_crossed) newly opened.
+
+    `known` holds every permitted pair (s, d), in case `edges` are only those that a path can use.
+    """
+    known = edges if known is None else known
     node_table = with_ends(node_table, placed.select(F.explode(F.array("s", "d")).alias("node")))
     opened = placed.filter("action = 'allow' AND s <> d").select("change_id", "s", "d", "source_tool")
-    fresh = cut(opened.join(edges.select("s", "d"), ["s", "d"], "left_anti"))
+    fresh = cut(opened.join(known.select("s", "d"), ["s", "d"], "left_anti"))
     joined = joined_paths(fresh.select("s", "d").distinct(), edges, node_table)
     out = fresh.join(joined, ["s", "d"]).select(
         "change_id", F.concat("head", "tail").alias("path"), F.element_at("tail", -1).alias("terminal"),

@@ -21,12 +21,24 @@ def directory(found: Identities) -> DataFrame:
     return found.alias_map.withColumnRenamed("asset_key", "node").join(facts, "node")
 
 
+NODE_FACTS = ["node", "zone", "display", "kind", "tags"]
+
+
+def with_node(records: DataFrame, side: str, token: str, names: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """Look up the end `token`: NODE_FACTS as `side`_*, and `more` (new name -> column of `names`)."""
+    return lookup(records, F.col(token), names, "name", {f"{side}_{c}": c for c in NODE_FACTS} | (more or {}),
+                  spread=F.col("record_seq"))
+
+
 def place(records: DataFrame, names: DataFrame) -> DataFrame:
     """Records with canonical ends `s`, `d` and the zone, tags, kind and label of each."""
     for side, token in (("s", "source"), ("d", "destination")):
-        records = lookup(records, F.col(token), names, "name", {
-            f"{side}_node": "node", f"{side}_zone": "zone", f"{side}_display": "display",
-            f"{side}_kind": "kind", f"{side}_tags": "tags"}, spread=F.col("record_seq"))
+        records = with_node(records, side, token, names)
+    return settled(records)
+
+
+def settled(records: DataFrame) -> DataFrame:
+    """Records whose ends were looked up, with defaults for ends that no name covers."""
     return records.withColumns({
         "s": F.coalesce("s_node", "source"), "d": F.coalesce("d_node", "destination"),
         "s_known": F.col("s_node").isNotNull(), "d_known": F.col("d_node").isNotNull(),
@@ -77,6 +89,14 @@ def edges(placed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_grants"))
 
 
+def passing(df: DataFrame, start: str = L.INTERNET) -> DataFrame:
+    """Of placed rules or edges, those that a path from `start`, or from a concrete node, can use.
+
+    Paths pass through concrete nodes only, so what leaves another abstract node is on none of them.
+    """
+    return df.filter((F.col("s_kind") == "concrete") | (F.col("s") == start))
+
+
 def sensitive_nodes(node_table: DataFrame) -> DataFrame:
     return node_table.filter(L.is_sensitive("tags")).select("node").orderBy("node")
 

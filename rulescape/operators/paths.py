@@ -16,6 +16,7 @@ from ..functions import lookups as L
 from ..functions import score
 from ..functions.service import grant_answers
 from .condense import Reach
+from .graph import passing
 from .joins import lookup
 from .scratch import cut, write_table
 
@@ -152,7 +153,7 @@ def internet_paths(edges: DataFrame, node_table: DataFrame, source: str = L.INTE
     all_goals = F.lit("*").alias("goal")
     goals = node_table.filter(L.is_sensitive("tags") & (F.col("node") != source)).select(all_goals, "node")
     starts = node_table.filter(F.col("node") == source).select(all_goals, "node")
-    hops = hop_edges(edges)
+    hops = hop_edges(passing(edges, source))
     return with_hops(simple_paths(hops, starts, goals, through_goals=True, max_hops=max_hops), hops)
 
 

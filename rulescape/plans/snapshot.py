@@ -15,7 +15,8 @@ from ..operators import graph, paths
 from ..operators.detect import chains, nesting, rules
 from ..operators.identity import Identities, fill_missing_entities, resolve_identities
 from ..operators.scratch import cut
-from ..sources.normalize import Normalized
+from ..schemas import RECORD
+from ..sources.normalize import Normalized, Parsed, shared_placed
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,11 @@ class View:
     edges: DataFrame
     grants: DataFrame
 
+    @property
+    def passing(self) -> DataFrame:
+        """The edges that paths from the internet can use."""
+        return graph.passing(self.edges)
+
 
 class BuiltView(View):
     """A view whose edges are grouped, and written, when first asked for: most reports and detectors need none."""
@@ -41,14 +47,26 @@ class BuiltView(View):
     def edges(self) -> DataFrame:
         return self.keep(graph.edges(self.placed))
 
+    @cached_property
+    def passing(self) -> DataFrame:
+        # few rules leave a concrete node: no more than those are grouped, unless all were asked for before
+        return graph.passing(self.edges) if "edges" in self.__dict__ else self.keep(graph.edges(graph.passing(self.placed)))
+
 
-def build_view(records: DataFrame, entities: DataFrame, merges: DataFrame | None = None,
+def build_view(records: DataFrame | Parsed, entities: DataFrame, merges: DataFrame | None = None,
                materialize: bool = False) -> View:
-    """Resolve identities and place every record; with `materialize`, write the shared tables once."""
+    """Resolve identities and place every record; with `materialize`, write the shared tables once.
+
+    Instead of records, the rules of tools that share one catalog may be given: they are resolved and placed at once.
+    """
     keep = cut if materialize else (lambda df: df)
     found = resolve_identities(entities, merges)
     names = keep(graph.directory(found))
-    placed = keep(graph.place(records, names))
+    if isinstance(records, Parsed):
+        placed = keep(shared_placed(records, names))
+        records = placed.select(*RECORD)
+    else:
+        placed = keep(graph.place(records, names))
     return BuiltView(keep, records=records, identities=found, names=names, placed=placed,
                      nodes=graph.nodes(found.assets, placed), grants=graph.grants(placed))
 
@@ -61,7 +79,7 @@ def rule_findings(placed: DataFrame) -> DataFrame:
 
 
 def detect(view: View) -> DataFrame:
-    chained = chains.path_findings(paths.cross_tool_paths(view.edges, view.nodes))
+    chained = chains.path_findings(paths.cross_tool_paths(view.passing, view.nodes))
     return rule_findings(view.placed).unionByName(chained)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.service import with_service
+from ..operators import graph
 from ..operators.joins import lookup
 from ..operators.scratch import cut
 from ..schemas import ENTITY, RECORD
@@ -70,15 +71,30 @@ def with_endpoint(df: DataFrame, token: str, out: str, named: str = "false") ->
     }).drop(text)
 
 
+_NONE = "CAST(array() AS array<string>)"
+
+
+def _bare(parsed: Parsed) -> DataFrame:
+    """Rules with canonical ends, before the catalog is asked."""
+    rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
+    # names as given and the destination's network are not asked for again: rows are shuffled without them
+    return rules.drop("src", "dst", "src_named", "dst_named", "destination_net")
+
+
+def _records(resolved: DataFrame, *more: str) -> DataFrame:
+    """schemas.RECORD of rules with the facts of their ends."""
+    return with_service(resolved, "service", "port", "protocol", "app").withColumns({
+        "id": F.col("raw_ref"), "dest_tags": F.expr(f"coalesce(destination_tags, {_NONE})"),
+        "dest_ip": F.col("destination_ip"), "src_net": F.col("source_net")}).select(*RECORD, *more)
+
+
 def normalize(parsed: Parsed, by_tool: bool = True, materialize: bool = False) -> Normalized:
     """Resolve rule ends against the catalog and decode services.
 
     With `by_tool` a rule sees only the catalog of its own tool and document. With `materialize` the resolved
     rules are written once and shared by records and entities, instead of resolved for each.
     """
-    rules = with_endpoint(with_endpoint(parsed.rules, "src", "source", "src_named"), "dst", "destination", "dst_named")
-    # names as given and the destination's network are not asked for again: rows are shuffled without them
-    rules = rules.drop("src", "dst", "src_named", "dst_named", "destination_net")
+    rules = _bare(parsed)
     key = "concat_ws('\\u001f', source_tool, CAST(document AS string), {0})" if by_tool else "{0}"
     dim = parsed.catalog.withColumn("__k", F.expr(key.format("name")))
     for side in ("source", "destination"):
@@ -86,16 +102,44 @@ def normalize(parsed: Parsed, by_tool: bool = True, materialize: bool = False) -
         rules = lookup(rules, wanted, dim, "__k", {f"{side}_ip": "ip", f"{side}_cidr": "cidr", f"{side}_tags": "tags"},
                        spread=F.col("record_seq"))
     rules = cut(rules) if materialize else rules
-    none = "CAST(array() AS array<string>)"
-    records = with_service(rules, "service", "port", "protocol", "app").withColumns({
-        "id": F.col("raw_ref"), "dest_tags": F.expr(f"coalesce(destination_tags, {none})"),
-        "dest_ip": F.col("destination_ip"), "src_net": F.col("source_net")}).select(*RECORD)
     ends = ", ".join(
         f"named_struct('name', {s}, 'kind', {s}_kind, 'ip', {s}_ip, 'cidr', CASE WHEN {s}_kind = 'cidr' THEN {s} "
-        f"ELSE {s}_cidr END, 'tags', coalesce({s}_tags, {none}))" for s in ("source", "destination"))
+        f"ELSE {s}_cidr END, 'tags', coalesce({s}_tags, {_NONE}))" for s in ("source", "destination"))
     seen = shaped(rules.selectExpr("source_tool AS tool", "tool_rank", "record_seq", f"explode(array({ends})) AS e")
                   .select("tool", "tool_rank", "record_seq", "e.*"), SEEN)
-    return Normalized(records, merge_entities(seen.unionByName(parsed.listed)), parsed.resolved)
+    return Normalized(_records(rules), merge_entities(seen.unionByName(parsed.listed)), parsed.resolved)
+
+
+def shared_entities(parsed: Parsed) -> DataFrame:
+    """The entities of `normalize` where all tools share one catalog (one row per name).
+
+    Facts hang on the name alone, so the catalog is asked once per name and tool, not per rule.
+    """
+    ends = ", ".join(f"named_struct('name', {s}, 'kind', {s}_kind)" for s in ("source", "destination"))
+    named = (_bare(parsed).selectExpr("source_tool AS tool", "tool_rank", "record_seq", f"explode(array({ends})) AS e")
+             .groupBy("tool", "e.name", "e.kind").agg(F.min("tool_rank").alias("tool_rank"), F.min("record_seq").alias("record_seq")))
+    facts = lookup(named, F.expr("CASE WHEN kind = 'identity' THEN name END"), parsed.catalog, "name",
+                   {"ip": "ip", "__cidr": "cidr", "__tags": "tags"}, spread=F.col("record_seq"))
+    seen = shaped(facts, SEEN, cidr="CASE WHEN kind = 'cidr' THEN name ELSE __cidr END", tags=f"coalesce(__tags, {_NONE})")
+    return merge_entities(seen.unionByName(parsed.listed))
+
+
+def shared_placed(parsed: Parsed, names: DataFrame) -> DataFrame:
+    """`graph.place` of the records of `normalize`, where all tools share one catalog (one row per name).
+
+    What the catalog and `names` tell of an end is joined once, by name, so a rule is moved once per end; resolving
+    it first and placing it then moves it twice.
+    """
+    catalog = parsed.catalog.select("name", F.col("ip").alias("__ip"), F.col("tags").alias("__tags"))
+    told = names.join(catalog, "name", "full")
+    rules = _bare(parsed)
+    for side in ("source", "destination"):
+        facts = {f"{side}_ip": "__ip"} | ({"destination_tags": "__tags"} if side == "destination" else {})
+        rules = graph.with_node(rules, side[0], side, told, facts)
+        # a network is no name of the catalog
+        rules = rules.withColumns({c: F.expr(f"CASE WHEN {side}_kind = 'identity' THEN {c} END") for c in facts})
+    own = [f"{side}_{c}" for side in ("s", "d") for c in graph.NODE_FACTS]
+    return graph.settled(_records(rules, *own))
 
 
 def merge_entities(seen: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ FROM judged j LEFT JOIN (SELECT change_id, count(*) AS n, list_sort(list(DISTINC
 
 def _opened(e):
     placed = cut(change.propose(e.derived(PROPOSAL_SQL, "supplier", "customer"), e.view.names, e.view.nodes))
-    return placed, cut(change.new_paths(placed, e.view.edges, e.view.nodes))
+    return placed, cut(change.new_paths(placed, e.view.passing, e.view.nodes, e.view.grants))
 
 
 @query("""SELECT change_id, array_to_string(path, '>') AS path, terminal, array_to_string(tools, ',') AS tools, boundary FROM opened""",
@@ -179,12 +179,12 @@ def overlay_apply(spark, sf_dir):
             AND r.service = split_part(split_part(f.title, '(', 2), ')', 1) GROUP BY f.local_key""", **FINDING_CTES)
 def default_fixes(spark, sf_dir):
     e = estate(spark, sf_dir)
-    return fixes.default_fixes(e.findings, e.normalized.records).select("fix_id", "op", "target_ref", "shadowing_ref")
+    return fixes.default_fixes(e.findings, e.view.records).select("fix_id", "op", "target_ref", "shadowing_ref")
 
 
 def _validated(spark, sf_dir) -> DataFrame:
     e = estate(spark, sf_dir)
-    wanted = cut(fixes.default_fixes(e.findings, e.normalized.records))
+    wanted = cut(fixes.default_fixes(e.findings, e.view.records))
     return fixes.validate_fixes(wanted, e.view, e.findings, e.internet_paths)
 
 

@@ -231,13 +231,13 @@ def findings_by_filter(spark, sf_dir):
           array_to_string(tools, ',') AS source_tools, CASE WHEN node = '0.0.0.0/0' THEN 'Internet' ELSE node END AS display_name
           FROM node""")
 def identity_assets(spark, sf_dir):
-    found = snapshot.resolve_identities(estate(spark, sf_dir).normalized.entities)
+    found = snapshot.resolve_identities(estate(spark, sf_dir).entities)
     return found.assets.select("asset_key", "kind", csv("ip_set"), csv("tags"), csv("source_tools"), "display_name")
 
 
 @query("SELECT name, asset_key FROM aliased")
 def alias_map(spark, sf_dir):
-    return snapshot.resolve_identities(estate(spark, sf_dir).normalized.entities).alias_map
+    return snapshot.resolve_identities(estate(spark, sf_dir).entities).alias_map
 
 
 @query("""SELECT asset_key, 'hostname' AS match_key, concat('{"name":"', name, '","tools":["', array_to_string(tools, '","'), '"]}')
@@ -246,7 +246,7 @@ def alias_map(spark, sf_dir):
           UNION ALL SELECT any_value(asset_key), 'context_ip', concat('{"ip":"', ip, '","n_names":', count(*), '}'), count(*)
           FROM aliased WHERE ip IS NOT NULL GROUP BY ip HAVING count(*) > 1""")
 def identity_correlations(spark, sf_dir):
-    found = snapshot.resolve_identities(estate(spark, sf_dir).normalized.entities)
+    found = snapshot.resolve_identities(estate(spark, sf_dir).entities)
     return found.correlations.select("asset_key", "match_key", "evidence", "n_names")
 
 
@@ -315,7 +315,7 @@ def focus_subgraph(spark, sf_dir):
        **FINDING_CTES)
 def cross_tool_paths(spark, sf_dir):
     v = estate(spark, sf_dir).view
-    return paths.cross_tool_paths(v.edges, v.nodes).select(
+    return paths.cross_tool_paths(v.passing, v.nodes).select(
         csv("path", ">"), "length", csv("tools"), F.array_join(F.transform("hops", lambda h: h["ref"]), ",").alias("refs"),
         "terminal_service", csv("terminal_tags"), "boundary")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import paths
 from ..operators.scratch import cut
 from ..plans import snapshot
-from ..sources.normalize import CATALOG, RULE, SEEN, Normalized, Parsed, normalize, resolved_rows, shaped
+from ..sources.normalize import CATALOG, RULE, SEEN, Normalized, Parsed, normalize, resolved_rows, shaped, shared_entities
 
 TOOL_RANK = "CASE source_tool WHEN 'firewall' THEN 0 WHEN 'microseg' THEN 1 ELSE 2 END"
 LABEL = "generated"
@@ -73,25 +73,34 @@ class Estate:
             "tags", F.expr("CASE WHEN tags_csv = '' THEN CAST(array() AS array<string>) ELSE split(tags_csv, ',') END"))
 
     @cached_property
-    def normalized(self) -> Normalized:
+    def parsed(self) -> Parsed:
         cloud = self.derived(CLOUD_NAME_SQL, "customer")
-        out = normalize(Parsed(
+        return Parsed(
             shaped(self.rules, RULE, tool_rank=TOOL_RANK, src="src_token", dst="dst_token", order="rule_order",
                    record_seq="rule_order"),
             shaped(self.hosts, CATALOG),
             shaped(cloud, SEEN, kind="'identity'", tool="'cloud'", tool_rank="2", tags="array('cloud')",
                    abstract="false", record_seq="-1"),
-            resolved_rows(self.hosts, "firewall", ["name", "ip", "tags"])), by_tool=False, materialize=True)
-        # the resolved rules are written already; records are a projection of them
-        return Normalized(out.records, cut(out.entities), out.resolved)
+            resolved_rows(self.hosts, "firewall", ["name", "ip", "tags"]))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return cut(shared_entities(self.parsed))
+
+    @cached_property
+    def normalized(self) -> Normalized:
+        """Records by themselves; those of `view` were resolved when they were placed."""
+        if "view" in self.__dict__:
+            return Normalized(self.view.records, self.entities, self.parsed.resolved)
+        return Normalized(cut(normalize(self.parsed, by_tool=False).records), self.entities, self.parsed.resolved)
 
     @cached_property
     def view(self) -> snapshot.View:
-        return snapshot.build_view(self.normalized.records, self.normalized.entities, materialize=True)
+        return snapshot.build_view(self.parsed, self.entities, materialize=True)
 
     @cached_property
     def internet_paths(self) -> DataFrame:
-        return cut(paths.internet_paths(self.view.edges, self.view.nodes))
+        return cut(paths.internet_paths(self.view.passing, self.view.nodes))
 
     @cached_property
     def findings(self) -> DataFrame:

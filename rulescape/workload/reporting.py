@@ -59,7 +59,7 @@ def edge_rollup(spark, sf_dir):
 @query("""SELECT name AS object_name, 'address' AS object_kind, concat('{"ip":"', ip, '","name":"', name, '","tags":[',
           CASE WHEN tags_csv = '' THEN '' ELSE concat('"', replace(tags_csv, ',', '","'), '"') END, ']}') AS resolved FROM td_asset""")
 def resolved_objects(spark, sf_dir):
-    return tables.resolved_object_rows(estate(spark, sf_dir).normalized.resolved, _SNAP).select(
+    return tables.resolved_object_rows(estate(spark, sf_dir).parsed.resolved, _SNAP).select(
         "object_name", "object_kind", "resolved")
 
 
@@ -75,7 +75,7 @@ def _stored(e) -> dict[str, DataFrame]:
     return {
         "canonical_rules": tables.canonical_rules(v.placed, _SNAP).withColumns(by_tool),
         "graph_edges": tables.graph_edge_rows(v.placed, _SNAP).withColumns(by_tool),
-        "assets": e.normalized.entities.select(F.col("tool").alias("snapshot_id"), F.col("name").alias("asset_key"),
+        "assets": e.entities.select(F.col("tool").alias("snapshot_id"), F.col("name").alias("asset_key"),
                                                F.concat("tool", F.lit("/"), "name").alias("asset_id"),
                                                F.when(F.col("abstract"), "abstract").otherwise("concrete").alias("kind")),
         "findings": e.findings.select(F.col("source_tools")[0].alias("snapshot_id"), "type", "severity", "severity_band",
@@ -389,7 +389,7 @@ def merged_components(spark, sf_dir):
     """Component root of every observed name (names that share an address)."""
     from ..operators.components import components
 
-    entities = estate(spark, sf_dir).normalized.entities
+    entities = estate(spark, sf_dir).entities
     by_ip = entities.filter("ip IS NOT NULL").select("ip", "name").distinct()
     links = by_ip.join(by_ip.groupBy("ip").agg(F.min("name").alias("b")), "ip").select(F.col("name").alias("a"), "b")
     names = entities.select("name").distinct()
@@ -415,7 +415,7 @@ def _confirmed(e) -> DataFrame:
 def merged_alias_map(spark, sf_dir):
     """Canonical asset of every name with confirmed merges as links beside shared addresses."""
     e = estate(spark, sf_dir)
-    return snapshot.resolve_identities(e.normalized.entities, _confirmed(e)).alias_map
+    return snapshot.resolve_identities(e.entities, _confirmed(e)).alias_map
 
 
 @query("""SELECT c.asset_key, concat('{"by":"human-confirmed","names":["', m.a, '","', m.b, '"]}') AS evidence
@@ -425,7 +425,7 @@ def merged_alias_map(spark, sf_dir):
 def merge_evidence(spark, sf_dir):
     """Correlations that a person confirmed."""
     e = estate(spark, sf_dir)
-    found = snapshot.resolve_identities(e.normalized.entities, _confirmed(e).distinct())
+    found = snapshot.resolve_identities(e.entities, _confirmed(e).distinct())
     return found.correlations.filter("match_key = 'manual_review'").select("asset_key", "evidence")
 
 
@@ -436,7 +436,7 @@ def merge_evidence(spark, sf_dir):
 def gap_filled_entities(spark, sf_dir):
     """Endpoints that only the records name, as entities; the known names are the inventory's."""
     e = estate(spark, sf_dir)
-    known = e.normalized.entities.join(e.hosts.select("name"), "name", "left_semi").select(*e.normalized.entities.columns)
+    known = e.entities.join(e.hosts.select("name"), "name", "left_semi").select(*e.entities.columns)
     from ..operators.identity import fill_missing_entities
 
     filled = fill_missing_entities(known, e.normalized.records)
@@ -472,7 +472,7 @@ def ingest_inspection(spark, sf_dir):
     """What one snapshot took in: sources, resolved objects and rules."""
     e = estate(spark, sf_dir)
     sources, objects, taken = reports.ingest_inspection(
-        tables.canonical_rules(e.view.placed, _SNAP), tables.resolved_object_rows(e.normalized.resolved, _SNAP))
+        tables.canonical_rules(e.view.placed, _SNAP), tables.resolved_object_rows(e.parsed.resolved, _SNAP))
     return (sources.select(F.lit("source").alias("part"), F.col("tool").alias("name"))
             .unionByName(objects.select(F.lit("object").alias("part"), F.col("object_name").alias("name")))
             .unionByName(taken.select(F.lit("rule").alias("part"), F.col("raw_rule_id").alias("name"))))
