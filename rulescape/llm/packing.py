@@ -62,6 +62,25 @@ def pieces_of(encoder: Encoder, texts: list[str | None], with_ids: bool):
             yield out
 
 
+def sequences(encoder: Encoder, part: pa.Array, with_ids: bool) -> Iterator[pa.Array]:
+    """The pieces of the texts in `part`, as a few arrays one after the other: one holds the ids of `words.TEXTS` texts at
+    most, and of `words.CHARS` code points or one text, however many rows come in a batch."""
+    for at in range(0, len(part), words.TEXTS):
+        for _, texts in words.batches(part.slice(at, words.TEXTS).to_pylist()):
+            docs_of = list(pieces_of(encoder, texts, with_ids))
+            rows = [p for doc in docs_of for p in doc]
+            start, length, total, crc = (pa.array([r[i] for r in rows], pa.int64()) for i in range(4))
+            if with_ids:
+                size = np.array([0] + [r[1] for r in rows], np.int64)
+                flat = np.concatenate([r[4] for r in rows]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(flat))
+            else:
+                ids = pa.nulls(len(rows), pa.list_(pa.int32()))
+            piece = pa.StructArray.from_arrays([start, length, total, crc, ids], names=["start", "length", "doc_tokens", "ids_crc32", "ids"])
+            ends = np.cumsum([0] + [len(d) for d in docs_of]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), piece)
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """The columns of `docs` but its text, and one row per piece.
 
@@ -76,18 +95,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True) -
     def cut_up(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path)
         for part in parts:
-            docs_of = list(pieces_of(encoder, part.to_pylist(), with_ids))
-            rows = [p for doc in docs_of for p in doc]
-            start, length, total, crc = (pa.array([r[i] for r in rows], pa.int64()) for i in range(4))
-            if with_ids:
-                size = np.array([0] + [r[1] for r in rows], np.int64)
-                flat = np.concatenate([r[4] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(flat))
-            else:
-                ids = pa.nulls(len(rows), pa.list_(pa.int32()))
-            piece = pa.StructArray.from_arrays([start, length, total, crc, ids], names=["start", "length", "doc_tokens", "ids_crc32", "ids"])
-            ends = np.cumsum([0] + [len(d) for d in docs_of]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), piece)
+            yield from sequences(encoder, part, with_ids)
 
     added = {"start", "length", "doc_tokens", "ids_crc32", "ids", "sequence_id", "offset", "bucket"}
     kept = [c for c in docs.columns if c != "text" and c.lower() not in added]
