@@ -6,6 +6,7 @@ fitted on a bounded sample and broadcast; scoring is a map over all rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,9 +86,10 @@ def forward_backward(emissions, first, size, transitions, pairs: bool = False):
     return gamma / gamma.sum(axis=1, keepdims=True), expected
 
 
-def fit(parts: list[tuple[Features, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], bits: int, states: int,
+def fit(parts: Iterable[tuple[Features, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], bits: int, states: int,
         epochs: int = 5, rate: float = 0.5, decay: float = 1e-6) -> Crf:
-    """Maximum conditional likelihood by AdaGrad; `parts`: minibatches `(features, first, size, labels, importance)`.
+    """Maximum conditional likelihood by AdaGrad; `parts`: minibatches `(features, first, size, labels, importance)`,
+    gone through once an epoch, so they may be made as they are asked for.
 
     Labels are states per word, and `importance` weighs each word's term in the gradient.
     """
@@ -100,13 +102,13 @@ def fit(parts: list[tuple[Features, np.ndarray, np.ndarray, np.ndarray, np.ndarr
                 continue
             gamma, expected = forward_backward(model.emissions(f), first, size, model.transitions, pairs=True)
             slope = ((eye[labels] - gamma) * importance[:, None]).astype(np.float64)
-            idx = [np.concatenate(f.single)]
-            values = [np.tile(slope, (len(f.single), 1))]
-            if f.many is not None:
-                idx.append(f.many)
-                values.append(np.repeat(slope / np.sqrt(f.counts)[:, None], f.counts, axis=0))
-            idx, values = np.concatenate(idx), np.concatenate(values)
-            grad = np.stack([np.bincount(idx, weights=values[:, s], minlength=1 << bits) for s in range(states)], axis=1)
+            idx = np.concatenate([*f.single] if f.many is None else [*f.single, f.many])
+            grad = np.empty_like(model.weights, dtype=np.float64)
+            for s in range(states):  # one state at a time: each letter has a value for every state
+                values = [np.tile(slope[:, s], len(f.single))]
+                if f.many is not None:
+                    values.append(np.repeat(slope[:, s] / np.sqrt(f.counts), f.counts))
+                grad[:, s] = np.bincount(idx, weights=np.concatenate(values), minlength=1 << bits)
             grad = (grad / f.n * 100).astype(np.float32) - decay * model.weights
             seen_w += grad * grad
             model.weights += rate * grad / np.sqrt(seen_w)

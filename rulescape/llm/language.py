@@ -12,6 +12,7 @@ judged by letter trigrams: a text whose trigrams the sample hardly shows is not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,19 @@ def _evidence(parts, labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return docs_with > 0, least * (LEAST_WORDS, LEAST_LETTERS)
 
 
+@dataclass
+class _Batches:
+    """Minibatches of training words. Their features are many times larger than the texts, so they are made anew each epoch."""
+    parts: list[words.Words]
+    labels: list[np.ndarray]
+    lexicon: tuple[np.ndarray, np.ndarray]
+    states: int
+
+    def __iter__(self):
+        for w, y in zip(self.parts, self.labels):
+            yield _features(w, self.lexicon, self.states), *words.chains(w, LONGEST), y, np.ones(len(y))
+
+
 def train(rows: list[tuple[str, str]]) -> Crf | None:
     """Fit on `(text, language)` rows; every word of a document is labelled with its language."""
     names = sorted({lang for _, lang in rows})
@@ -112,11 +126,7 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
         labels.append(of[w.doc])
         n += len(texts)
     lexicon = _lexicon(parts, labels, len(names))
-    batches = []
-    for w, y in zip(parts, labels):
-        first, size = words.chains(w, LONGEST)
-        batches.append((_features(w, lexicon, len(names)), first, size, y, np.ones(len(y))))
-    model = fit(batches, BITS, len(names), epochs=3)
+    model = fit(_Batches(parts, labels, lexicon, len(names)), BITS, len(names), epochs=3)
     seen, least = _evidence(parts, labels)
     model.extra.update(names=names, lexicon=lexicon, seen=seen, least=least)
     return model
