@@ -89,6 +89,11 @@ def edges(placed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_grants"))
 
 
+def pairs(placed: DataFrame) -> DataFrame:
+    """The edges without what they tell: names and kinds of their ends, one row per pair."""
+    return placed.filter(is_allow()).groupBy("s", "d").agg(F.first("s_kind").alias("s_kind"), F.first("d_kind").alias("d_kind"))
+
+
 def passing(df: DataFrame, start: str = L.INTERNET) -> DataFrame:
     """Of placed rules or edges, those that a path from `start`, or from a concrete node, can use.
 

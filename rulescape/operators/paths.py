@@ -32,6 +32,11 @@ def hop() -> Column:
         "tools", "services", "apps").alias("hop")
 
 
+def bare_edges(edges: DataFrame) -> DataFrame:
+    """(s, d, s_concrete, d_concrete): what a traversal needs of an edge; `edges` are edges or `graph.pairs`."""
+    return edges.select("s", "d", (F.col("s_kind") == "concrete").alias("s_concrete"), (F.col("d_kind") == "concrete").alias("d_concrete"))
+
+
 def hop_edges(edges: DataFrame) -> DataFrame:
     """(s, d, s_concrete, d_concrete, hop): what a traversal needs of an edge, and what it tells at the end."""
     return edges.select("s", "d", (F.col("s_kind") == "concrete").alias("s_concrete"),
@@ -178,12 +183,12 @@ def paths_between(queries: DataFrame, names: DataFrame, edges: DataFrame, grants
     """(query_id, src, dst, path) for a table of questions (query_id, src, dst).
 
     With `grants`, questions may carry port, protocol and app: the last hop must then hold a
-    grant that answers them. Ends are asset names or aliases.
+    grant that answers them. Ends are asset names or aliases. Of `edges` only the pairs are asked for (`graph.pairs`).
     """
     asked = cut(_asked(queries, names))
     pair = asked.select("src", "dst").distinct()
     paths = simple_paths(
-        hop_edges(edges), pair.select(F.col("dst").alias("goal"), F.col("src").alias("node")),
+        bare_edges(edges), pair.select(F.col("dst").alias("goal"), F.col("src").alias("node")),
         pair.select(F.col("dst").alias("goal"), F.col("dst").alias("node")).distinct(), through_goals=False,
         max_hops=max_hops).withColumnsRenamed({"goal": "dst", "start": "src"})
     found = asked.join(paths, ["src", "dst"])

@@ -31,6 +31,11 @@ class View:
     edges: DataFrame
     grants: DataFrame
 
+    @property
+    def pairs(self) -> DataFrame:
+        """The edges by name alone."""
+        return self.edges
+
     @property
     def passing(self) -> DataFrame:
         """The edges that paths from the internet can use."""
@@ -47,6 +52,10 @@ class BuiltView(View):
     def edges(self) -> DataFrame:
         return self.keep(graph.edges(self.placed))
 
+    @property
+    def pairs(self) -> DataFrame:
+        return self.edges if "edges" in self.__dict__ else graph.pairs(self.placed)
+
     @cached_property
     def passing(self) -> DataFrame:
         # few rules leave a concrete node: no more than those are grouped, unless all were asked for before

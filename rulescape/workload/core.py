@@ -353,7 +353,7 @@ def _questions(spark, sf_dir) -> DataFrame:
           FROM asked a LEFT JOIN reached r ON r.query_id = a.query_id GROUP BY 1, 2, 3""", **ASK_CTES)
 def reachable_batch(spark, sf_dir):
     v = estate(spark, sf_dir).view
-    return paths.reachable(_questions(spark, sf_dir), v.names, v.edges, v.grants).select(
+    return paths.reachable(_questions(spark, sf_dir), v.names, v.pairs, v.grants).select(
         "query_id", "src", "dst", "reachable", "n_paths", csv("shortest", ">"))
 
 
@@ -361,7 +361,7 @@ def reachable_batch(spark, sf_dir):
           UNION ALL SELECT query_id, src FROM asked WHERE src = dst""", **ASK_CTES)
 def find_paths_batch(spark, sf_dir):
     v = estate(spark, sf_dir).view
-    return paths.paths_between(_questions(spark, sf_dir), v.names, v.edges).select("query_id", csv("path", ">"))
+    return paths.paths_between(_questions(spark, sf_dir), v.names, v.pairs).select("query_id", csv("path", ">"))
 
 
 @query("""SELECT DISTINCT target, source FROM reach WHERE source <> target""", asked=_ASKED_DUCK,
