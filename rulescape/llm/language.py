@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .crf import LONGEST, Crf, Features, fit
-from .samples import id_remainder, rate_of, thinned
+from .samples import fitted, id_remainder, rate_of, thinned
 
 BITS = 17
 #: Training documents of all languages together at most (about); the bound of the sample.
@@ -190,7 +190,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
         return None
     rates = rate_of(usable.select("lang"), "lang", max(1, sample // counts))
     found = thinned(usable, "lang", rates).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"))
-    return train([(r.text, r.lang) for r in sorted(found.collect(), key=lambda r: r.doc_id)])
+    return fitted(found, lambda rows: train([(r["text"], r["lang"]) for r in rows]))
 
 
 def with_language(docs: DataFrame, model: Crf | None, name: str = "language") -> DataFrame:

@@ -317,7 +317,7 @@ def _missed(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _merged(links: DataFrame) -> DataFrame:
     """`(root, top)`: components of components, from links that carry the components of both ends."""
-    return cut(components(cut(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
+    return cut(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
                .select(F.col("name").alias("root"), F.col("root").alias("top")))
 
 
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         upper = _merged(_verified(cut(pairs.distinct()), sets))
         placed, labels = _relabelled(placed, upper), _relabelled(labels, upper)
     # what may yet be alike, shares a bucket and is not in one component by now
-    pairs = _missed(_mixed(_reachable(_mixed(placed), sets)), sets)
+    pairs = _missed(_mixed(cut(_reachable(_mixed(placed), sets))), sets)
     classes = _relabelled(labels, _merged(_verified(cut(pairs.distinct()), sets))).withColumnRenamed("root", "class")
     classes = cut(classes)
     keepers = classes.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("late"), "first", "node")).alias("k"))

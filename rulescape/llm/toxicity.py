@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .crf import LONGEST, Crf, Features, fit
-from .samples import id_remainder, labelled
+from .samples import fitted, id_remainder, sampled
 
 BITS = 18
 #: Training documents of each class at most (about); the bound of the sample.
@@ -182,10 +182,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] =
     """The model and the share of toxic labels, from the training rows among `labels`."""
     train_rows = labels.filter(id_remainder(F.col("doc_id"), 5) != 0)
     share = train_rows.select(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = labelled(docs, labels, "toxic", per_class)
-    if share is None or len({y for _, y in rows}) < 2:
-        return None, float(share or 0.0)
-    return train(rows, share), float(share)
+    if share is None:
+        return None, 0.0
+
+    def tagger(rows: list[dict]) -> Crf | None:
+        found = [(r["text"], r["label"]) for r in rows]
+        return train(found, share) if len({y for _, y in found}) == 2 else None
+
+    return fitted(sampled(docs, labels, "toxic", per_class), tagger), float(share)
 
 
 def with_toxicity(docs: DataFrame, model: Crf | None, prior: float, name: str = "toxicity") -> DataFrame:
