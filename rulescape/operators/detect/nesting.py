@@ -178,24 +178,42 @@ def first_covering(rules: DataFrame) -> DataFrame:
 _SLOTS = 8
 
 
-def rivals(rules: DataFrame) -> DataFrame:
+def rivals(rules: DataFrame, carry: tuple[str, ...] = ("source", "action"), area: DataFrame | None = None) -> DataFrame:
     """The rules that may cover another one or be covered, with the prefix lengths of their group.
 
     Both rules are of one tool, destination and IP version (or source name), and have one service or one of them
-    is open. A few counts per group leave out most rules before any key is spelled out.
+    is open. A few counts per group leave out most rules before any key is spelled out. `carry` are further columns
+    to keep; with `area` (SHADOW_GROUP) only rules of those groups are looked at.
     """
     slim = rules.select(*SHADOW_GROUP, F.coalesce("src_net.version", F.lit(0)).alias("version"), "who", "src_net", "open", "service",
-                        "order", "raw_ref", "record_seq", "source", "action",
+                        "order", "raw_ref", "record_seq", *carry,
                         F.coalesce(F.pmod(F.xxhash64("service"), F.lit(_SLOTS)), F.lit(0)).alias("slot"))
     group = [*SHADOW_GROUP, "version", "who"]
     bits = [F.bit_or(b).alias(w) for b, w in zip(net.length_bits("src_net"), _WORDS)]
     counts = slim.groupBy(*group).agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("n_open"), *bits,
                                       *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(_SLOTS)]).filter("members > 1")
+    if area is not None:
+        counts = counts.join(area, SHADOW_GROUP, "left_semi")
     like = F.element_at(F.array(*[f"n{i}" for i in range(_SLOTS)]), F.col("slot").cast("int") + 1)
     return (slim.join(counts, group).filter(F.col("open") | (F.col("n_open") > 0) | (like > 1))
             .drop("version", "slot", "members", *[f"n{i}" for i in range(_SLOTS)]))
 
 
+def rival_covers(some: DataFrame) -> DataFrame:
+    """Of `rivals`, the keys under which each can shadow others.
+
+    Without an open rule in the group, nobody asks for `any` or for all services.
+    """
+    return covering_keys(some).filter((F.col("n_open") > 0) | (F.col("svc") == F.concat(F.lit("="), "service")))
+
+
+def rival_probes(some: DataFrame, *carry: str) -> DataFrame:
+    """Of `rivals`, the keys under which each looks for rules that cover it."""
+    networks = some.filter("src_net IS NOT NULL")
+    probes = _probes(_levels(networks).drop("src_net"), _own_key(some.filter("src_net IS NULL")).drop("src_net", *_WORDS))
+    return probes.filter((F.col("n_open") > 0) | (F.col("svc") != "any")).select(*_KEY, "order", "raw_ref", "record_seq", *carry)
+
+
 def shadowers(rules: DataFrame) -> DataFrame:
     """(record_seq, cover): each shadowed rule with the earliest earlier rule that covers it.
 
@@ -203,22 +221,21 @@ def shadowers(rules: DataFrame) -> DataFrame:
     minimum per key decides; rules are never paired with each other.
     """
     some = cut(rivals(rules))
-    # without an open rule in the group, nobody asks for `any` or for all services
-    lone = F.col("n_open") > 0
-    covers = _first(covering_keys(some).filter(lone | (F.col("svc") == F.concat(F.lit("="), "service"))))
-    networks = some.filter("src_net IS NOT NULL")
-    probes = _probes(_levels(networks).drop("src_net"), _own_key(some.filter("src_net IS NULL")).drop("src_net", *_WORDS))
-    probes = probes.filter(lone | (F.col("svc") != "any")).select(*_KEY, "order", "raw_ref", "record_seq")
-    hit = probes.join(covers, _KEY).filter(F.col("cover.pos") < position())
+    hit = rival_probes(some).join(_first(rival_covers(some)), _KEY).filter(F.col("cover.pos") < position())
     return hit.groupBy("record_seq").agg(F.min_by("cover", F.col("cover.pos")).alias("cover"))
 
 
+def shadow_scored(placed: DataFrame) -> DataFrame:
+    """Rules with the severity they have as shadowed rules."""
+    return scored(placed).withColumn("severity", F.when(
+        is_allow(), F.lit(L.SHADOWED_ALLOW_SEVERITY)).otherwise(formula()))
+
+
 def shadow_findings(shadowed: DataFrame) -> DataFrame:
     """Findings from placed rules that carry their `cover`."""
     c = F.col
     deny = c("action") == "deny"
-    out = scored(shadowed).withColumn("severity", F.when(
-        c("action") == "allow", F.lit(L.SHADOWED_ALLOW_SEVERITY)).otherwise(formula()))
+    out = shadow_scored(shadowed)
     flow = F.concat(c("source"), F.lit(" -> "), c("d_display"), F.lit(" ("), c("service"), F.lit(")"))
     ref, src = c("cover.pos.raw_ref"), c("cover.source")
     reason = F.when(deny, F.concat(

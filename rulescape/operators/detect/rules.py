@@ -36,8 +36,8 @@ def formula() -> Column:
 
 
 def as_findings(df: DataFrame) -> DataFrame:
-    """Finding columns; rows computed for a what-if keep their `fix_id`."""
-    return df.select(*FINDING, *[c for c in ("fix_id",) if c in df.columns])
+    """Finding columns; rows computed for a what-if keep their `edit`."""
+    return df.select(*FINDING, *[c for c in ("edit",) if c in df.columns])
 
 
 def signals_json(**fields: Column) -> Column:
