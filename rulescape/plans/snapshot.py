@@ -43,11 +43,16 @@ class View:
 
 
 class BuiltView(View):
-    """A view whose edges are grouped, and written, when first asked for: most reports and detectors need none."""
+    """A view whose edges and nodes are found, and written, when first asked for: some reports and detectors need none."""
 
     def __init__(self, keep: Callable[[DataFrame], DataFrame], **tables):
         self.__dict__.update(tables, keep=keep)
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        # searches and every end of a path ask the nodes
+        return self.keep(graph.nodes(self.identities.assets, self.placed))
+
     @cached_property
     def edges(self) -> DataFrame:
         return self.keep(graph.edges(self.placed))
@@ -76,8 +81,7 @@ def build_view(records: DataFrame | Parsed, entities: DataFrame, merges: DataFra
         records = placed.select(*RECORD)
     else:
         placed = keep(graph.place(records, names))
-    return BuiltView(keep, records=records, identities=found, names=names, placed=placed,
-                     nodes=graph.nodes(found.assets, placed), grants=graph.grants(placed))
+    return BuiltView(keep, records=records, identities=found, names=names, placed=placed, grants=graph.grants(placed))
 
 
 def rule_findings(placed: DataFrame) -> DataFrame:
